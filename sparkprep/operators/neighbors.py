@@ -72,9 +72,10 @@ def _block_top_k(qids, q, mids, m, k: int, metric: str, exclude_same: bool):
         else:
             norms = np.sqrt(q2[lo:lo + step])[:, None] * np.sqrt(m2)[None, :]
             rough = -np.divide(rough, norms, out=np.zeros_like(rough), where=norms > 0)
-        for i, v in enumerate(qids[lo:lo + step].tolist()):
-            if v in same:
-                rough[i, same[v]] = np.inf
+        if same:
+            for i, v in enumerate(qids[lo:lo + step].tolist()):
+                if v in same:
+                    rough[i, same[v]] = np.inf
         kk = min(k, len(m))
         if kk == 0:
             continue

@@ -57,11 +57,13 @@ def range_of(x: Column, cuts: Sequence) -> Column:
     return node(0, len(cuts))
 
 
-def with_range(df: DataFrame, col: str, parts: int = RANGES) -> DataFrame:
+def with_range(df: DataFrame, col: str, parts: int = RANGES, spread: DataFrame | None = None) -> DataFrame:
+    """Add the range number of a column. `spread` is a cheaper table with the same values in that
+    column, for the cut points, when `df` itself is costly to compute twice."""
     x = F.col(col)
     if not isinstance(df.schema[col].dataType, T.StringType):
         x = x.cast("double")
-    return df.withColumn(_BUCKET, range_of(x, cut_points(df, col, parts)))
+    return df.withColumn(_BUCKET, range_of(x, cut_points(df if spread is None else spread, col, parts)))
 
 
 def with_hash_range(df: DataFrame, hash_col: str) -> DataFrame:
@@ -69,8 +71,8 @@ def with_hash_range(df: DataFrame, hash_col: str) -> DataFrame:
     return df.withColumn(_BUCKET, F.shiftright(F.col(hash_col), 57))
 
 
-def _ranges(df: DataFrame, order: str, parts: int, hashed: bool) -> DataFrame:
-    return with_hash_range(df, order) if hashed else with_range(df, order, parts)
+def _ranges(df: DataFrame, order: str, parts: int, hashed: bool, spread: DataFrame | None = None) -> DataFrame:
+    return with_hash_range(df, order) if hashed else with_range(df, order, parts, spread)
 
 
 def running_sums(
@@ -82,13 +84,14 @@ def running_sums(
     descending: bool = False,
     inclusive: bool = True,
     parts: int = RANGES,
+    spread: DataFrame | None = None,
 ) -> DataFrame:
     """Add running totals of columns, per group and in the order of a column without ties.
 
     `sums` maps new column names to summed columns. With inclusive=False a row does not count itself.
     """
     by = list(by)
-    ranged = _ranges(df, order, parts, False)
+    ranged = _ranges(df, order, parts, False, spread)
     totals = ranged.groupBy(*by, _BUCKET).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
     step = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
     before = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)

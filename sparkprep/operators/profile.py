@@ -301,11 +301,7 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], **kw) -> dict[str, tuple[floa
 def class_quartiles(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
     """Five-number summary of each column per class."""
     names = ["min", "q1", "median", "q3", "max"]
-    out: DataFrame | None = None
-    for c in cols:
-        part = grouped_quantiles(df, [y], c, [0, 0.25, 0.5, 0.75, 1], names).withColumn("column", F.lit(c))
-        out = part if out is None else out.unionByName(part)
-    return out.select(y, "column", *names)
+    return grouped_quantiles(df, [y], cols, [0, 0.25, 0.5, 0.75, 1], names)
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
@@ -325,38 +321,42 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     )
 
 
-def normality_p(n: Column, g1: Column, excess_kurtosis: Column) -> Column:
-    """p-value of the D'Agostino-Pearson omnibus test (1973), kurtosis part by Anscombe-Glynn (1983)."""
-    n = n.cast("double")
-    y = g1 * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
-    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = -1 + F.sqrt(2 * (beta - 1))
-    delta = 1 / F.sqrt(0.5 * F.ln(w2))
-    alpha = F.sqrt(2 / (w2 - 1))
-    z1 = delta * F.ln(y / alpha + F.sqrt((y / alpha) * (y / alpha) + 1))
-    mean = 3 * (n - 1) / (n + 1)
-    var = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (excess_kurtosis + 3 - mean) / F.sqrt(var)
-    skew_k = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    a = 6 + (8 / skew_k) * (2 / skew_k + F.sqrt(1 + 4 / (skew_k * skew_k)))
-    d = 1 + x * F.sqrt(2 / (a - 4))
-    t = F.signum(d) * F.pow((1 - 2 / a) / F.abs(d), F.lit(1.0 / 3.0))
-    z2 = (1 - 2 / (9 * a) - t) / F.sqrt(2 / (9 * a))
-    return F.exp(-(z1 * z1 + z2 * z2) / 2)
+def with_normality_p(df: DataFrame, n: str = "n", g1: str = "g1", kurtosis: str = "k", out: str = "p_value") -> DataFrame:
+    """p-value of the D'Agostino-Pearson omnibus test (1973), kurtosis part by Anscombe-Glynn (1983).
+
+    Takes the count, population skewness and excess kurtosis; NULL below 20 values or for a constant
+    column. Each formula step is a column of its own so that it is computed once.
+    """
+    n_, y, w, a, x, b, d = (F.col(f"__{v}") for v in ("n", "y", "w", "a", "x", "b", "d"))
+    beta = 3 * (n_ * n_ + 27 * n_ - 70) * (n_ + 1) * (n_ + 3) / ((n_ - 2) * (n_ + 5) * (n_ + 7) * (n_ + 9))
+    mean = 3 * (n_ - 1) / (n_ + 1)
+    var = 24 * n_ * (n_ - 2) * (n_ - 3) / ((n_ + 1) * (n_ + 1) * (n_ + 3) * (n_ + 5))
+    spread = F.sqrt(6 * (n_ + 3) * (n_ + 5) / (n_ * (n_ - 2) * (n_ - 3)))
+    third = F.signum(d) * F.pow((1 - 2 / a) / F.abs(d), F.lit(1.0 / 3.0))
+    steps = [
+        {"__n": F.greatest(F.col(n), F.lit(20)).cast("double")},
+        {"__y": F.col(g1) * F.sqrt((n_ + 1) * (n_ + 3) / (6 * (n_ - 2))), "__w": -1 + F.sqrt(2 * (beta - 1)),
+         "__x": (F.col(kurtosis) + 3 - mean) / F.sqrt(var), "__b": 6 * (n_ * n_ - 5 * n_ + 2) / ((n_ + 7) * (n_ + 9)) * spread},
+        {"__y": y * F.sqrt((w - 1) / 2), "__a": 6 + (8 / b) * (2 / b + F.sqrt(1 + 4 / (b * b)))},
+        {"__d": 1 + x * F.sqrt(2 / (a - 4))},
+        {"__z1": F.ln(y + F.sqrt(y * y + 1)) / F.sqrt(0.5 * F.ln(w)), "__z2": (1 - 2 / (9 * a) - third) / F.sqrt(2 / (9 * a))},
+        {out: F.when((F.col(n) >= 20) & F.col(g1).isNotNull(), F.exp(-(F.col("__z1") * F.col("__z1") + F.col("__z2") * F.col("__z2")) / 2))},
+    ]
+    made = df
+    for step in steps:
+        made = made.withColumns(step)
+    return made.drop(*[f"__{v}" for v in ("n", "y", "w", "a", "x", "b", "d", "z1", "z2")])
 
 
 def normality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Normality test per column and the scaler it suggests; short or constant columns are standard."""
+    """Normality test per column and the scaler it suggests; short columns are standard."""
     base = per_column(df, cols, {
         "n": lambda c: F.count(c),
         "g1": lambda c: F.skewness(F.col(c).cast("double")),
         "k": lambda c: F.kurtosis(F.col(c).cast("double")),
     })
-    p = F.when((F.col("n") >= 20) & F.col("g1").isNotNull(), normality_p(F.greatest("n", F.lit(20)), F.col("g1"), F.col("k")))
-    return base.withColumn("p_value", p).withColumn(
-        "scaler", F.when(F.col("n") < 20, "standard").when(F.col("p_value") <= 0.05, "robust")
-        .when(F.col("p_value").isNull(), "robust").otherwise("standard")
-    ).drop("g1", "k")
+    scaler = F.when((F.col("n") < 20) | (F.col("p_value") > 0.05), "standard").otherwise("robust")
+    return with_normality_p(base).withColumn("scaler", scaler).drop("g1", "k")
 
 
 # ---- vectors ------------------------------------------------------------------------------------

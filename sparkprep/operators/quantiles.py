@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import null_safe_join, running_sums
@@ -84,19 +84,21 @@ def rank_share(rank: int, size: int) -> float:
     return rank / max(size - 1, 1)
 
 
-def grouped_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Exact quantiles of a column per group, as one row per group.
+def grouped_quantiles(
+    df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float], names: Sequence[str]
+) -> DataFrame:
+    """Exact quantiles of columns per group, as one row per group and column.
 
     Works on distinct values with their counts, so copies are combined before the shuffle, and on
-    running counts cut into value ranges, so no group has to fit into one task.
+    running counts cut into value ranges, so no group has to fit into one task. All columns share
+    the passes.
     """
-    by = list(by)
-    counted = (
-        df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("__x"))
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
-    seen = running_sums(counted, by, "__x", {"__seen": "__c"})
-    totals = counted.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    by = [*by, "column"]
+    entries = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("__x")) for c in cols]
+    long = df.select(*by[:-1], F.explode(F.array(*entries)).alias("e")).select(*by[:-1], "e.*").where(F.col("__x").isNotNull())
+    counted = long.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    seen = running_sums(counted, by, "__x", {"__seen": "__c"}, spread=long)
+    totals = long.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     joined = null_safe_join(seen, totals, by, "inner")
 
     def at(rank: Column) -> Column:
