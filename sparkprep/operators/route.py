@@ -147,8 +147,5 @@ def domain_model(domain: Column, architecture: Column) -> tuple[Column, Column]:
 
 
 def recommendation(accuracy: Column) -> Column:
-    return (
-        F.when(accuracy > 0.90, "Deploy to production.")
-        .when(accuracy > 0.75, "Collect more data or adjust domain extractor.")
-        .otherwise("Re-evaluate feature extraction pipeline.")
-    )
+    """What to do with a model of this hold-out accuracy."""
+    return F.when(accuracy > 0.90, "deploy").when(accuracy > 0.75, "collect more data").otherwise("re-evaluate")
