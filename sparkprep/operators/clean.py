@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import (
     NAME_CHARS_DELETED, NAME_CHARS_REPLACED, NAME_CHARS_UNDERSCORED, clean_value, number_or,
 )
-from .ordering import dense_index, null_safe_join, top_per_group
+from .ordering import dense_index, few_values, forward_fill
 from .profile import cells, column_types, corr_with, per_column, unique_ratio
 from .quantiles import exact_quantiles
 
@@ -57,8 +57,6 @@ def delete_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def forward_fill_target(df: DataFrame, y: str, order: str) -> DataFrame:
-    from .ordering import forward_fill
-
     return forward_fill(df, y, order)
 
 
@@ -191,8 +189,15 @@ def constant_fill(df: DataFrame, cols: Sequence[str], value: str = "missing") ->
 
 
 def label_index(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """Replace values by their 0-based position in ascending order; NULL stays NULL."""
+    """Replace values by their 0-based position in ascending order; NULL stays NULL.
+
+    A handful of values becomes an expression; many values are ranked in ranges and joined.
+    """
     out = out or col
+    values = few_values(df, col)
+    if values is not None:
+        position = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(col)) - 1 if values else F.lit(None)
+        return df.withColumn(out, F.when(F.col(col).isNotNull(), position).cast("int"))
     index = dense_index(df, col, "__index")
     joined = df.join(index, col, "left")
     return joined.withColumn(out, F.col("__index")).drop("__index").select(

@@ -11,14 +11,14 @@ import math
 import random
 import time
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml import classification as mlc
 from pyspark.ml import regression as mlr
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog as cat
@@ -33,6 +33,7 @@ from .profile import fingerprints
 from .split import cap_rows, folds, holdout, sample_share
 
 FEATURES, LABEL = "features", "label"
+KNN = ("knn_clf", "knn_reg")
 KERNEL_LIMIT = 5000
 
 
@@ -171,28 +172,43 @@ def n_classes(df: DataFrame, task: Task) -> int:
     return max(2, int(top) + 1)
 
 
-def fit_model(df: DataFrame, task: Task, name: str, classes: int, params: dict | None = None):
-    """Preprocessing and model fitted on the same rows."""
-    prep = fit_preprocessor(df, task.numeric, task.categorical, task.scalers, task.encodings, FEATURES)
-    if name in ("knn_clf", "knn_reg"):
-        return KnnModel(df, prep, task, int((params or {}).get("k", 5)))
-    ready = prep.transform(df.withColumn(LABEL, F.col(task.y).cast("double"))).select(FEATURES, LABEL)
-    size = len(ready.first()[FEATURES]) if name == "mlp_clf" else 0
+def _prepare(df: DataFrame, task: Task) -> PipelineModel:
+    return fit_preprocessor(df, task.numeric, task.categorical, task.scalers, task.encodings, FEATURES)
+
+
+def _labelled(df: DataFrame, task: Task) -> DataFrame:
+    return df.withColumn(LABEL, F.col(task.y).cast("double"))
+
+
+def _fit_estimator(ready: DataFrame, task: Task, name: str, classes: int, params: dict | None):
+    """Estimator fitted on ready (features, label) rows. `hidden` gives a perceptron's hidden layers."""
     params = dict(params or {})
+    size = len(ready.first()[FEATURES]) if name == "mlp_clf" else 0
     if "hidden" in params:
         params["layers"] = [size, *params.pop("hidden"), classes]
-    model = create_model(name, task, classes, size, params).fit(ready)
-    return PipelineModel([*prep.stages, model])
+    return create_model(name, task, classes, size, params).fit(ready)
 
 
-def score_model(model, df: DataFrame, task: Task) -> float:
+def fit_model(df: DataFrame, task: Task, name: str, classes: int, params: dict | None = None):
+    """Preprocessing and model fitted on the same rows."""
+    prep = _prepare(df, task)
+    if name in KNN:
+        return KnnModel(df, prep, task, int((params or {}).get("k", 5)))
+    ready = prep.transform(_labelled(df, task)).select(FEATURES, LABEL)
+    return PipelineModel([*prep.stages, _fit_estimator(ready, task, name, classes, params)])
+
+
+def _score(out: DataFrame, task: Task) -> float:
     """Support-weighted F1, or minus RMSE."""
-    out = model.transform(df.withColumn(LABEL, F.col(task.y).cast("double"))).select("prediction", LABEL)
     if task.is_classification:
         return MulticlassClassificationEvaluator(labelCol=LABEL, metricName="f1").evaluate(out)
     return -RegressionEvaluator(labelCol=LABEL, metricName="rmse").evaluate(out)
 
 
+def score_model(model, df: DataFrame, task: Task) -> float:
+    return _score(model.transform(_labelled(df, task)).select("prediction", LABEL), task)
+
+
 @dataclass
 class FoldScore:
     model: str
@@ -210,20 +226,46 @@ def with_folds(df: DataFrame, task: Task, cv: int, seed: int = 42) -> DataFrame:
     return folds(df, y, list(task.key), cv, seed)
 
 
+@dataclass
+class Fold:
+    """Training and validation part of one fold: raw rows, and vectors by the fold's own preprocessing."""
+
+    number: int
+    prep: PipelineModel
+    raw_train: DataFrame
+    raw_test: DataFrame
+    train: DataFrame
+    test: DataFrame
+
+
+def prepare_folds(df: DataFrame, task: Task, cv: int, seed: int = 42) -> list[Fold]:
+    """Fit the preprocessing of every fold once and store the vectors, for all models to share."""
+    folded = cut_lineage(with_folds(df, task, cv, seed))
+    out = []
+    for number in range(max(cv, 1)):
+        train, test = folded.where(F.col("fold") != number), folded.where(F.col("fold") == number)
+        prep = _prepare(train, task)
+        vectors = lambda part: cut_lineage(prep.transform(_labelled(part, task)).select(FEATURES, LABEL))
+        out.append(Fold(number, prep, train, test, vectors(train), vectors(test)))
+    return out
+
+
 def cross_validate(
-    folded: DataFrame, task: Task, name: str, cv: int, classes: int, params: dict | None = None,
-    deadline: float | None = None,
+    parts: Sequence[Fold], task: Task, name: str, classes: int, params: dict | None = None, deadline: float | None = None
 ) -> list[FoldScore]:
-    """One fit per fold, preprocessing included; stops between fits when the time is up."""
+    """One fit per fold; stops between fits when the time is up."""
     out = []
-    for fold in range(max(cv, 1)):
+    for part in parts:
         if deadline is not None and time.time() > deadline:
             break
-        train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
         start = time.time()
-        model = fit_model(train, task, name, classes, params)
-        spent = time.time() - start
-        out.append(FoldScore(name, fold, score_model(model, test, task), spent))
+        if name in KNN:
+            model = KnnModel(part.raw_train, part.prep, task, int((params or {}).get("k", 5)))
+            spent, score = time.time() - start, score_model(model, part.raw_test, task)
+        else:
+            model = _fit_estimator(part.train, task, name, classes, params)
+            spent, score = time.time() - start, _score(model.transform(part.test), task)
+        out.append(FoldScore(name, part.number, score, spent))
     return out
 
 
@@ -240,10 +282,10 @@ def screen_models(
 ) -> tuple[DataFrame, DataFrame]:
     """(all scores, promising models): cross-validation of each model on a sample, then the screening rule."""
     sample = df if share >= 1.0 else sample_share(df, task.key[0], share, seed=seed)
-    folded = cut_lineage(with_folds(sample, task, cv, seed))
-    classes = n_classes(folded, task)
+    classes = n_classes(sample, task)
+    parts = prepare_folds(sample, task, cv, seed)
     deadline = None if max_seconds is None else time.time() + max_seconds
-    scores = [s for n in names for s in cross_validate(folded, task, n, cv, classes, None, deadline)]
+    scores = [s for n in names for s in cross_validate(parts, task, n, classes, None, deadline)]
     means = ut.fold_means(_table(df, scores), ["model"])
     return means, ut.screen(means, by=[])
 
@@ -252,17 +294,20 @@ def full_train(
     df: DataFrame, task: Task, names: Sequence[str], cv: int = 5, seed: int = 42, max_seconds: float | None = None
 ) -> tuple[dict[str, object], DataFrame]:
     """Cross-validated scores and, per model, a pipeline fitted on all rows."""
-    folded = cut_lineage(with_folds(df, task, cv, seed))
-    classes = n_classes(folded, task)
+    classes = n_classes(df, task)
+    parts = prepare_folds(df, task, cv, seed)
+    prep = _prepare(df, task)
+    ready = cut_lineage(prep.transform(_labelled(df, task)).select(FEATURES, LABEL))
     deadline = None if max_seconds is None else time.time() + max_seconds
     models, scores = {}, []
     for name in names:
         if deadline is not None and time.time() > deadline:
             break
-        found = cross_validate(folded, task, name, cv, classes, None, deadline)
+        found = cross_validate(parts, task, name, classes, None, deadline)
         if found:
             scores += found
-            models[name] = fit_model(folded.drop("fold"), task, name, classes)
+            models[name] = KnnModel(df, prep, task) if name in KNN else PipelineModel(
+                [*prep.stages, _fit_estimator(ready, task, name, classes, None)])
     return models, ut.fold_means(_table(df, scores), ["model"])
 
 
@@ -272,7 +317,7 @@ def prediction_table(models: dict[str, object], test: DataFrame, task: Task) ->
     """Predictions of all models in long form: model, key, label, prediction, probability (or NULL)."""
     out: DataFrame | None = None
     for name, model in models.items():
-        made = model.transform(test.withColumn(LABEL, F.col(task.y).cast("double")))
+        made = model.transform(_labelled(test, task))
         probs = vector_to_array("probability") if "probability" in made.columns else F.lit(None).cast("array<double>")
         part = made.select(F.lit(name).alias("model"), *task.key, LABEL, "prediction", probs.alias("probability"))
         out = part if out is None else out.unionByName(part)
@@ -331,18 +376,18 @@ def tune_top_models(
     """Grid or random search on the best models of a metrics table, refitted with the best settings."""
     order = F.col("f1").desc() if task.is_classification else F.col("rmse").asc()
     names = [r["model"] for r in metrics.orderBy(order, "model").limit(top_n).collect()]
-    folded = cut_lineage(with_folds(df, task, cv))
-    classes = n_classes(folded, task)
+    classes = n_classes(df, task)
+    parts = prepare_folds(df, task, cv)
     tuned, rows = {}, []
     for name in names:
         best: tuple[float, dict] = (-math.inf, {})
         grid = (grids or GRIDS).get(name, {})
         for point in grid_points(grid, method, n_iter) if grid else []:
-            found = cross_validate(folded, task, name, cv, classes, spark_params(name, point))
+            found = cross_validate(parts, task, name, classes, spark_params(name, point))
             score = sum(s.score for s in found) / len(found)
             best = max(best, (score, point), key=lambda b: b[0])
         rows.append((name, None if best[0] == -math.inf else best[0], {k: str(v) for k, v in best[1].items()}))
-        tuned[name] = fit_model(folded.drop("fold"), task, name, classes, spark_params(name, best[1]))
+        tuned[name] = fit_model(df, task, name, classes, spark_params(name, best[1]))
     return tuned, df.sparkSession.createDataFrame(rows, "model string, score double, params map<string,string>")
 
 
@@ -400,8 +445,8 @@ def search(
     cv: int = 3, seed: int = 42, spaces: dict | None = None, max_seconds: float | None = None,
 ) -> tuple[str | None, dict, list[Trial]]:
     """Random search per model; remembered settings of a similar dataset are tried first."""
-    folded = cut_lineage(with_folds(df, task, cv, seed))
-    classes = n_classes(folded, task)
+    classes = n_classes(df, task)
+    parts = prepare_folds(df, task, cv, seed)
     deadline = None if max_seconds is None else time.time() + max_seconds
     done: list[Trial] = []
     for name in names:
@@ -415,7 +460,7 @@ def search(
                 break
             drawn = draw(space, rng)
             params = {**drawn, **warm} if warm and i == 0 else drawn
-            found = cross_validate(folded, task, name, cv, classes, spark_params(name, params), deadline)
+            found = cross_validate(parts, task, name, classes, spark_params(name, params), deadline)
             if not found:
                 break
             score, spent = (sum(getattr(s, a) for s in found) / len(found) for a in ("score", "time_s"))
@@ -436,10 +481,11 @@ def layer_search(
     """
     if not task.is_classification:
         raise ValueError("networks are available for classification only")
-    parts = holdout(df, None, list(task.key), 0.2, seed)
-    folded = cut_lineage(parts.withColumn("fold", F.when(F.col("split") == "test", 0).otherwise(-1)).drop("split"))
-    classes = n_classes(folded, task)
-    train, test = folded.where("fold <> 0"), folded.where("fold = 0")
+    parts = cut_lineage(holdout(df, None, list(task.key), 0.2, seed))
+    classes = n_classes(parts, task)
+    prep = _prepare(parts.where("split = 'train'"), task)
+    ready = cut_lineage(prep.transform(_labelled(parts, task)).select(FEATURES, LABEL, "split"))
+    train, test = ready.where("split = 'train'"), ready.where("split = 'test'")
     rng = random.Random(seed)
     shapes = [(rng.choice(LAYER_COUNTS), rng.choice(LAYER_WIDTHS)) for _ in range(trials)]
     if prior and prior.get("dl_num_layers") and prior.get("dl_hidden_dim"):
@@ -448,11 +494,10 @@ def layer_search(
     w1, w2, w3 = ut.WEIGHTS["classification"]
     for i, (count, width) in enumerate(shapes):
         start = time.time()
-        model = fit_model(train, task, "mlp_clf", classes, {"hidden": [width] * count, "maxIter": max_iter})
+        model = _fit_estimator(train, task, "mlp_clf", classes, {"hidden": [width] * count, "maxIter": max_iter})
         spent = time.time() - start
-        out = model.transform(test.withColumn(LABEL, F.col(task.y).cast("double"))).select("prediction", LABEL)
-        score = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="accuracy").evaluate(out)
-        weights = len(model.stages[-1].weights)
+        score = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="accuracy").evaluate(model.transform(test))
+        weights = len(model.weights)
         value = w1 * max(0.0, min(1.0, score)) + w2 / (1 + spent) + w3 / (1 + weights / 10_000)
         params = {"dl_num_layers": count, "dl_hidden_dim": width}
         done.append(Trial("mlp_clf", i, params, score, spent, value, i == 0 and prior is not None))

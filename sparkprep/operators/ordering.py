@@ -183,6 +183,18 @@ def top_per_group(
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
+def few_values(df: DataFrame, col: str, limit: int = RANGES) -> list | None:
+    """The distinct non-null values in ascending order if there are at most `limit`, else None.
+
+    Only limit + 1 values are fetched, whatever the size of the column.
+    """
+    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    values = [r[0] for r in rows]
+    return sorted(values, key=lambda v: v.encode() if isinstance(v, str) else v)
+
+
 def dense_index(df: DataFrame, col: str, name: str = "index") -> DataFrame:
     """Distinct non-null values of a column with their 0-based position in ascending order."""
     distinct = df.select(col).where(F.col(col).isNotNull()).distinct()

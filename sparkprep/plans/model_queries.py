@@ -34,8 +34,7 @@ def trial_rows(spark, trials):
 
 @query("m2_cross_validate")
 def _(spark, d):
-    folded = m.with_folds(labelled(spark, d), TASK, 3)
-    scores = m.cross_validate(folded, TASK, "naive_bayes", 3, 3)
+    scores = m.cross_validate(m.prepare_folds(labelled(spark, d), TASK, 3), TASK, "naive_bayes", 3)
     return spark.createDataFrame([(s.model, s.fold, float(s.score)) for s in scores], "model string, fold int, score double")
 
 
