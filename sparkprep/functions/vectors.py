@@ -40,12 +40,16 @@ def pseudo_similarity(sq_distance: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + sq_distance)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with `value` computed once, also where the body uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit(a: Column) -> Column:
     """Vector scaled to length 1; a zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n < ZERO_NORM, as_double(a)).otherwise(
-        F.transform(as_double(a), lambda x: F.try_divide(x, n))
-    )
+    bound = F.struct(as_double(a).alias("v"), norm(a).alias("n"))
+    return _let(bound, lambda s: F.when(s["n"] < ZERO_NORM, s["v"]).otherwise(
+        F.transform(s["v"], lambda x: F.try_divide(x, s["n"]))))
 
 
 def finite(x: Column) -> Column:
@@ -55,11 +59,14 @@ def finite(x: Column) -> Column:
 
 def minmax_vector(a: Column) -> Column:
     """NaN, infinity and NULL become 0, then the vector is scaled to [0, 1] unless it is flat."""
+    def scaled(s: Column) -> Column:
+        return F.when(
+            s["hi"] - s["lo"] > 1e-12, F.transform(s["v"], lambda x: F.try_divide(x - s["lo"], s["hi"] - s["lo"]))
+        ).otherwise(s["v"])
+
     clean = F.transform(as_double(a), finite)
-    lo, hi = F.array_min(clean), F.array_max(clean)
-    return F.when(
-        hi - lo > 1e-12, F.transform(clean, lambda x: F.try_divide(x - lo, hi - lo))
-    ).otherwise(clean)
+    bounds = lambda v: F.struct(v.alias("v"), F.array_min(v).alias("lo"), F.array_max(v).alias("hi"))
+    return _let(_let(clean, bounds), scaled)
 
 
 def pad_to(a: Column, size: int) -> Column:

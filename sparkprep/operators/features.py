@@ -558,7 +558,7 @@ def text_vectors(df: DataFrame, text: str, hash_size: int = 256, size: int = VEC
     ]
     source = df.withColumn("__text", F.coalesce(text, F.lit("")))
     made = Pipeline(stages=stages).fit(source).transform(source).withColumn("__dense", vector_to_array("__idf"))
-    flat = made.drop("__text", "__tokens", "__tf", "__idf")
+    flat = cut_lineage(made.drop("__text", "__tokens", "__tf", "__idf"))
     return reduce_vectors(flat, "__dense", fit_pca(flat, "__dense", size), size, out).drop("__dense")
 
 

@@ -47,6 +47,14 @@ def _score(q: np.ndarray, m: np.ndarray, metric: str) -> np.ndarray:
     return -np.divide(dot, norms, out=np.zeros_like(dot), where=norms > 0)
 
 
+def _cosine(q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Row-wise cosine in [0, 1]; 0 for a zero vector."""
+    a, b = np.sqrt((q * q).sum(axis=1)), np.sqrt((m * m).sum(axis=1))
+    ok = (a >= vx.ZERO_NORM) & (b >= vx.ZERO_NORM)
+    raw = np.divide((q * m).sum(axis=1), a * b, out=np.zeros(len(q)), where=ok)
+    return np.clip(raw, 0.0, 1.0)
+
+
 def _best(qpos: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k smallest scores per query, ties by smaller id."""
     order = np.lexsort((ids, score, qpos))
@@ -57,7 +65,7 @@ def _best(qpos: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.nd
 
 
 def _block_top_k(qids, q, mids, m, k: int, metric: str, exclude_same: bool):
-    """(query positions, memory ids, scores) of the k closest memory rows of this block."""
+    """(query positions, memory ids, scores, cosines) of the k closest memory rows of this block."""
     out = []
     same = {v: i for i, v in enumerate(mids.tolist())} if exclude_same else {}
     q2, m2 = (q * q).sum(axis=1), (m * m).sum(axis=1)
@@ -85,17 +93,19 @@ def _block_top_k(qids, q, mids, m, k: int, metric: str, exclude_same: bool):
         # Scores of the few candidates again, pair by pair, so equal vectors tie exactly.
         score = _score(part[rows], m[cols], metric)
         keep = _best(rows, mids[cols], score, kk)
-        out.append((rows[keep] + lo, mids[cols[keep]], score[keep]))
+        rows, cols = rows[keep], cols[keep]
+        out.append((rows + lo, mids[cols], score[keep], _cosine(part[rows], m[cols])))
     if not out:
-        return np.zeros(0, int), mids[:0], np.zeros(0)
+        return np.zeros(0, int), mids[:0], np.zeros(0), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _result(qids, qpos, ids, score, schema: pa.Schema) -> pa.RecordBatch:
+def _result(qids, qpos, ids, score, cosine, schema: pa.Schema) -> pa.RecordBatch:
     arrays = [
         pa.array(qids[qpos].tolist(), schema.field(0).type),
         pa.array(ids.tolist(), schema.field(1).type),
         pa.array(score, pa.float64()),
+        pa.array(cosine, pa.float64()),
     ]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
@@ -128,14 +138,16 @@ def knn_join(
 ) -> DataFrame:
     """The k nearest memory rows of every query: (query_id, memory_id, distance, similarity, rank).
 
-    `distance` is the squared L2 distance, or the inner product / cosine itself; ties go to the
-    smaller memory id. Exact at any size: a side whose measured size fits `broadcast_bytes` is sent
-    to the other; otherwise both sides are cut into hash blocks that meet pairwise.
+    `distance` is the squared L2 distance, or the inner product / cosine itself; `similarity` is the
+    cosine in [0, 1]; ties go to the smaller memory id. Exact at any size: a side whose measured size fits `broadcast_bytes` is sent
+    to the other; otherwise both sides are cut into hash blocks that meet pairwise. The inputs are read
+    more than once (size, vectors), so store computed ones first.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     q, m = _side(queries, query_id, vec, "query"), _side(memory, memory_id, vec, "memory")
-    (nq, dq), (nm, dm) = _size(q, "query_vec"), _size(m, "memory_vec")
+    nm, dm = _size(m, "memory_vec")
+    nq, dq = (nm, dm) if queries is memory else _size(q, "query_vec")
     if nq and nm and dq != dm:
         raise ValueError(f"query vectors have {dq} elements, memory vectors {dm}")
     qbytes, mbytes = nq * dq * 8, nm * dm * 8
@@ -143,6 +155,7 @@ def knn_join(
         T.StructField("query_id", q.schema["query_id"].dataType),
         T.StructField("memory_id", m.schema["memory_id"].dataType),
         T.StructField("__score", T.DoubleType()),
+        T.StructField("similarity", T.DoubleType()),
     ])
     args = (k, metric, exclude_same, schema)
     if mbytes <= broadcast_bytes:
@@ -154,7 +167,7 @@ def knn_join(
     ranked = top_per_group(best, ["query_id"], [F.col("__score"), F.col("memory_id")], k)
     score = F.col("__score")
     return ranked.select(
-        "query_id", "memory_id", (score if metric == "l2" else -score).alias("distance"), "rank")
+        "query_id", "memory_id", (score if metric == "l2" else -score).alias("distance"), "similarity", "rank")
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -193,7 +206,7 @@ def _against_queries(q, m, k, metric, exclude_same, schema):
                 continue
             found = _block_top_k(qids, mat, _ids(b["memory_id"]), _matrix(b["memory_vec"]), k, metric, exclude_same)
             best = found if best is None else tuple(np.concatenate(x) for x in zip(best, found))
-            keep = _best(*best, k)
+            keep = _best(*best[:3], k)
             best = tuple(x[keep] for x in best)
         if best is not None:
             yield _result(qids, *best, arrow)
@@ -276,26 +289,19 @@ def knn_join_cells(
         T.StructField("query_id", q.schema["query_id"].dataType),
         T.StructField("memory_id", m.schema["memory_id"].dataType),
         T.StructField("__score", T.DoubleType()),
+        T.StructField("similarity", T.DoubleType()),
     ])
     keys = ["cell", "__i", "__j"]
     best = _meet(qc.select(*keys, "query_id", "query_vec"), mc.select(*keys, "memory_id", "memory_vec"), keys, k, "l2", False, schema)
     ranked = top_per_group(best, ["query_id"], [F.col("__score"), F.col("memory_id")], k)
-    return ranked.select("query_id", "memory_id", F.col("__score").alias("distance"), "rank")
+    return ranked.select("query_id", "memory_id", F.col("__score").alias("distance"), "similarity", "rank")
 
 
 # ---- around the neighbours ----------------------------------------------------------------------
 
-def with_records(
-    neighbors: DataFrame, memory: DataFrame, memory_id: str, queries: DataFrame | None = None,
-    query_id: str | None = None, vec: str = "embedding",
-) -> DataFrame:
-    """Attach the memory record of each neighbour and, given the queries, the clipped cosine."""
-    records = memory.withColumnRenamed(memory_id, "memory_id")
-    out = neighbors.join(records, "memory_id")
-    if queries is None:
-        return out
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vec).alias("__qvec"))
-    return out.join(q, "query_id").withColumn("similarity", vx.cosine(F.col("__qvec"), F.col(vec))).drop("__qvec")
+def with_records(neighbors: DataFrame, memory: DataFrame, memory_id: str, vec: str = "embedding") -> DataFrame:
+    """Attach the memory record of each neighbour. The vectors stay behind: the similarity is there already."""
+    return neighbors.join(memory.drop(vec).withColumnRenamed(memory_id, "memory_id"), "memory_id")
 
 
 def pair_spread(df: DataFrame, by: str, vec: str = "embedding") -> DataFrame:

@@ -4,29 +4,58 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import null_safe_join, running_sums
 
-# Values a single `percentile` buffer may hold before the narrowing passes take over.
-EXACT_ROWS = 1_000_000
+# Columns with at most this many values are aggregated directly.
+EXACT_ROWS = 20_000
+# Values of one narrowed bracket that may be sorted in one aggregation buffer.
+BRACKET_ROWS = 100_000
 _ACCURACY = 10_000
+_MARGIN = 2.5 / _ACCURACY
+_COLUMNS = 20
+
+
+@dataclass
+class _Rank:
+    """Search state of one quantile: the value at `rank` and the next one, between lo and hi."""
+
+    col: str
+    rank: int
+    size: int
+    below: int = 0
+    lo: float | None = None
+    hi: float | None = None
+    value: float | None = None
+    following: float | None = None
+
+    def inside(self) -> Column:
+        x = F.col(self.col).cast("double")
+        return x if self.lo is None else F.when(x.between(self.lo, self.hi), x)
 
 
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], exact_rows: int = EXACT_ROWS
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], exact_rows: int = EXACT_ROWS, bracket_rows: int = BRACKET_ROWS
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation, NULLs left out, as plain numbers.
 
-    A column of up to `exact_rows` values is aggregated directly. Above that an approximate quantile
-    brackets the wanted ranks, and the bracket is narrowed by further aggregate passes until it is
-    small; the answer is exact either way. Only a handful of numbers per column reach the driver.
+    One pass brackets every wanted rank of every column by approximate quantiles, a second counts the
+    rows below and inside the brackets, a third picks the ranks from the few rows inside. Brackets that
+    are still large are narrowed again, so the answer is exact at any size while no buffer holds more
+    than `bracket_rows` values. Only a handful of numbers per column reach the driver.
     """
-    cols = list(cols)
-    if not cols:
-        return {}
+    out: dict[str, list[float | None]] = {}
+    for start in range(0, len(cols), _COLUMNS):
+        out.update(_quantiles(df, list(cols)[start:start + _COLUMNS], list(probs), exact_rows, bracket_rows))
+    return out
+
+
+def _quantiles(df: DataFrame, cols: list[str], probs: list[float], exact_rows: int, bracket_rows: int) -> dict:
+    ends = sorted({min(1.0, max(0.0, p + m)) for p in probs for m in (-_MARGIN, _MARGIN)})
     counts = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
     small = [c for c in cols if counts[c] <= exact_rows]
     out: dict[str, list[float | None]] = {}
@@ -35,53 +64,95 @@ def exact_quantiles(
             *[F.expr(f"percentile(`{c}`, array({','.join(map(repr, probs))}))").alias(c) for c in small]
         ).first()
         out.update({c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in small})
-    for c in cols:
-        if c not in out:
-            values = df.select(F.col(c).cast("double").alias("x")).where(F.col("x").isNotNull())
-            out[c] = [_narrow(values, counts[c], p, exact_rows) for p in probs]
+    large = [c for c in cols if c not in out]
+    if large:
+        x = lambda c: F.col(c).cast("double")
+        approx = df.agg(*[F.percentile_approx(x(c), ends, _ACCURACY).alias(c) for c in large]).first()
+        wanted: dict[tuple[str, float], _Rank] = {}
+        for c in large:
+            at = dict(zip(ends, approx[c]))
+            for p in probs:
+                rank = math.floor(p * (counts[c] - 1))
+                lo, hi = (at[min(1.0, max(0.0, p + m))] for m in (-_MARGIN, _MARGIN))
+                wanted[c, p] = _Rank(c, rank, counts[c], 0, lo, hi)
+        _resolve(df, list(wanted.values()), bracket_rows)
+        for c in large:
+            out[c] = []
+            for p in probs:
+                found, position = wanted[c, p], p * (counts[c] - 1)
+                part = position - found.rank
+                out[c].append(found.value if part == 0 else found.value + (found.following - found.value) * part)
     return {c: out[c] for c in cols}
 
 
-def _narrow(values: DataFrame, n: int, p: float, exact_rows: int) -> float:
-    position = p * (n - 1)
-    low_rank = math.floor(position)
-    high_rank = min(low_rank + 1, n - 1)
-    low = _order_statistic(values, n, low_rank, exact_rows)
-    if high_rank == low_rank or position == low_rank:
-        return low
-    high = _order_statistic(values, n, high_rank, exact_rows)
-    return low + (high - low) * (position - low_rank)
-
-
-def _order_statistic(values: DataFrame, n: int, rank: int, exact_rows: int) -> float:
-    """Value with `rank` smaller-or-equal predecessors (0-based) among n values."""
-    inside, below, size = values, 0, n
-    while size > exact_rows:
-        share, margin = rank_share(rank - below, size), 4.0 / _ACCURACY
-        lo, hi = inside.select(
-            F.percentile_approx("x", [max(0.0, share - margin), min(1.0, share + margin)], _ACCURACY)
-        ).first()[0]
-        less, within = inside.select(
-            F.count_if(F.col("x") < lo), F.count_if(F.col("x").between(lo, hi))
-        ).first()
-        wanted = rank - below
-        if less <= wanted < less + within:
-            if lo == hi:
-                return lo
-            if within == size:
-                break
-            inside, below, size = inside.where(F.col("x").between(lo, hi)), below + less, within
-        elif wanted < less:
-            inside, size = inside.where(F.col("x") < lo), less
-        else:
-            inside, below, size = inside.where(F.col("x") > hi), below + less + within, size - less - within
-    counted = inside.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_sums(counted, [], "x", {"seen": "n"})
-    return ranked.where(F.col("seen") > rank - below).agg(F.min("x")).first()[0]
-
-
-def rank_share(rank: int, size: int) -> float:
-    return rank / max(size - 1, 1)
+def _resolve(df: DataFrame, ranks: list[_Rank], bracket_rows: int) -> None:
+    """Fill in value and following of every rank; all open ranks share each pass."""
+    outer: dict[int, tuple] = {}
+    while ranks:
+        aggs = []
+        for i, r in enumerate(ranks):
+            x = F.col(r.col).cast("double")
+            aggs += [F.count_if(x < r.lo).alias(f"less{i}"), F.count_if(x.between(r.lo, r.hi)).alias(f"within{i}"),
+                     F.min(F.when(x > r.hi, x)).alias(f"next{i}")]
+        row = df.agg(*aggs).first()
+        pick, again = [], []
+        for i, r in enumerate(ranks):
+            less, within, above = row[f"less{i}"], row[f"within{i}"], row[f"next{i}"]
+            if not less <= r.rank < less + within:
+                # The approximation missed its error bound: count all values of the column instead.
+                r.lo = r.hi = None
+                _count_values(df, r, 0, None)
+            elif r.lo == r.hi:
+                r.value = r.lo
+                r.following = r.lo if r.rank + 1 < less + within else above
+            elif within <= bracket_rows:
+                pick.append((r, less, above))
+            elif (r.lo, r.hi) == outer.get(id(r)):
+                _count_values(df, r, less, above)
+            else:
+                r.below, r.size = less, within
+                outer[id(r)] = (r.lo, r.hi)
+                again.append(r)
+        _pick(df, pick)
+        _narrow(df, again)
+        ranks = again
+
+
+def _pick(df: DataFrame, found: list[tuple[_Rank, int, float]]) -> None:
+    """Read the ranks from the sorted values of small brackets."""
+    if not found:
+        return
+    aggs = []
+    for i, (r, less, _) in enumerate(found):
+        values = F.sort_array(F.collect_list(r.inside()))
+        aggs.append(F.slice(values, r.rank - less + 1, 2).alias(f"v{i}"))
+    row = df.agg(*aggs).first()
+    for i, (r, less, above) in enumerate(found):
+        r.value = row[f"v{i}"][0]
+        r.following = row[f"v{i}"][1] if len(row[f"v{i}"]) > 1 else above
+
+
+def _narrow(df: DataFrame, ranks: list[_Rank]) -> None:
+    """Tighter brackets from approximate quantiles of the values inside the present ones."""
+    if not ranks:
+        return
+    aggs = []
+    for i, r in enumerate(ranks):
+        share = min(1.0, max(0.0, (r.rank - r.below) / max(r.size - 1, 1)))
+        ends = [max(0.0, share - _MARGIN), min(1.0, share + _MARGIN)]
+        aggs.append(F.percentile_approx(r.inside(), ends, _ACCURACY).alias(f"a{i}"))
+    row = df.agg(*aggs).first()
+    for i, r in enumerate(ranks):
+        r.lo, r.hi = row[f"a{i}"]
+
+
+def _count_values(df: DataFrame, r: _Rank, less: int, above: float | None) -> None:
+    """Copies keep a bracket large: count its distinct values and accumulate the counts in ranges."""
+    counted = df.select(r.inside().alias("x")).where(F.col("x").isNotNull()).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    seen = running_sums(counted, [], "x", {"seen": "n"})
+    at = lambda k: F.min(F.when(F.col("seen") > k, F.col("x")))
+    r.value, following = seen.agg(at(r.rank - less), at(r.rank - less + 1)).first()
+    r.following = above if following is None else following
 
 
 def grouped_quantiles(

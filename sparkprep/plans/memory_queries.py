@@ -70,12 +70,12 @@ def knn(spark, d, k=K, metric="l2"):
 
 def neighbors(spark, d, k=K):
     rec = records(spark, d)
-    return nb.with_records(knn(spark, d, k), rec, "vec_id", rec, "vec_id")
+    return nb.with_records(knn(spark, d, k), rec, "vec_id")
 
 
 @query("j4_knn_join", f"WITH {KNN_SQL} SELECT query_id, memory_id, round(distance, 6) AS distance, rank FROM knn")
 def _(spark, d):
-    return knn(spark, d).withColumn("distance", F.round("distance", R))
+    return knn(spark, d).drop("similarity").withColumn("distance", F.round("distance", R))
 
 
 @query("j4_knn_join_blocks", f"WITH {KNN_SQL} SELECT query_id, memory_id, round(distance, 6) AS distance, rank FROM knn")
@@ -83,7 +83,7 @@ def _(spark, d):
     e = table(spark, d, "embeddings")
     size = e.count() * 64 * 8
     out = nb.knn_join(e, e, K, query_id="vec_id", memory_id="vec_id", exclude_same=True, broadcast_bytes=size // 3)
-    return out.withColumn("distance", F.round("distance", R))
+    return out.drop("similarity").withColumn("distance", F.round("distance", R))
 
 
 @query("v3_knn_inner_product", f"""WITH {MEM_SQL}, p AS (SELECT q.vec_id AS query_id, m.vec_id AS memory_id, list_inner_product(q.e, m.e) AS ip

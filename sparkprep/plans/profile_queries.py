@@ -10,7 +10,7 @@ from ..functions import scalars as fx
 from ..operators import features as fe
 from ..operators import neighbors as nb
 from ..operators import profile
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import tables
 from .clean_queries import ORDERS_WITH_GAPS, orders_with_gaps
 from .registry import query, table
@@ -148,7 +148,7 @@ def _(spark, d):
 
 @query("a13_iqr_bounds_narrowing", QUARTS_SQL)
 def _(spark, d):
-    return _bounds(spark, profile.iqr_bounds(lines(spark, d), NUM, exact_rows=2000))
+    return _bounds(spark, profile.iqr_bounds(lines(spark, d), NUM, exact_rows=100, bracket_rows=20))
 
 
 NORMAL_SQL = f"""WITH {GAPS_SQL}, s AS ({_union("SELECT '{c}' AS col, count({c})::DOUBLE AS n, skewness({c}) AS gg, kurtosis_pop({c}) AS k FROM li", NUM)}),
@@ -218,7 +218,7 @@ def _(spark, d):
 SELECT ds, nearest, round(dist, 8) AS distance FROM pr QUALIFY row_number() OVER (PARTITION BY ds ORDER BY dist, nearest) = 1""")
 def nearest_dataset(spark, d):
     """Which slice of the data is most like each slice: fingerprints, then an exact nearest-neighbour join."""
-    fp = profile.fingerprints(lines(spark, d), FP_FEATURES, "l_returnflag", ["ds"])
+    fp = cut_lineage(profile.fingerprints(lines(spark, d), FP_FEATURES, "l_returnflag", ["ds"]))
     near = nb.knn_join(fp, fp, 1, query_id="ds", memory_id="ds", exclude_same=True)
     return near.select(F.col("query_id").alias("ds"), F.col("memory_id").alias("nearest"), F.round("distance", 8).alias("distance"))
 

@@ -115,11 +115,11 @@ def test_top_per_group_large_k(spark, skewed):
     assert {r[0]: r[1] for r in got}["hot"] == 1100
 
 
-@pytest.mark.parametrize("limit", [10, 10**6])
+@pytest.mark.parametrize("limit", [(10, 3), (10, 10**6), (10**6, 10)])
 def test_exact_quantiles_both_ways(skewed, limit):
     pdf = skewed.toPandas()
     probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
-    got = quantiles.exact_quantiles(skewed, ["x"], probs, exact_rows=limit)["x"]
+    got = quantiles.exact_quantiles(skewed, ["x"], probs, *limit)["x"]
     assert got == pytest.approx([pdf["x"].quantile(p) for p in probs])
 
 
