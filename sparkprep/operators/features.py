@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from itertools import combinations, permutations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -483,15 +483,14 @@ def mutual_information(df: DataFrame, cols: Sequence[str], y: str, bins: int = 1
         .groupBy("e.column", "e.bin", "label").agg(F.count(F.lit(1)).alias("n"))
     )
 
-    def n_log_n(keys: list[str], name: str) -> DataFrame:
-        n = F.col("n").cast("double")
-        return joint.groupBy("column", *keys).agg(F.sum("n").alias("n")).groupBy("column").agg(
-            F.sum(n * F.ln(n)).alias(name), F.sum("n").alias(f"{name}_total"))
+    # At most bins x classes rows per column from here on.
+    def total(*keys: str) -> Column:
+        return F.sum("n").over(Window.partitionBy("column", *keys)).cast("double")
 
-    both = n_log_n(["bin", "label"], "j").join(n_log_n(["bin"], "b"), "column").join(n_log_n(["label"], "l"), "column")
-    total = F.col("j_total").cast("double")
-    mi = F.ln(total) + (F.col("j") - F.col("b") - F.col("l")) / total
-    return both.select("column", F.greatest(F.lit(0.0), mi).alias("mi")).orderBy(F.col("mi").desc(), "column")
+    n = F.col("n").cast("double")
+    shares = joint.select("column", n.alias("n"), total().alias("t"), total("bin").alias("b"), total("label").alias("l"))
+    mi = F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("b") * F.col("l"))))
+    return shares.groupBy("column").agg(F.greatest(F.lit(0.0), mi).alias("mi")).orderBy(F.col("mi").desc(), "column")
 
 
 def select_features(df: DataFrame, cols: Sequence[str], y: str, k: int = 10, **kw) -> list[str]:

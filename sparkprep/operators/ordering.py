@@ -10,14 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Quantile cut points fitted per order column; each interval is split further on wide clusters.
 RANGES = 64
+TEXT_RANGES = 256
 _BUCKET = "__range"
 
 
+def range_goal(spark: SparkSession) -> int:
+    """How many ranges a group should be cut into: a few per shuffle partition of the session."""
+    return max(RANGES, 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join on equal keys where NULL equals NULL; key columns are kept once."""
     if not keys:
@@ -29,7 +36,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def cut_points(df: DataFrame, col: str, parts: int = RANGES) -> list:
-    """Up to parts - 1 values that split `col` into ranges of similar size.
+    """Values that split `col` into ranges of similar size; for numbers with the smallest and largest.
 
     They only decide how work is spread, so an approximate quantile (numbers, times) or a hash-ordered
     sample of distinct values (text) is enough. Only these few values reach the driver.
@@ -41,7 +48,7 @@ def cut_points(df: DataFrame, col: str, parts: int = RANGES) -> list:
             .orderBy(F.xxhash64(col)).limit(parts - 1).collect()
         )
         return sorted({r[0] for r in picked}, key=lambda s: s.encode())
-    probs = [i / parts for i in range(1, parts)]
+    probs = [i / parts for i in range(parts + 1)]
     cuts = df.select(F.percentile_approx(F.col(col).cast("double"), probs, 1000)).first()[0]
     return sorted(set(cuts or []))
 
@@ -57,22 +64,41 @@ def range_of(x: Column, cuts: Sequence) -> Column:
     return node(0, len(cuts))
 
 
-def with_range(df: DataFrame, col: str, parts: int = RANGES, spread: DataFrame | None = None) -> DataFrame:
-    """Add the range number of a column. `spread` is a cheaper table with the same values in that
-    column, for the cut points, when `df` itself is costly to compute twice."""
-    x = F.col(col)
-    if not isinstance(df.schema[col].dataType, T.StringType):
-        x = x.cast("double")
-    return df.withColumn(_BUCKET, range_of(x, cut_points(df if spread is None else spread, col, parts)))
+def with_range(df: DataFrame, col: str, spread: DataFrame | None = None) -> DataFrame:
+    """Add an order-preserving range number of a column.
+
+    Numbers: quantile intervals, each split evenly into as many pieces as the session's shuffle width
+    asks for. Text: intervals between sampled values. `spread` is a cheaper table with the same values
+    in that column, for the cut points, when `df` itself is costly to compute twice.
+    """
+    source, x = df if spread is None else spread, F.col(col)
+    if isinstance(df.schema[col].dataType, T.StringType):
+        return df.withColumn(_BUCKET, range_of(x, cut_points(source, col, TEXT_RANGES)))
+    x = x.cast("double")
+    cuts = cut_points(source, col)
+    if len(cuts) < 2:
+        return df.withColumn(_BUCKET, F.lit(0))
+    interval = F.when(x.isNull(), -1).otherwise(range_of(x, cuts[1:-1]))
+    pieces = -(-range_goal(df.sparkSession) // RANGES)
+    if pieces == 1:
+        return df.withColumn(_BUCKET, interval)
+    low = F.array(*[F.lit(v) for v in cuts[:-1]])
+    width = F.array(*[F.lit(b - a) for a, b in zip(cuts, cuts[1:])])
+    at = F.greatest(F.lit(1), F.col("__interval") + 1)
+    piece = F.floor((x - F.element_at(low, at)) / F.element_at(width, at) * pieces)
+    inside = F.greatest(F.lit(0), F.least(F.lit(pieces - 1), piece))
+    return df.withColumn("__interval", interval).withColumn(
+        _BUCKET, (F.col("__interval") * pieces + F.coalesce(inside, F.lit(0))).cast("long")).drop("__interval")
 
 
 def with_hash_range(df: DataFrame, hash_col: str) -> DataFrame:
     """Ranges of a 64-bit hash column: its leading bits, no pass over the data needed."""
-    return df.withColumn(_BUCKET, F.shiftright(F.col(hash_col), 57))
+    bits = (range_goal(df.sparkSession) - 1).bit_length()
+    return df.withColumn(_BUCKET, F.shiftright(F.col(hash_col), 64 - bits))
 
 
-def _ranges(df: DataFrame, order: str, parts: int, hashed: bool, spread: DataFrame | None = None) -> DataFrame:
-    return with_hash_range(df, order) if hashed else with_range(df, order, parts, spread)
+def _ranges(df: DataFrame, order: str, hashed: bool, spread: DataFrame | None = None) -> DataFrame:
+    return with_hash_range(df, order) if hashed else with_range(df, order, spread)
 
 
 def running_sums(
@@ -83,7 +109,6 @@ def running_sums(
     *,
     descending: bool = False,
     inclusive: bool = True,
-    parts: int = RANGES,
     spread: DataFrame | None = None,
 ) -> DataFrame:
     """Add running totals of columns, per group and in the order of a column without ties.
@@ -91,7 +116,7 @@ def running_sums(
     `sums` maps new column names to summed columns. With inclusive=False a row does not count itself.
     """
     by = list(by)
-    ranged = _ranges(df, order, parts, False, spread)
+    ranged = _ranges(df, order, False, spread)
     totals = ranged.groupBy(*by, _BUCKET).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
     step = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
     before = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
@@ -121,7 +146,6 @@ def row_rank(
     name: str = "rank",
     *,
     hashed: bool = False,
-    parts: int = RANGES,
 ) -> DataFrame:
     """Add the 1-based row number inside each group, ascending by `order`.
 
@@ -129,7 +153,7 @@ def row_rank(
     64-bit hash.
     """
     by = list(by)
-    ranged = _ranges(df, order[0], parts, hashed)
+    ranged = _ranges(df, order[0], hashed)
     sizes = ranged.groupBy(*by, _BUCKET).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, _BUCKET, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
@@ -146,10 +170,10 @@ def hash_rank(df: DataFrame, by: Sequence[str], key: Sequence[str], seed: int, n
     return row_rank(hashed, by, ["__h", *key], name, hashed=True).drop("__h")
 
 
-def forward_fill(df: DataFrame, col: str, order: str, by: Sequence[str] = (), parts: int = RANGES) -> DataFrame:
+def forward_fill(df: DataFrame, col: str, order: str, by: Sequence[str] = ()) -> DataFrame:
     """Replace NULL in `col` by the last value before it, in the order of a unique column."""
     by = list(by)
-    ranged = _ranges(df, order, parts, False)
+    ranged = _ranges(df, order, False)
     present = F.col(col).isNotNull()
     tails = ranged.groupBy(*by, _BUCKET).agg(
         F.max_by(F.when(present, F.col(col)), F.when(present, F.col(order))).alias("__last")

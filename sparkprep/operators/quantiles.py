@@ -4,49 +4,32 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import null_safe_join, running_sums
+from .ordering import null_safe_join, range_of, running_sums
 
 # Columns with at most this many values are aggregated directly.
 EXACT_ROWS = 20_000
-# Values of one narrowed bracket that may be sorted in one aggregation buffer.
+# Values of one region that may be sorted in one aggregation buffer.
 BRACKET_ROWS = 100_000
 _ACCURACY = 10_000
 _MARGIN = 2.5 / _ACCURACY
+_SPLITS = 128
 _COLUMNS = 20
 
 
-@dataclass
-class _Rank:
-    """Search state of one quantile: the value at `rank` and the next one, between lo and hi."""
-
-    col: str
-    rank: int
-    size: int
-    below: int = 0
-    lo: float | None = None
-    hi: float | None = None
-    value: float | None = None
-    following: float | None = None
-
-    def inside(self) -> Column:
-        x = F.col(self.col).cast("double")
-        return x if self.lo is None else F.when(x.between(self.lo, self.hi), x)
-
-
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], exact_rows: int = EXACT_ROWS, bracket_rows: int = BRACKET_ROWS
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation, NULLs left out, as plain numbers.
 
-    One pass brackets every wanted rank of every column by approximate quantiles, a second counts the
-    rows below and inside the brackets, a third picks the ranks from the few rows inside. Brackets that
-    are still large are narrowed again, so the answer is exact at any size while no buffer holds more
-    than `bracket_rows` values. Only a handful of numbers per column reach the driver.
+    One pass finds approximate quantiles around every wanted rank of every column. They cut each
+    column into regions, a second pass counts the rows per region, and a third reads the ranks from
+    the few rows of their regions. Regions that are still large are cut again, so the answer is exact
+    at any size while no buffer holds more than `bracket_rows` values. Every cut value is a region of
+    its own, so copies never keep a region large. Only counts and single values reach the driver.
     """
     out: dict[str, list[float | None]] = {}
     for start in range(0, len(cols), _COLUMNS):
@@ -55,8 +38,12 @@ def exact_quantiles(
 
 
 def _quantiles(df: DataFrame, cols: list[str], probs: list[float], exact_rows: int, bracket_rows: int) -> dict:
-    ends = sorted({min(1.0, max(0.0, p + m)) for p in probs for m in (-_MARGIN, _MARGIN)})
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
+    around = sorted({min(1.0, max(0.0, p + m)) for p in probs for m in (-_MARGIN, _MARGIN)})
+    x = lambda c: F.col(c).cast("double")
+    first = df.agg(
+        *[F.count(c).alias(f"{c}__n") for c in cols], *[F.percentile_approx(x(c), around, _ACCURACY).alias(f"{c}__a") for c in cols]
+    ).first()
+    counts = {c: first[f"{c}__n"] for c in cols}
     small = [c for c in cols if counts[c] <= exact_rows]
     out: dict[str, list[float | None]] = {}
     if small:
@@ -66,93 +53,92 @@ def _quantiles(df: DataFrame, cols: list[str], probs: list[float], exact_rows: i
         out.update({c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in small})
     large = [c for c in cols if c not in out]
     if large:
-        x = lambda c: F.col(c).cast("double")
-        approx = df.agg(*[F.percentile_approx(x(c), ends, _ACCURACY).alias(c) for c in large]).first()
-        wanted: dict[tuple[str, float], _Rank] = {}
-        for c in large:
-            at = dict(zip(ends, approx[c]))
-            for p in probs:
-                rank = math.floor(p * (counts[c] - 1))
-                lo, hi = (at[min(1.0, max(0.0, p + m))] for m in (-_MARGIN, _MARGIN))
-                wanted[c, p] = _Rank(c, rank, counts[c], 0, lo, hi)
-        _resolve(df, list(wanted.values()), bracket_rows)
+        position = {c: [p * (counts[c] - 1) for p in probs] for c in large}
+        ranks = {c: {r for v in position[c] for r in (math.floor(v), min(math.floor(v) + 1, counts[c] - 1))} for c in large}
+        values = _order_statistics(df, {c: first[f"{c}__a"] for c in large}, ranks, bracket_rows)
         for c in large:
             out[c] = []
-            for p in probs:
-                found, position = wanted[c, p], p * (counts[c] - 1)
-                part = position - found.rank
-                out[c].append(found.value if part == 0 else found.value + (found.following - found.value) * part)
+            for v in position[c]:
+                low = values[c, math.floor(v)]
+                high = values[c, min(math.floor(v) + 1, counts[c] - 1)]
+                out[c].append(low + (high - low) * (v - math.floor(v)))
     return {c: out[c] for c in cols}
 
 
-def _resolve(df: DataFrame, ranks: list[_Rank], bracket_rows: int) -> None:
-    """Fill in value and following of every rank; all open ranks share each pass."""
-    outer: dict[int, tuple] = {}
-    while ranks:
-        aggs = []
-        for i, r in enumerate(ranks):
-            x = F.col(r.col).cast("double")
-            aggs += [F.count_if(x < r.lo).alias(f"less{i}"), F.count_if(x.between(r.lo, r.hi)).alias(f"within{i}"),
-                     F.min(F.when(x > r.hi, x)).alias(f"next{i}")]
-        row = df.agg(*aggs).first()
-        pick, again = [], []
-        for i, r in enumerate(ranks):
-            less, within, above = row[f"less{i}"], row[f"within{i}"], row[f"next{i}"]
-            if not less <= r.rank < less + within:
-                # The approximation missed its error bound: count all values of the column instead.
-                r.lo = r.hi = None
-                _count_values(df, r, 0, None)
-            elif r.lo == r.hi:
-                r.value = r.lo
-                r.following = r.lo if r.rank + 1 < less + within else above
-            elif within <= bracket_rows:
-                pick.append((r, less, above))
-            elif (r.lo, r.hi) == outer.get(id(r)):
-                _count_values(df, r, less, above)
-            else:
-                r.below, r.size = less, within
-                outer[id(r)] = (r.lo, r.hi)
-                again.append(r)
-        _pick(df, pick)
-        _narrow(df, again)
-        ranks = again
-
-
-def _pick(df: DataFrame, found: list[tuple[_Rank, int, float]]) -> None:
-    """Read the ranks from the sorted values of small brackets."""
-    if not found:
-        return
-    aggs = []
-    for i, (r, less, _) in enumerate(found):
-        values = F.sort_array(F.collect_list(r.inside()))
-        aggs.append(F.slice(values, r.rank - less + 1, 2).alias(f"v{i}"))
-    row = df.agg(*aggs).first()
-    for i, (r, less, above) in enumerate(found):
-        r.value = row[f"v{i}"][0]
-        r.following = row[f"v{i}"][1] if len(row[f"v{i}"]) > 1 else above
-
-
-def _narrow(df: DataFrame, ranks: list[_Rank]) -> None:
-    """Tighter brackets from approximate quantiles of the values inside the present ones."""
-    if not ranks:
-        return
-    aggs = []
-    for i, r in enumerate(ranks):
-        share = min(1.0, max(0.0, (r.rank - r.below) / max(r.size - 1, 1)))
-        ends = [max(0.0, share - _MARGIN), min(1.0, share + _MARGIN)]
-        aggs.append(F.percentile_approx(r.inside(), ends, _ACCURACY).alias(f"a{i}"))
-    row = df.agg(*aggs).first()
-    for i, r in enumerate(ranks):
-        r.lo, r.hi = row[f"a{i}"]
-
-
-def _count_values(df: DataFrame, r: _Rank, less: int, above: float | None) -> None:
-    """Copies keep a bracket large: count its distinct values and accumulate the counts in ranges."""
-    counted = df.select(r.inside().alias("x")).where(F.col("x").isNotNull()).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    seen = running_sums(counted, [], "x", {"seen": "n"})
-    at = lambda k: F.min(F.when(F.col("seen") > k, F.col("x")))
-    r.value, following = seen.agg(at(r.rank - less), at(r.rank - less + 1)).first()
-    r.following = above if following is None else following
+def _order_statistics(df: DataFrame, cuts: dict[str, list[float]], ranks: dict[str, set[int]], bracket_rows: int) -> dict:
+    """Values at 0-based ranks of several columns, {(column, rank): value}."""
+    ends = {c: _isolated(v) for c, v in cuts.items()}
+    while True:
+        regions = _count_regions(df, ends)
+        values: dict[tuple[str, int], float] = {}
+        open_: dict[tuple[str, int], list[tuple[int, int]]] = {}
+        split = set()
+        for c, wanted in ranks.items():
+            below, todo = 0, sorted(wanted)
+            for region, n, lo, hi in regions[c]:
+                while todo and todo[0] < below + n:
+                    rank = todo.pop(0)
+                    if lo == hi:
+                        values[c, rank] = lo
+                    else:
+                        open_.setdefault((c, region), []).append((rank, rank - below + 1))
+                        if n > bracket_rows:
+                            split.add((c, region))
+                below += n
+        if not split:
+            return {**values, **_pick(df, ends, open_)}
+        for c, more in _split_regions(df, ends, split).items():
+            ends[c] = _isolated([*ends[c], *more])
+
+
+def _isolated(values: Sequence[float]) -> list[float]:
+    """Region ends such that every given value is alone in its region."""
+    return sorted({e for v in values for e in (math.nextafter(v, -math.inf), v)})
+
+
+def _in_regions(df: DataFrame, ends: dict[str, list[float]]) -> DataFrame:
+    """(column, region, x): region r holds the values above end r - 1, up to and with end r."""
+    entries = []
+    for c, cut in ends.items():
+        x = F.col(c).cast("double")
+        entries.append(F.struct(F.lit(c).alias("column"), range_of(x, cut).alias("region"), x.alias("x")))
+    return df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("x").isNotNull())
+
+
+def _count_regions(df: DataFrame, ends: dict[str, list[float]]) -> dict[str, list[tuple]]:
+    rows = _in_regions(df, ends).groupBy("column", "region").agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+    out: dict[str, list[tuple]] = {c: [] for c in ends}
+    for r in rows:
+        out[r["column"]].append((r["region"], r["n"], r["lo"], r["hi"]))
+    return {c: sorted(v) for c, v in out.items()}
+
+
+def _only(keys) -> Column:
+    return F.struct("column", "region").isin([F.struct(F.lit(c), F.lit(r)) for c, r in keys])
+
+
+def _split_regions(df: DataFrame, ends: dict[str, list[float]], split: set) -> dict[str, list[float]]:
+    grid = [i / _SPLITS for i in range(_SPLITS + 1)]
+    rows = _in_regions(df, ends).where(_only(sorted(split))).groupBy("column", "region").agg(
+        F.percentile_approx("x", grid, _ACCURACY).alias("a")).collect()
+    out: dict[str, list[float]] = {}
+    for r in rows:
+        out.setdefault(r["column"], []).extend(r["a"])
+    return out
+
+
+def _pick(df: DataFrame, ends: dict[str, list[float]], wanted: dict) -> dict:
+    """Read the open ranks from the sorted values of their regions; only the asked values are returned."""
+    if not wanted:
+        return {}
+    places = F.create_map(*[v for (c, r), at in wanted.items() for v in (F.lit(f"{r} {c}"), F.array(*[F.lit(k) for _, k in at]))])
+    key = F.concat_ws(" ", F.col("region").cast("string"), "column")
+    rows = (
+        _in_regions(df, ends).where(_only(wanted)).groupBy("column", "region").agg(F.sort_array(F.collect_list("x")).alias("v"))
+        .select("column", "region", F.transform(F.element_at(places, key), lambda k: F.element_at("v", k)).alias("picked")).collect()
+    )
+    return {(r["column"], rank): value for r in rows for (rank, _), value in zip(wanted[r["column"], r["region"]], r["picked"])}
 
 
 def grouped_quantiles(

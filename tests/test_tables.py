@@ -355,3 +355,22 @@ def test_replies(spark):
 def test_durations(spark):
     df = spark.createDataFrame([("10m", 600.0), (" 30S", 30.0), ("2h", 7200.0), ("5", 300.0), ("x", None)], "t string, want double")
     assert all(r["want"] == r["got"] for r in df.withColumn("got", fx.duration_seconds(F.col("t"))).collect())
+
+
+def test_ranges_follow_the_shuffle_width(spark, skewed):
+    """More shuffle partitions cut a group into more ranges, with the same result."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "300")
+        ranged = ordering.with_range(skewed, "id")
+        assert ranged.where("cls = 'hot'").select("__range").distinct().count() > 500
+        lo_hi = ranged.groupBy("__range").agg(F.min("id").alias("a"), F.max("id").alias("b")).orderBy("__range").collect()
+        assert all(x["b"] < y["a"] for x, y in zip(lo_hi, lo_hi[1:]))
+        pdf = skewed.toPandas().sort_values("id")
+        got = ordering.row_rank(skewed, ["cls"], ["id"], "r").toPandas().sort_values("id")
+        assert (got["r"].values == pdf.groupby("cls").cumcount().values + 1).all()
+        seeded = ordering.hash_rank(skewed, ["cls"], ["id"], 7).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    narrow = ordering.hash_rank(skewed, ["cls"], ["id"], 7).toPandas()
+    assert seeded.sort_values("id")["rank"].tolist() == narrow.sort_values("id")["rank"].tolist()
