@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,13 +96,24 @@ def _isolated(values: Sequence[float]) -> list[float]:
     return sorted({e for v in values for e in (math.nextafter(v, -math.inf), v)})
 
 
-def _in_regions(df: DataFrame, ends: dict[str, list[float]]) -> DataFrame:
-    """(column, region, x): region r holds the values above end r - 1, up to and with end r."""
+def _in_regions(df: DataFrame, ends: dict[str, list[float]], only: Iterable[tuple[str, int]] | None = None) -> DataFrame:
+    """(column, region, x): region r holds the values above end r - 1, up to and with end r.
+
+    With `only`, rows of other (column, region) pairs are left out.
+    """
+    kept: dict[str, list[int]] = {}
+    for c, r in only or ():
+        kept.setdefault(c, []).append(r)
     entries = []
     for c, cut in ends.items():
+        if only is not None and c not in kept:
+            continue
         x = F.col(c).cast("double")
-        entries.append(F.struct(F.lit(c).alias("column"), range_of(x, cut).alias("region"), x.alias("x")))
-    return df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("x").isNotNull())
+        region = range_of(x, cut)
+        if only is not None:
+            region = F.when(region.isin(sorted(kept[c])), region)
+        entries.append(F.struct(F.lit(c).alias("column"), F.when(x.isNotNull(), region).alias("region"), x.alias("x")))
+    return df.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e.region").isNotNull()).select("e.*")
 
 
 def _count_regions(df: DataFrame, ends: dict[str, list[float]]) -> dict[str, list[tuple]]:
@@ -114,13 +125,9 @@ def _count_regions(df: DataFrame, ends: dict[str, list[float]]) -> dict[str, lis
     return {c: sorted(v) for c, v in out.items()}
 
 
-def _only(keys) -> Column:
-    return F.struct("column", "region").isin([F.struct(F.lit(c), F.lit(r)) for c, r in keys])
-
-
 def _split_regions(df: DataFrame, ends: dict[str, list[float]], split: set) -> dict[str, list[float]]:
     grid = [i / _SPLITS for i in range(_SPLITS + 1)]
-    rows = _in_regions(df, ends).where(_only(sorted(split))).groupBy("column", "region").agg(
+    rows = _in_regions(df, ends, split).groupBy("column", "region").agg(
         F.percentile_approx("x", grid, _ACCURACY).alias("a")).collect()
     out: dict[str, list[float]] = {}
     for r in rows:
@@ -135,7 +142,7 @@ def _pick(df: DataFrame, ends: dict[str, list[float]], wanted: dict) -> dict:
     places = F.create_map(*[v for (c, r), at in wanted.items() for v in (F.lit(f"{r} {c}"), F.array(*[F.lit(k) for _, k in at]))])
     key = F.concat_ws(" ", F.col("region").cast("string"), "column")
     rows = (
-        _in_regions(df, ends).where(_only(wanted)).groupBy("column", "region").agg(F.sort_array(F.collect_list("x")).alias("v"))
+        _in_regions(df, ends, wanted).groupBy("column", "region").agg(F.sort_array(F.collect_list("x")).alias("v"))
         .select("column", "region", F.transform(F.element_at(places, key), lambda k: F.element_at("v", k)).alias("picked")).collect()
     )
     return {(r["column"], rank): value for r in rows for (rank, _), value in zip(wanted[r["column"], r["region"]], r["picked"])}
