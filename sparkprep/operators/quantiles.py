@@ -72,7 +72,7 @@ def _order_statistics(df: DataFrame, cuts: dict[str, list[float]], ranks: dict[s
         regions = _count_regions(df, ends)
         values: dict[tuple[str, int], float] = {}
         open_: dict[tuple[str, int], list[tuple[int, int]]] = {}
-        split = set()
+        split: dict[tuple[str, int], list[float]] = {}
         for c, wanted in ranks.items():
             below, todo = 0, sorted(wanted)
             for region, n, lo, hi in regions[c]:
@@ -83,7 +83,7 @@ def _order_statistics(df: DataFrame, cuts: dict[str, list[float]], ranks: dict[s
                     else:
                         open_.setdefault((c, region), []).append((rank, rank - below + 1))
                         if n > bracket_rows:
-                            split.add((c, region))
+                            split.setdefault((c, region), []).append((rank - below) / (n - 1))
                 below += n
         if not split:
             return {**values, **_pick(df, ends, open_)}
@@ -125,13 +125,18 @@ def _count_regions(df: DataFrame, ends: dict[str, list[float]]) -> dict[str, lis
     return {c: sorted(v) for c, v in out.items()}
 
 
-def _split_regions(df: DataFrame, ends: dict[str, list[float]], split: set) -> dict[str, list[float]]:
+def _split_regions(df: DataFrame, ends: dict[str, list[float]], split: dict[tuple[str, int], list[float]]) -> dict[str, list[float]]:
+    """New cut values inside large regions: the points of a quantile grid next to the wanted shares.
+
+    Only those few are kept, so the range expression of a column stays small however often it is cut.
+    """
     grid = [i / _SPLITS for i in range(_SPLITS + 1)]
     rows = _in_regions(df, ends, split).groupBy("column", "region").agg(
         F.percentile_approx("x", grid, _ACCURACY).alias("a")).collect()
     out: dict[str, list[float]] = {}
     for r in rows:
-        out.setdefault(r["column"], []).extend(r["a"])
+        near = {int(s * _SPLITS) + i for s in split[r["column"], r["region"]] for i in (-1, 0, 1, 2)}
+        out.setdefault(r["column"], []).extend(r["a"][i] for i in near if 0 <= i <= _SPLITS)
     return out
 
 
