@@ -20,7 +20,7 @@ from ..functions import vectors as vx
 from ..functions.scalars import word_count
 from ..session import cut_lineage
 from . import profile
-from .clean import clean_names, constant_columns, downcast, downcast_plan, fit_fill
+from .clean import clean_names, constant_columns, downcast_plan, fit_fill
 from .ordering import top_per_group
 from .quantiles import exact_quantiles
 

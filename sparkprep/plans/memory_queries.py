@@ -14,7 +14,6 @@ from ..functions import catalog as cat
 from ..functions import vectors as vx
 from ..operators import memory as mem
 from ..operators import neighbors as nb
-from ..operators import setops
 from ..session import scratch_path
 from ..sources import tables
 from .registry import query, table

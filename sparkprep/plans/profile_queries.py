@@ -6,7 +6,6 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars as fx
 from ..operators import features as fe
 from ..operators import neighbors as nb
 from ..operators import profile

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog as cat
 from ..operators import evaluate as ev
-from ..operators import route, setops
+from ..operators import route
 from ..operators import utility as ut
 from .registry import query, table
 
