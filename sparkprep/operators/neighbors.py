@@ -7,10 +7,12 @@ vectors and passes on only the k best per query, so the shuffle carries k rows p
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,10 @@ from .ordering import hash_rank, top_per_group
 BROADCAST_BYTES = 64 << 20
 _CELLS = 400_000  # entries of one distance block
 METRICS = ("l2", "ip", "cosine")
+_ZERO_NORM = vx.ZERO_NORM
+
+# Tasks get the kernel functions of this module by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 # ---- block kernel -------------------------------------------------------------------------------
@@ -50,7 +56,7 @@ def _score(q: np.ndarray, m: np.ndarray, metric: str) -> np.ndarray:
 def _cosine(q: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Row-wise cosine in [0, 1]; 0 for a zero vector."""
     a, b = np.sqrt((q * q).sum(axis=1)), np.sqrt((m * m).sum(axis=1))
-    ok = (a >= vx.ZERO_NORM) & (b >= vx.ZERO_NORM)
+    ok = (a >= _ZERO_NORM) & (b >= _ZERO_NORM)
     raw = np.divide((q * m).sum(axis=1), a * b, out=np.zeros(len(q)), where=ok)
     return np.clip(raw, 0.0, 1.0)
 

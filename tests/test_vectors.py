@@ -191,3 +191,21 @@ def test_pad_and_minmax_vector(spark):
     df = spark.createDataFrame([([1.0, float("nan"), 3.0],)], "v array<double>")
     assert df.select(vx.pad_to(F.col("v"), 5)).first()[0][3:] == [0.0, 0.0]
     assert df.select(vx.minmax_vector(F.col("v"))).first()[0] == pytest.approx([1 / 3, 0.0, 1.0])
+
+
+def test_kernels_run_without_the_package(tmp_path):
+    """Executors have no copy of the library: the pickled kernel must load and run on its own."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "kernel.pkl").write_bytes(cloudpickle.dumps(nb._block_top_k))
+    code = (
+        "import sys, pickle, numpy as np\n"
+        "f = pickle.load(open('kernel.pkl', 'rb'))\n"
+        "x = np.eye(3)\n"
+        "print(f(np.arange(3), x, np.arange(3), x, 1, 'cosine', False)[1].tolist(), 'sparkprep' in sys.modules)\n"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == "[0, 1, 2] False", out.stderr
