@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders this process has written under the shared folder; released at its end.
+_OWNED: list[str] = []
+
 
 def get_session(app: str = "sparkprep", **conf: str) -> SparkSession:
     """A session with the settings every operator here relies on.
@@ -26,22 +31,36 @@ def get_session(app: str = "sparkprep", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder serves a session on one machine (`local[...]`); on a cluster
+    executors could not read each other's files there, so that raises.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", "")
     if configured:
         return configured.rstrip("/")
     jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jdir.isDefined():
         return jdir.get().rstrip("/")
+    if not one_machine(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="sparkprep-")
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, never used before."""
-    return f"{shared_dir(spark)}/sparkprep/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path under the shared folder, never used before; removed by `release` or at the process's end."""
+    path = f"{shared_dir(spark)}/sparkprep/{name}-{uuid.uuid4().hex[:12]}"
+    if not _OWNED:
+        atexit.register(release)
+    _OWNED.append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -49,3 +68,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release() -> int:
+    """Delete the folders handed out by `scratch_path`, when no result that reads them is needed; gives their number."""
+    sc = SparkContext._active_spark_context
+    if sc is None or sc._jsc is None:
+        return 0
+    done = 0
+    while _OWNED:
+        path = sc._jvm.org.apache.hadoop.fs.Path(_OWNED.pop())
+        done += bool(path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True))
+    return done
