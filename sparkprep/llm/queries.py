@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality, shards, simhash, urlfilter
+from . import decontaminate, linededup, quality, sentencepiece_sa, shards, simhash, urlfilter, weaklabels
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +54,66 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), keep=["page_id"])
 
 
+@query("op2_decontaminate")
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.with_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select(
+        "doc_id", F.col("leak.item").alias("item_id"), "leak.edits", "leak.item_words", "leak.last_word"
+    )
+
+
+#: Bodies of the twins that a `SELECT` over the table `source` completes; `lines_kept` is the deduplicated text.
+LINE_SQL = r"""
+texts AS (SELECT DISTINCT text FROM source WHERE text IS NOT NULL),
+cut AS (SELECT text, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM texts),
+tokens AS (SELECT text, line, list_filter(string_split_regex(s, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS tok FROM cut),
+lead AS (
+  SELECT *, len(tok) AS n, list_transform(tok[1:3], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS head
+  FROM tokens WHERE len(tok) >= 3
+),
+leaves AS (SELECT n, head FROM lead GROUP BY n, head HAVING count(DISTINCT text) >= 10),
+cand AS (SELECT lead.* FROM lead JOIN leaves USING (n, head)),
+cells AS (SELECT text, line, n, head, unnest(tok) AS token, generate_subscripts(tok, 1) AS place FROM cand),
+fixed AS (SELECT n, head, place, token FROM cells GROUP BY n, head, place, token HAVING count(*) >= 10),
+marked AS (
+  SELECT c.text, c.line, c.n, c.head, c.place, f.token FROM cells c LEFT JOIN fixed f ON c.n = f.n AND c.head = f.head AND c.place = f.place AND c.token = f.token
+),
+templates AS (
+  SELECT text, line, n, head, list({'place': place, 'token': token} ORDER BY place) FILTER (WHERE token IS NOT NULL) AS template
+  FROM marked GROUP BY text, line, n, head HAVING count(token) >= 0.6 * n
+),
+often AS (SELECT n, head, template FROM templates GROUP BY n, head, template HAVING count(DISTINCT text) >= 10),
+drops AS (
+  SELECT t.text, list(t.line ORDER BY t.line) AS lines, sum(t.n) AS words
+  FROM templates t JOIN often o ON t.n = o.n AND t.head = o.head AND t.template = o.template GROUP BY t.text
+),
+shares AS (
+  SELECT text, lines FROM drops
+  WHERE words <= 0.5 * len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''))
+),
+kept AS (
+  SELECT c.text, string_agg(c.s, chr(10) ORDER BY c.line) FILTER (WHERE NOT list_contains(h.lines, c.line)) AS left_text
+  FROM cut c JOIN shares h ON c.text = h.text GROUP BY c.text
+),
+lines_kept AS (
+  SELECT s.*, CASE WHEN h.text IS NOT NULL THEN coalesce(k.left_text, '') ELSE s.text END AS new_text,
+    coalesce(len(string_split(s.text, chr(10))), 0) AS n_lines, coalesce(len(h.lines), 0) AS n_dropped
+  FROM source s LEFT JOIN shares h ON s.text = h.text LEFT JOIN kept k ON s.text = k.text
+)"""
+
+
+@query("op3_line_dedup", f"WITH source AS (SELECT doc_id, text FROM documents), {LINE_SQL} SELECT doc_id, new_text AS text, n_lines, n_dropped FROM lines_kept")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sentencepiece_sa.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = sentencepiece_sa.decode(docs)
+    return back.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 @query("op7_shards")
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_rows(table(spark, sf_dir, "documents"))
@@ -66,3 +127,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_weak_labels")
+def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weaklabels.classify(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "posterior", "score", "kept")

@@ -131,6 +131,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
         F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), (F.col("tile") > F.col("other")).alias("right"), "fps"
     )
 
+    # Comparing costs the square of a tile and little to move, so tasks are set by tile pairs and not by bytes.
+    n_pairs = sum(slices[p] * (hi[t] - lo[t] + 1) for t, p in {first[p]: p for p in range(65)}.items()) // 2 + 1
+    tasks = max(1, min(n_pairs // 8, 10_000))
+
     def compare(table: pa.Table) -> pa.Table:
         sides = {}
         for right, fps in zip(table.column("right").to_pylist(), table.column("fps").combine_chunks()):
@@ -140,7 +144,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
         a, b = tile_links(sides[False], None if one_tile else sides[True], radius) if one_tile or len(sides) == 2 else (none, none)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return pairs.groupBy("x", "y").applyInArrow(compare, "a long, b long")
+    return pairs.repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(
