@@ -1,12 +1,53 @@
-"""The corpus pipeline: stages over `documents`, each stored before the next reads it."""
+"""The corpus pipeline: stages over `documents`, each stored before the next reads it.
+
+Rows are never capped or sampled; NULL and empty texts are rejected by the first stage, which keeps only texts with words.
+Extra columns of the input are dropped, so clashing names can't occur.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sparkprep.llm import decontaminate, linededup, sentencepiece_sa, simhash, weaklabels
 from sparkprep.session import scratch_path
 
-STAGES = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier rejects go."""
+    return weaklabels.classify(docs.select(COLUMNS)).where("kept").select(COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines with a recurring template go; n_chars follows a text that changed."""
+    clean = linededup.dedup_lines(docs.select(COLUMNS))
+    length = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", length).select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays, the one with the smallest id."""
+    return simhash.keep_one(docs.select(COLUMNS))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a near copy of a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.with_leaks(docs.select(COLUMNS), items).where(F.size("leaks") == 0).select(COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, and whether they decode to it."""
+    coded = sentencepiece_sa.encode(docs.select("doc_id", "lang", "source", "text"), round_trip="round_trip")
+    return coded.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids", "round_trip")
+
+
+STAGES = [
+    ("quality", quality), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("decontaminate", benchmark), ("tokens", tokens),
+]
+#: SQL can't express the learned classifier, the embedding or the tokenizer; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, quality, sentencepiece_sa, shards, simhash, urlfilter, weaklabels
+from . import decontaminate, linededup, quality, secretscan, sentencepiece_sa, shards, simhash, urlfilter, weaklabels
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,11 +107,15 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 @query("op6_sentencepiece")
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = sentencepiece_sa.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    back = sentencepiece_sa.decode(docs)
-    return back.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    docs = sentencepiece_sa.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), round_trip="round_trip")
+    return docs.select("doc_id", F.size("ids").alias("n_tokens"), "ids", "round_trip")
 
 
 @query("op7_shards")

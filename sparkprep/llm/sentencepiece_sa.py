@@ -17,17 +17,21 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MARK = "▁"
 #: Characters that are indexed at once.
 CHUNK = 1 << 19
+#: Bytes of text that a task works on at once.
+SLICE = 6 << 20
 #: Units longer than this are relaxed one by one with a heap.
 LONG = 200
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -273,29 +277,55 @@ def load_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(df: DataFrame, text: str = "text", into: str = "ids", model: str = MODEL) -> DataFrame:
-    """`df` with the array<int> column `into` (an existing one is replaced).
+def encode(df: DataFrame, text: str = "text", into: str = "ids", model: str = MODEL, round_trip: str | None = None) -> DataFrame:
+    """`df` with the array<int> column `into`; with `round_trip`, also a boolean column of that name: do the ids decode to the text?
 
-    The driver reads the model file and sends it with the tasks. NULL gives NULL, an empty text an empty array. Characters outside the vocabulary become byte pieces, U+2581 counts as a space.
+    The driver reads the model file and sends it with the tasks. NULL gives NULL in both, an empty text an empty array.
+    Characters outside the vocabulary become byte pieces; U+2581 counts as a space, so texts that hold it don't come back.
+    Existing columns of these names are replaced.
     """
-    return _mapped(df, text, into, "array<int>", model, lambda column, pieces: pd.Series(
-        [None if t is None else a for t, a in zip(column, encode_texts([t or "" for t in column], pieces))], dtype=object))
+    new = [T.StructField(into, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(round_trip, T.BooleanType())] if round_trip else [])
+
+    def work(column: pa.Array, pieces: Pieces) -> list[pa.Array]:
+        texts = column.to_pylist()
+        rows = encode_texts([t or "" for t in texts], pieces)
+        lists = [pa.ListArray.from_arrays(
+            pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))), pa.int32(), mask=np.array([t is None for t in texts] + [False])),
+            pa.array(np.concatenate(rows).astype(np.int32)),
+        )]
+        return lists + ([pa.array([None if t is None else decode_ids(r, pieces) == t for t, r in zip(texts, rows)], pa.bool_())] if round_trip else [])
+
+    return _mapped(df, text, new, model, work, text_column=True)
 
 
 def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", model: str = MODEL) -> DataFrame:
-    """`df` with the text of an array<int> column; NULL gives NULL."""
-    return _mapped(df, ids, into, "string", model, lambda column, pieces: pd.Series(
-        [None if a is None else decode_ids(np.asarray(a, np.int64), pieces) for a in column], dtype=object))
+    """`df` with the text of an array<int> column; NULL gives NULL. An existing column `into` is replaced."""
+
+    def work(column: pa.Array, pieces: Pieces) -> list[pa.Array]:
+        return [pa.array([None if v is None else decode_ids(np.asarray(v, np.int64), pieces) for v in column.to_pylist()], pa.string())]
 
+    return _mapped(df, ids, [T.StructField(into, T.StringType())], model, work, text_column=False)
 
-def _mapped(df: DataFrame, source: str, into: str, kind: str, model: str, work) -> DataFrame:
+
+def _mapped(df: DataFrame, source: str, new: list[T.StructField], model: str, work, text_column: bool) -> DataFrame:
     # Pickled by value, as executors may have no copy of the package; its size is that of a vocabulary.
     sent = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Pieces(load_model(model))))
+    names = [f.name for f in new]
+    keep = [c for c in df.columns if c not in names]
+    value = F.col(f"`{source}`").cast("string" if text_column else "array<int>")
 
-    @F.pandas_udf(kind)
-    def apply(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pickle.loads(sent.value)
-        for column in columns:
-            yield work(column, pieces)
-
-    return df.withColumn(into, apply(F.col(source)))
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)
+            sizes = np.asarray(pc.fill_null(pc.binary_length(column) if text_column else pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), np.int64)
+            # Slices of a bounded size, whatever the batch holds; a longer text has a slice of its own.
+            group = (np.cumsum(sizes) - sizes) // SLICE
+            cuts = np.concatenate(([0], np.nonzero(np.diff(group))[0] + 1, [len(group)]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if a < b:
+                    part = batch.slice(a, b - a)
+                    yield pa.RecordBatch.from_arrays(part.columns[:-1] + work(part.column(part.num_columns - 1), pieces), names=keep + names)
+
+    schema = T.StructType([df.schema[c] for c in keep] + new)
+    return df.select(*[F.col(f"`{c}`") for c in keep], value.alias("__source")).mapInArrow(apply, schema)

@@ -16,6 +16,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .common import components
@@ -51,16 +52,19 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id_col, fp): a signed 64-bit SimHash of each whole text; NULL, empty and blank texts have zero."""
-    id_type = df.schema[id_col].dataType.simpleString()
+def fingerprints(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, keep: list[str] | None = None,
+) -> DataFrame:
+    """(id_col, fp), or all columns `keep` and __fp: a signed 64-bit SimHash of each whole text; NULL, empty and blank texts have zero."""
+    names, new = ([id_col], "fp") if keep is None else (keep, "__fp")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.fromiter((fingerprint(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)), np.int64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=[id_col, "fp"])
+            fp = np.fromiter((fingerprint(shingle_hashes(t.as_py(), shingle)) for t in batch.column(len(names))), np.int64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], names=[*names, new])
 
-    return df.select(id_col, F.col(text).cast("string").alias("__text")).mapInArrow(work, f"`{id_col}` {id_type}, fp long")
+    schema = T.StructType([df.schema[c] for c in names] + [T.StructField(new, T.LongType())])
+    return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(work, schema)
 
 
 def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -147,6 +151,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return pairs.repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(compare, "a long, b long")
 
 
+def groups(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(fp, root) for the fingerprints that link to another one; `root` names the component."""
+    return components(links(distinct, radius, tile)).withColumnRenamed("node", "fp")
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, tile: int = TILE,
 ) -> DataFrame:
@@ -159,8 +168,25 @@ def near_duplicates(
     """
     base = cut_lineage(fingerprints(df, id_col, text, shingle))
     distinct = cut_lineage(base.groupBy("fp").agg(F.min(id_col).alias("low")))
-    roots = components(links(distinct, radius, tile))
-    joined = roots.join(distinct, roots["node"] == distinct["fp"]).select("fp", "root", "low")
+    joined = groups(distinct, radius, tile).join(distinct, "fp").select("fp", "root", "low")
     names = joined.join(joined.groupBy("root").agg(F.min("low").alias("least")), "root").select("fp", "least", F.lit(True).alias("linked"))
     own = distinct.join(names, "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("low")).alias("component_id"))
     return base.join(own, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
+    """The rows of `df` that are alone in their component, and one row of every other: that with the smallest non-NULL id.
+
+    Of rows with that id again, or if all ids are NULL, any one of them stays. Columns are those of `df`.
+    """
+    names = df.columns
+    base = cut_lineage(fingerprints(df, id_col, text, shingle, keep=names))
+    distinct = cut_lineage(base.groupBy("__fp").agg(F.min(id_col).alias("__low"), F.count(F.lit(1)).alias("__n")))
+    roots = groups(distinct.select(F.col("__fp").alias("fp")), radius, tile).select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
+    named = distinct.join(roots, "__fp", "left").withColumn("__root", F.coalesce("__root", "__fp"))
+    whole = named.groupBy("__root").agg(F.min("__low").alias("__least"), F.sum("__n").alias("__all")).where("__all > 1")
+    crowd = cut_lineage(named.join(whole, "__root").select("__fp", "__root", "__least"))
+    joined = base.join(crowd, "__fp", "left")
+    alone = joined.where(F.col("__root").isNull())
+    first = joined.where(F.col("__root").isNotNull() & F.col(id_col).eqNullSafe(F.col("__least"))).dropDuplicates(["__root"])
+    return alone.unionByName(first).select(*[F.col(f"`{c}`") for c in names])

@@ -25,7 +25,7 @@ FEATURES = 1 << 14
 
 
 def same_as_before(words: Column) -> Column:
-    """The words that equal the word before them."""
+    """The words that equal the word before them; `words` must be a plain column."""
     return F.filter(words, lambda w, i: (i > 0) & (w == F.element_at(words, F.greatest(i, F.lit(1)))))
 
 
@@ -161,17 +161,18 @@ def fit_label_model(df: DataFrame, votes: dict[str, Column]) -> tuple[LabelModel
     return em(unpack(codes, len(votes)), count, list(votes)), int(count.sum())
 
 
-def tokens(text: Column) -> Column:
-    """What is hashed: words in lower case, their shapes, and one sign for each word that repeats the one before.
+def with_tokens(df: DataFrame, text: str) -> DataFrame:
+    """`df` with the array `tokens` to hash: words in lower case, their shapes, and one sign for each word that repeats the one before.
 
     Shapes turn runs of letters and digits into one character.
     """
-    body = F.coalesce(text, F.lit(""))
+    body = F.coalesce(F.col(text), F.lit(""))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"\p{Nd}+", "9")
-    return F.concat(
-        word_list(F.lower(body)), F.transform(word_list(shape), lambda w: F.concat(F.lit("\u0001"), w)),
-        F.transform(same_as_before(word_list(body)), lambda w: F.lit("\u0002")),
-    )
+    # The words are a column first: a lambda would cut the text again for each of them.
+    return df.withColumn("__words", word_list(F.lower(body))).withColumn("tokens", F.concat(
+        F.col("__words"), F.transform(word_list(shape), lambda w: F.concat(F.lit("\u0001"), w)),
+        F.transform(same_as_before(F.col("__words")), lambda w: F.lit("\u0002")),
+    )).drop("__words")
 
 
 def fit_scorer(rows: DataFrame, features: int = FEATURES) -> PipelineModel | None:
@@ -182,7 +183,7 @@ def fit_scorer(rows: DataFrame, features: int = FEATURES) -> PipelineModel | Non
     """
     hashed = HashingTF(inputCol="tokens", outputCol="counts", numFeatures=features)
     scaled = Normalizer(inputCol="counts", outputCol="features", p=2.0)
-    ready = cut_lineage(scaled.transform(hashed.transform(rows.select(tokens(F.col("text")).alias("tokens"), "p"))).select("features", "p"))
+    ready = cut_lineage(scaled.transform(hashed.transform(with_tokens(rows, "text").select("tokens", "p"))).select("features", "p"))
     good, bad = ready.agg(F.sum("p"), F.sum(1 - F.col("p"))).first()
     if min(good or 0, bad or 0) < 1:
         return None
@@ -215,6 +216,6 @@ def classify(df: DataFrame, text: str = "text", threshold: float = 0.5, rows: in
     if model is None:
         scored = base.withColumn("score", F.when(blank, F.lit(0.0)).otherwise(F.col("posterior")))
         return scored.withColumn("kept", F.col("score") >= threshold).drop("__text", "__blank")
-    out = model.transform(base.withColumn("tokens", tokens(F.col("__text"))))
+    out = model.transform(with_tokens(base, "__text"))
     score = F.when(blank, F.lit(0.0)).otherwise(F.element_at(vector_to_array(F.col("probability")), 2))
     return out.select(*keep, "posterior", score.alias("score")).withColumn("kept", F.col("score") >= threshold)
