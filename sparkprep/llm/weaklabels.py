@@ -25,8 +25,9 @@ FEATURES = 1 << 14
 
 
 def same_as_before(words: Column) -> Column:
-    """The words that equal the word before them; `words` must be a plain column."""
-    return F.filter(words, lambda w, i: (i > 0) & (w == F.element_at(words, F.greatest(i, F.lit(1)))))
+    """The words that equal the word before them. No lambda names `words`, which an optimiser may replace by what makes it."""
+    pairs = F.zip_with(words, F.concat(F.array(F.lit(None).cast("string")), words), lambda a, b: F.when(a == b, a))
+    return F.filter(pairs, lambda w: w.isNotNull())
 
 
 def signals(df: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
@@ -168,7 +169,6 @@ def with_tokens(df: DataFrame, text: str) -> DataFrame:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"\p{Nd}+", "9")
-    # The words are a column first: a lambda would cut the text again for each of them.
     return df.withColumn("__words", word_list(F.lower(body))).withColumn("tokens", F.concat(
         F.col("__words"), F.transform(word_list(shape), lambda w: F.concat(F.lit("\u0001"), w)),
         F.transform(same_as_before(F.col("__words")), lambda w: F.lit("\u0002")),
