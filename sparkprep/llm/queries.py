@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, quality, secretscan, sentencepiece_sa, shards, simhash, urlfilter, weaklabels
+from . import decontaminate, linededup, quality, secretscan, sentencepiece_sa, shards, simhash, substrings, urlfilter, weaklabels
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +112,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op6_sentencepiece")
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sentencepiece_sa.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), round_trip="round_trip")
