@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 from ..functions.scalars import (
     NAME_CHARS_DELETED, NAME_CHARS_REPLACED, NAME_CHARS_UNDERSCORED, clean_value, number_or,
 )
+from .evaluate import roc_auc
 from .ordering import dense_index, few_values, forward_fill
 from .profile import cells, column_types, corr_with, per_column, unique_ratio
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, quantile_bin
 
 
 # ---- rows ---------------------------------------------------------------------------------------
@@ -206,13 +207,18 @@ def label_index(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
 
 
 def to_numeric(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """All columns as numbers without NULLs: medians, label positions, and 0 for what cannot be read."""
+    """All columns as numbers without NULLs: medians, label positions, and 0 for what cannot be read.
+
+    Dates and timestamps become seconds since 1970.
+    """
     kinds = column_types(df, exclude=keep)
     filled = fill(df, fit_fill(df, kinds["numeric"], kinds["categorical"], all_null="missing"))
     for c in kinds["categorical"]:
         filled = label_index(filled.withColumn(c, F.col(c).cast("string")), c)
     known = {*kinds["numeric"], *kinds["categorical"], *keep}
-    rest = {c: number_or(F.col(c).cast("string")) for c in df.columns if c not in known}
+    times = {f.name for f in df.schema if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))}
+    seconds = lambda c: F.coalesce(F.col(c).cast("timestamp").cast("double"), F.lit(0.0))
+    rest = {c: seconds(c) if c in times else number_or(F.col(c).cast("string")) for c in df.columns if c not in known}
     return (filled.withColumns(rest) if rest else filled).select(*df.columns)
 
 
@@ -226,14 +232,13 @@ def leaky_columns(df: DataFrame, cols: Sequence[str], y: str, limit: float = 0.9
 def bin_auc(df: DataFrame, cols: Sequence[str], y: str, bins: int = 8) -> DataFrame:
     """AUC of every column alone for a 0/1 target, scoring each quantile bin by its target mean.
 
-    Eight bins correspond to the leaves of a depth-3 tree. Cut points are exact quantiles; after that
-    one shuffle of (column, bin) counts serves all columns and all rows.
+    Eight bins correspond to the leaves of a depth-3 tree; NULL has a bin of its own. Cut points are exact
+    quantiles; after that one shuffle of (column, bin) counts serves all columns and all rows.
     """
     cuts = exact_quantiles(df, cols, [i / bins for i in range(1, bins)])
 
     def bin_of(c: str) -> Column:
-        x = F.col(c).cast("double")
-        return sum((F.when(x > q, 1).otherwise(0) for q in sorted(set(q for q in cuts[c] if q is not None))), F.lit(0))
+        return quantile_bin(F.col(c), cuts[c])
 
     entries = [F.struct(F.lit(c).alias("column"), bin_of(c).alias("bin")) for c in cols]
     counts = (
@@ -256,7 +261,13 @@ def bin_auc(df: DataFrame, cols: Sequence[str], y: str, bins: int = 8) -> DataFr
 
 
 def leaky_by_auc(df: DataFrame, cols: Sequence[str], y: str, limit: float = 0.98) -> DataFrame:
-    return bin_auc(df, cols, y).withColumn("leaky", F.coalesce(F.col("auc") > limit, F.lit(False)))
+    """The better of the binned AUC and of the raw value's AUC in either direction, which also finds rare positives."""
+    long = df.select(F.col(y).cast("double").alias("__y"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("e"))
+    raw = roc_auc(long.select("__y", "e.*"), F.col("__y") > 0, F.col("value"), ["column"]).select("column", F.col("auc").alias("__raw"))
+    both = bin_auc(df, cols, y).join(raw, "column", "left")
+    best = both.select("column", F.greatest("auc", "__raw", 1 - F.col("__raw")).alias("auc"))
+    return best.withColumn("leaky", F.coalesce(F.col("auc") > limit, F.lit(False)))
 
 
 def audit_equation(df: DataFrame, lhs: Column, rhs: Column, atol: float = 1e-4, rtol: float = 1e-5) -> DataFrame:

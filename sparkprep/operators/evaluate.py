@@ -154,10 +154,12 @@ def _weighted_gap(per_bin: DataFrame, totals: DataFrame, by: list[str]) -> DataF
 
 
 def probability_calibration_error(df: DataFrame, y: str, p: str, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
-    """Calibration error of class probabilities: bins (lo, hi], the largest label is positive, and a
+    """Calibration error of class probabilities: bins (lo, hi], a group's largest label is positive, and a
     probability of 0 falls in no bin but counts in the total."""
     by = list(by)
-    top = df.agg(F.max(y)).scalar()
+    if by:
+        df = null_safe_join(df, df.groupBy(*by).agg(F.max(y).alias("__top")), by, "left")
+    top = F.col("__top") if by else df.agg(F.max(y)).scalar()
     rows = df.withColumn("__hit", (F.col(y) == top).cast("double"))
     index = (F.ceil(F.col(p) * bins) - 1).cast("int")
     per_bin = rows.where((F.col(p) > 0) & (F.col(p) <= 1)).groupBy(*by, index.alias("bin")).agg(

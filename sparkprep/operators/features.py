@@ -22,7 +22,7 @@ from ..session import cut_lineage
 from . import profile
 from .clean import clean_names, constant_columns, downcast_plan, fit_fill
 from .ordering import top_per_group
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, quantile_bin
 
 RARE = "_RARE"
 ONEHOT_LIMIT = 5000
@@ -465,7 +465,7 @@ def fit_preprocessor(
 # ---- F20 selection, F21 level -------------------------------------------------------------------
 
 def mutual_information(df: DataFrame, cols: Sequence[str], y: str, bins: int = 10, bin_target: bool = False) -> DataFrame:
-    """Mutual information (nats) of each quantile-binned column with the target, largest first.
+    """Mutual information (nats) of each quantile-binned column with the target, largest first; NULL is a bin.
 
     One shuffle of (column, bin, class) counts covers all columns.
     """
@@ -473,8 +473,7 @@ def mutual_information(df: DataFrame, cols: Sequence[str], y: str, bins: int = 1
     cuts = exact_quantiles(df, wanted, [i / bins for i in range(1, bins)])
 
     def bin_of(c: str) -> Column:
-        x = F.col(c).cast("double")
-        return sum((F.when(x > q, 1).otherwise(0) for q in sorted({q for q in cuts[c] if q is not None})), F.lit(0))
+        return quantile_bin(F.col(c), cuts[c])
 
     label = bin_of(y).cast("string") if bin_target else F.col(y).cast("string")
     entries = [F.struct(F.lit(c).alias("column"), bin_of(c).alias("bin")) for c in cols]
@@ -561,7 +560,9 @@ def text_vectors(df: DataFrame, text: str, hash_size: int = 256, size: int = VEC
     return reduce_vectors(flat, "__dense", fit_pca(flat, "__dense", size), size, out).drop("__dense")
 
 
-def pooled_vectors(df: DataFrame, item: str, part: str, vec: str, parts: int = 10) -> DataFrame:
-    """One vector per item: the mean of its first `parts` part vectors."""
+def pooled_vectors(df: DataFrame, item: str, part: str, vec: str, parts: int | None = None) -> DataFrame:
+    """One vector per item: the mean of all its part vectors, or of the first `parts`."""
+    if parts is None:
+        return profile.mean_vector(df, [item], vec)
     first = top_per_group(df.select(item, part, vec), [item], [F.col(part)], parts, "__rank")
     return profile.mean_vector(first, [item], vec)

@@ -34,7 +34,6 @@ from .split import cap_rows, folds, holdout, sample_share
 
 FEATURES, LABEL = "features", "label"
 KNN = ("knn_clf", "knn_reg")
-KERNEL_LIMIT = 5000
 
 
 @dataclass(frozen=True)
@@ -94,24 +93,35 @@ def _boosted(task: Task, classes: int, **params):
 _RENAMED = {
     "n_estimators": "numTrees", "max_depth": "maxDepth", "learning_rate": "stepSize", "subsample": "subsamplingRate",
     "min_samples_split": "minInstancesPerNode", "alpha": "regParam", "C": "regParam",
+    "penalty": "elasticNetParam",
 }
 
 
-def spark_params(name: str, params: dict) -> dict:
-    """Stored settings under Spark ML names; settings without a counterpart are left out."""
+def spark_params(name: str, params: dict, n_rows: int = 1) -> dict:
+    """Stored settings under Spark ML names; settings without a counterpart are left out.
+
+    Stored penalties of classifiers (C) and of ridge (alpha) weigh against a sum of losses; Spark's weigh against
+    the mean, so they are divided by the number of rows.
+    """
     out = {}
     for key, value in params.items():
         target = _RENAMED.get(key)
         if target is None or value is None:
             continue
         if key == "C":
-            value = 1.0 / float(value)
+            value = 1.0 / (float(value) * max(n_rows, 1))
+        if key == "alpha" and name == "ridge":
+            value = float(value) / max(n_rows, 1)
+        if key == "penalty":
+            value = {"l2": 0.0, "l1": 1.0, "elasticnet": 0.5}[value]
         if target == "numTrees" and name in ("gb", "gb_reg", "lgbm_clf", "lgbm_reg", "xgb_clf", "xgb_reg"):
             target = "maxIter"
         if target == "minInstancesPerNode":
             value = max(1, int(value) // 2)
         if target == "maxDepth":
-            value = min(int(value), 30)
+            value = int(value)
+            if value > 30:
+                raise ValueError(f"{key} {value} of {name} is deeper than 30, the most that Spark trees have")
         out[target] = value
     return out
 
@@ -136,8 +146,10 @@ def create_model(name: str, task: Task, classes: int = 2, n_features: int = 0, p
         layers = p.pop("layers", [n_features, 100, classes])
         return mlc.MultilayerPerceptronClassifier(**_COMMON, layers=layers, **{"seed": 42, **p})
     if name in ("ridge", "lasso", "elastic", "sgd_reg"):
+        # Ridge's usual penalty of 1 against a sum of losses is next to nothing against their mean.
+        penalty = {"ridge": 0.0, "sgd_reg": 1e-4}.get(name, 1.0)
         mix = {"ridge": 0.0, "lasso": 1.0, "elastic": 0.5, "sgd_reg": 0.0}[name]
-        return mlr.LinearRegression(**_COMMON, **{"regParam": 1e-4 if name == "sgd_reg" else 1.0, "elasticNetParam": mix, **p})
+        return mlr.LinearRegression(**_COMMON, **{"regParam": penalty, "elasticNetParam": mix, **p})
     if name == "dt_reg":
         return mlr.DecisionTreeRegressor(**_COMMON, **{"seed": 42, **p})
     if name == "rf_reg":
@@ -155,12 +167,12 @@ AVAILABLE = {
 }
 
 
-def get_models(problem_type: str, names: Sequence[str] | None = None, n_samples: int = 0) -> list[str]:
-    """Catalogue names to run: the asked ones that exist, the full catalogue when none does or 'all' is
-    asked, without kernel models on large data."""
-    full = AVAILABLE[problem_type]
-    chosen = full if names is None or "all" in names else [n for n in full if n in names] or full
-    return [n for n in chosen if not (n_samples > KERNEL_LIMIT and n in cat.KERNEL_MODELS)]
+def get_models(problem_type: str, names: Sequence[str] | None = None) -> list[str]:
+    """Catalogue names to run; an empty choice, an unknown one or 'all' means every model. No size leaves a model out:
+    the support vector machine here is linear and scales like the others."""
+    known = dict.fromkeys(AVAILABLE[problem_type])
+    asked = known if "all" in (names or ["all"]) else {n: None for n in known if n in set(names)}
+    return list(asked or known)
 
 
 # ---- M2 fits and folds --------------------------------------------------------------------------
@@ -378,16 +390,17 @@ def tune_top_models(
     names = [r["model"] for r in metrics.orderBy(order, "model").limit(top_n).collect()]
     classes = n_classes(df, task)
     parts = prepare_folds(df, task, cv)
+    size = df.count()
     tuned, rows = {}, []
     for name in names:
         best: tuple[float, dict] = (-math.inf, {})
         grid = (grids or GRIDS).get(name, {})
         for point in grid_points(grid, method, n_iter) if grid else []:
-            found = cross_validate(parts, task, name, classes, spark_params(name, point))
+            found = cross_validate(parts, task, name, classes, spark_params(name, point, size))
             score = sum(s.score for s in found) / len(found)
             best = max(best, (score, point), key=lambda b: b[0])
         rows.append((name, None if best[0] == -math.inf else best[0], {k: str(v) for k, v in best[1].items()}))
-        tuned[name] = fit_model(df, task, name, classes, spark_params(name, best[1]))
+        tuned[name] = fit_model(df, task, name, classes, spark_params(name, best[1], size))
     return tuned, df.sparkSession.createDataFrame(rows, "model string, score double, params map<string,string>")
 
 
@@ -447,6 +460,7 @@ def search(
     """Random search per model; remembered settings of a similar dataset are tried first."""
     classes = n_classes(df, task)
     parts = prepare_folds(df, task, cv, seed)
+    size = df.count()
     deadline = None if max_seconds is None else time.time() + max_seconds
     done: list[Trial] = []
     for name in names:
@@ -460,7 +474,7 @@ def search(
                 break
             drawn = draw(space, rng)
             params = {**drawn, **warm} if warm and i == 0 else drawn
-            found = cross_validate(parts, task, name, classes, spark_params(name, params), deadline)
+            found = cross_validate(parts, task, name, classes, spark_params(name, params, size), deadline)
             if not found:
                 break
             score, spent = (sum(getattr(s, a) for s in found) / len(found) for a in ("score", "time_s"))
@@ -534,7 +548,7 @@ def importances(model: PipelineModel, df: DataFrame, top: int = 20) -> DataFrame
 
 
 def permutation_importance(
-    model, df: DataFrame, task: Task, cols: Sequence[str] | None = None, repeats: int = 5, rows: int = 10_000, seed: int = 42
+    model, df: DataFrame, task: Task, cols: Sequence[str] | None = None, repeats: int = 5, rows: int | None = None, seed: int = 42
 ) -> DataFrame:
     """Mean drop of the score when one column is shuffled among the rows.
 
@@ -542,7 +556,7 @@ def permutation_importance(
     position, and takes one column at a time from it. One prediction job and one metric job follow.
     """
     cols = list(cols or [*task.numeric, *task.categorical])
-    sample = cap_rows(df, task.key[0], rows, seed)
+    sample = df if rows is None else cap_rows(df, task.key[0], rows, seed)
     base = cut_lineage(sample.select(*task.key, *[F.col(c) for c in cols], F.col(task.y).cast("double").alias(LABEL),
                                      *[c for c in [*task.numeric, *task.categorical] if c not in cols]))
     every = base.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))

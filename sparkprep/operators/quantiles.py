@@ -191,3 +191,10 @@ def grouped_quantiles(
             for n in names
         ],
     )
+
+
+def quantile_bin(value: Column, cuts: Sequence[float | None]) -> Column:
+    """How many different cut points lie below the value; -1 for NULL."""
+    x = value.cast("double")
+    above = sum((F.when(x > q, 1).otherwise(0) for q in sorted({q for q in cuts if q is not None})), F.lit(0))
+    return F.when(x.isNull(), F.lit(-1)).otherwise(above)

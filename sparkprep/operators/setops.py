@@ -35,10 +35,13 @@ def member_of(df: DataFrame, keys: DataFrame, key: str, negate: bool = False) ->
     return df.join(keys.select(key).distinct(), key, "left_anti" if negate else "left_semi")
 
 
-def merge_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """All existing rows plus incoming rows with a new key; the first incoming row per key is taken."""
-    rest = [c for c in incoming.columns if c != key]
-    first = incoming.groupBy(key).agg(F.min(F.struct(*rest)).alias("__row"))
+def merge_new(existing: DataFrame, incoming: DataFrame, key: str, order_by: str | None = None) -> DataFrame:
+    """All existing rows plus incoming rows with a new key, one for each: the first by `order_by`, else any one of them.
+
+    Columns may have any type, maps included.
+    """
+    row = F.struct(*[c for c in incoming.columns if c != key])
+    first = incoming.groupBy(key).agg((F.min_by(row, order_by) if order_by else F.first(row)).alias("__row"))
     fresh = first.select(key, "__row.*").join(existing.select(key), key, "left_anti")
     return existing.unionByName(fresh.select(*existing.columns))
 

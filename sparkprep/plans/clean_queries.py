@@ -97,6 +97,16 @@ def _(spark, d):
     return files.read_text_bodies(spark, path).groupBy(label).agg(F.sum(F.length("text")).alias("n_chars"))
 
 
+@query("s7_merge_memory", """SELECT o_custkey AS k, min(o_orderkey) AS first_order FROM orders WHERE o_custkey % 2 = 1 GROUP BY o_custkey
+UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey % 2 = 0""")
+def _(spark, d):
+    old = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.lit(-1).cast("long").alias("at"))
+    new = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").cast("long").alias("at")).where("k % 2 = 1")
+    held = lambda t: t.withColumn("settings", F.create_map(F.lit("order"), F.col("at")))
+    merged = setops.merge_new(held(old), held(new), "k", order_by="at")
+    return merged.select("k", F.col("settings")["order"].alias("first_order"))
+
+
 @query("s7_merge_new", """WITH e AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F')
 SELECT k, 'existing' AS origin FROM e
 UNION ALL SELECT c_custkey, 'incoming' FROM customer WHERE c_custkey NOT IN (SELECT k FROM e)""")
@@ -328,13 +338,28 @@ AUC_PARTS = " UNION ALL ".join(
 )
 
 
+RAW_AUC = """  r AS (SELECT col, (sum(y * rank) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS raw
+    FROM (SELECT col, y, rank() OVER (PARTITION BY col ORDER BY v) + (count(*) OVER (PARTITION BY col, v) - 1) / 2 AS rank FROM v) GROUP BY col)"""
+
+
+@query("c11_rare_positives", f"""WITH t AS (SELECT CASE WHEN l_orderkey % 97 = 0 THEN 1.0 ELSE 0.0 END AS y, l_discount FROM lineitem),
+  v AS (SELECT 'signal' AS col, y, l_discount - 5 * y AS v FROM t), {RAW_AUC}
+SELECT col AS "column", round(greatest(raw, 1 - raw), 6) AS auc, greatest(raw, 1 - raw) > 0.98 AS leaky FROM r""")
+def _(spark, d):
+    t = table(spark, d, "lineitem").select(F.when(F.col("l_orderkey") % 97 == 0, 1.0).otherwise(0.0).alias("y"), "l_discount")
+    t = t.withColumn("signal", F.col("l_discount") - 5 * F.col("y"))
+    return clean.leaky_by_auc(t, ["signal"], "y").withColumn("auc", F.round("auc", R))
+
+
 @query("c11_leaky_by_auc", f"""WITH t AS (SELECT l_quantity, l_extendedprice, CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 0.0 END AS y,
     CASE WHEN l_returnflag = 'A' THEN 100.0 ELSE 0.0 END + l_discount AS leak FROM lineitem),
   b AS ({AUC_PARTS}), c AS (SELECT col, bin, sum(y) AS pos, count(*) - sum(y) AS neg FROM b GROUP BY col, bin),
   s AS (SELECT col, round(pos / (pos + neg), 12) AS score, sum(pos) AS pos, sum(neg) AS neg FROM c GROUP BY ALL),
   w AS (SELECT *, coalesce(sum(pos) OVER (PARTITION BY col ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM s),
-  a AS (SELECT col, sum(neg * (above + pos / 2)) / (sum(pos) * sum(neg)) AS auc FROM w GROUP BY col)
-SELECT col AS "column", round(auc, 6) AS auc, auc > 0.98 AS leaky FROM a""")
+  a AS (SELECT col, sum(neg * (above + pos / 2)) / (sum(pos) * sum(neg)) AS auc FROM w GROUP BY col),
+  v AS (SELECT 'l_quantity' AS col, l_quantity AS v, y FROM t UNION ALL SELECT 'l_extendedprice', l_extendedprice, y FROM t UNION ALL SELECT 'leak', leak, y FROM t),
+{RAW_AUC}
+SELECT col AS "column", round(greatest(auc, raw, 1 - raw), 6) AS auc, greatest(auc, raw, 1 - raw) > 0.98 AS leaky FROM a JOIN r USING (col)""")
 def _(spark, d):
     flag = F.when(F.col("l_returnflag") == "A", 1.0).otherwise(0.0)
     t = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", flag.alias("y"), (flag * 100 + F.col("l_discount")).alias("leak"))
@@ -344,10 +369,11 @@ def _(spark, d):
 @query("c12_to_numeric", f"""WITH {ORDERS_WITH_GAPS}, f AS (SELECT o_orderkey, coalesce(o_totalprice, (SELECT median(o_totalprice) FROM g)) AS o_totalprice,
   coalesce(o_orderstatus, {MODE_SQL.format(c='o_orderstatus')}) AS o_orderstatus,
   coalesce(o_orderpriority, {MODE_SQL.format(c='o_orderpriority')}) AS o_orderpriority FROM g)
-SELECT o_orderkey, o_totalprice, CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INT) AS o_orderstatus,
-  CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INT) AS o_orderpriority FROM f""")
+SELECT f.o_orderkey, f.o_totalprice, CAST(dense_rank() OVER (ORDER BY f.o_orderstatus) - 1 AS INT) AS o_orderstatus,
+  CAST(dense_rank() OVER (ORDER BY f.o_orderpriority) - 1 AS INT) AS o_orderpriority, CAST(epoch(o.o_orderdate::TIMESTAMP) AS DOUBLE) AS o_orderdate
+FROM f JOIN orders o USING (o_orderkey)""")
 def _(spark, d):
-    g = orders_with_gaps(spark, d).select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    g = orders_with_gaps(spark, d).select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", "o_orderdate")
     return clean.to_numeric(g, keep=["o_orderkey"])
 
 

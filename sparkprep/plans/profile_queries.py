@@ -268,9 +268,9 @@ def _(spark, d):
                     "imbalance_ratio", F.explode("class_distribution").alias("class", "share"))
 
 
-@query("a25_class_quartiles", f"""WITH {GAPS_SQL} {_union('SELECT l_returnflag, $q{c}$q AS "column", min({c}) AS "min", round(quantile_cont({c}, 0.25), 6) AS q1, round(median({c}), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q3, max({c}) AS "max" FROM li GROUP BY 1', NUM[:3]).replace("$q", "'")}""")
+@query("a25_class_quartiles", f"""WITH {GAPS_SQL} {_union('SELECT l_returnflag, $q{c}$q AS "column", min({c}) AS "min", round(quantile_cont({c}, 0.25), 6) AS q1, round(median({c}), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q3, max({c}) AS "max" FROM li GROUP BY 1', NUM).replace("$q", "'")}""")
 def _(spark, d):
-    return rounded(profile.class_quartiles(lines(spark, d), NUM[:3], "l_returnflag"), "q1", "median", "q3")
+    return rounded(profile.class_quartiles(lines(spark, d), NUM, "l_returnflag"), "q1", "median", "q3")
 
 
 # ---- feature steps ------------------------------------------------------------------------------
@@ -427,8 +427,7 @@ def _(spark, d):
     return fe.text_vectors(t, "text", size=32).select("doc_id", F.size("vector").alias("size"), F.round(vx_norm("vector"), 3).alias("norm"))
 
 
-@query("f24_pooled_vectors", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings)
-SELECT label, CAST(i AS BIGINT) AS pos, round(avg(embedding[i]::DOUBLE), 6) AS x FROM p, unnest(range(1, 65)) AS t(i) WHERE rn <= 10 GROUP BY label, i""")
+@query("f24_pooled_vectors", """SELECT label, CAST(i AS BIGINT) AS pos, round(avg(embedding[i]::DOUBLE), 6) AS x FROM embeddings, unnest(range(1, 65)) AS t(i) GROUP BY label, i""")
 def _(spark, d):
     m = fe.pooled_vectors(table(spark, d, "embeddings"), "label", "vec_id", "embedding").select("label", F.posexplode("mean_vector").alias("p", "x"))
     return m.select("label", (F.col("p") + 1).cast("long").alias("pos"), F.round("x", R).alias("x"))

@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..operators.clean import nan_to_null
 
-def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """CSV with a header, JSON lines, ORC or Parquet, chosen by the extension.
+
+def read_table(spark: SparkSession, path: str, schema: StructType | None = None, nan_is_null: bool = True) -> DataFrame:
+    """CSV with a header, JSON lines, ORC or Parquet, chosen by the extension; NaN becomes NULL.
 
     Give a schema for CSV and JSON: inference reads the data once more.
     """
+    df = _read(spark, path, schema)
+    return nan_to_null(df) if nan_is_null else df
+
+
+def _read(spark: SparkSession, path: str, schema: StructType | None) -> DataFrame:
     ext = path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2].lower()
     reader = spark.read
     if ext == "csv":

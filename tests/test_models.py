@@ -23,7 +23,7 @@ REG = m.Task("t", ("id",), ("a", "b"), ("c",), "regression")
 
 
 def test_catalogue_rules():
-    assert "svc" not in m.get_models("classification", n_samples=10_000)
+    assert m.get_models("classification") == m.AVAILABLE["classification"]
     assert m.get_models("classification", ["rf", "nope"]) == ["rf"]
     assert m.get_models("regression", ["nope"]) == m.AVAILABLE["regression"]
     with pytest.raises(ValueError):
@@ -78,7 +78,9 @@ def test_importance_and_permutation(table):
 
 def test_grid_points():
     assert len(m.grid_points(m.GRIDS["rf"], "grid")) == 18 and len(m.grid_points(m.GRIDS["gb"], n_iter=20)) == 20
-    assert m.spark_params("logistic", {"C": 0.5}) == {"regParam": 2.0}
+    assert m.spark_params("logistic", {"C": 0.5}, 1000) == {"regParam": 0.002}
+    assert m.spark_params("ridge", {"alpha": 2.0}, 1000) == {"regParam": 0.002} and m.spark_params("lasso", {"alpha": 2.0}, 1000) == {"regParam": 2.0}
+    assert m.spark_params("sgd_clf", {"penalty": "l1"}) == {"elasticNetParam": 1.0}
     assert m.spark_params("xgb_clf", {"n_estimators": 50, "max_depth": None}) == {"maxIter": 50}
 
 
