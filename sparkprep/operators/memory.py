@@ -7,7 +7,6 @@ columns of the memory record. Groups here are the k neighbours of one query, so
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -38,24 +37,9 @@ MEMORY_ENTRY = (
 )
 
 
-@dataclass(frozen=True)
-class RetrievalConfig:
-    k_neighbors: int = 10
-    lambda_sensitivity: float = 0.5
-    memory_models: int = 3
-    fallback_models: int = 5
-    top_k_for_score: int = 3
-    alpha: float = 0.6
-    beta: float = 0.3
-    gamma: float = 0.1
-    recency_decay_days: float = 30.0
-
-    def __post_init__(self) -> None:
-        for name in ("k_neighbors", "top_k_for_score", "memory_models", "fallback_models"):
-            if getattr(self, name) < 1:
-                raise ValueError(f"{name} must be at least 1")
-        if abs(self.alpha + self.beta + self.gamma - 1.0) > 0.01:
-            raise ValueError("alpha, beta and gamma must sum to 1")
+#: Weights of similarity, performance and recency in the combined score.
+COMBINED_WEIGHTS = (0.6, 0.3, 0.1)
+DECAY_DAYS = 30.0
 
 
 def record_key(dataset_id: Column, prefix: str = "openml_") -> Column:
@@ -95,13 +79,16 @@ def recency(recorded_at: Column, as_of: Column, decay_days: float = 30.0) -> Col
 
 
 def scored(
-    neighbors: DataFrame, as_of: Column, config: RetrievalConfig = RetrievalConfig(), by: Sequence[str] = ("query_id",)
+    neighbors: DataFrame, as_of: Column, weights: tuple[float, float, float] = COMBINED_WEIGHTS, decay_days: float = DECAY_DAYS,
+    by: Sequence[str] = ("query_id",),
 ) -> DataFrame:
-    """Add s, p, r and combined = alpha*s + beta*p + gamma*r to a neighbour table.
+    """Add s, p, r and combined, their sum under `weights` (which add up to 1), to a neighbour table.
 
     Needs similarity, score (higher is better, may be NULL) and recorded_at.
     """
-    return weighted(_parts(neighbors, as_of, config.recency_decay_days, by), F.lit(config.alpha), F.lit(config.beta), F.lit(config.gamma))
+    if abs(sum(weights) - 1) > 0.01:
+        raise ValueError(f"weights {weights} don't add up to 1")
+    return weighted(_parts(neighbors, as_of, decay_days, by), *map(F.lit, weights))
 
 
 def _parts(neighbors: DataFrame, as_of: Column, decay: float, by: Sequence[str]) -> DataFrame:
@@ -149,18 +136,24 @@ def decide(
     queries: DataFrame,
     neighbors: DataFrame,
     as_of: Column,
-    config: RetrievalConfig = RetrievalConfig(),
+    weights: tuple[float, float, float] = COMBINED_WEIGHTS,
+    decay_days: float = DECAY_DAYS,
     floor: float = SIMILARITY_FLOOR,
+    **choice,
 ) -> DataFrame:
     """One decision row per query: 'memory' or 'cold_start', threshold, winner and chosen models.
 
-    `queries` has query_id and problem_type; queries without neighbours get zeros and the fallback.
+    `queries` has query_id and problem_type; queries without neighbours get zeros and the fallback. `choice` may set
+    `sensitivity` of the threshold and how many models come `from_memory` and `from_fallback`.
     """
-    best = scored(neighbors, as_of, config)
-    return _decide(queries, best, config, floor, ())
+    return _decide(queries, scored(neighbors, as_of, weights, decay_days), floor, (), **choice)
 
 
-def _decide(queries: DataFrame, best: DataFrame, config: RetrievalConfig, floor: float, extra: Sequence[str]) -> DataFrame:
+def _decide(
+    queries: DataFrame, best: DataFrame, floor: float, extra: Sequence[str], sensitivity: float = 0.5, from_memory: int = 3, from_fallback: int = 5,
+) -> DataFrame:
+    if min(from_memory, from_fallback) < 1:
+        raise ValueError("at least one model is chosen, from memory and as a fallback")
     first = F.struct(-F.col("combined"), F.col("rank"))
     winner = F.struct("memory_id", "similarity", "combined", "p", "r")
     ranked_models = F.sort_array(F.collect_list(F.struct((-F.col("combined")).alias("c"), F.col("rank"), F.col("models")[0].alias("m"))))
@@ -171,11 +164,11 @@ def _decide(queries: DataFrame, best: DataFrame, config: RetrievalConfig, floor:
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "memory_id"))), lambda e: e["memory_id"]).alias("neighbor_ids"),
     )
     joined = queries.select("query_id", "problem_type").join(per_query, "query_id", "left")
-    epsilon = F.col("mu") - config.lambda_sensitivity * F.col("sigma")
+    epsilon = F.col("mu") - sensitivity * F.col("sigma")
     problem = F.col("problem_type")
     named = F.filter(F.transform("__ranked", lambda e: e["m"]), lambda m: m.isNotNull())
-    from_memory = F.slice(F.array_distinct(F.transform(named, lambda m: cat.model_for(m, problem))), 1, config.memory_models)
-    memory_list = F.when(F.size(from_memory) > 0, from_memory).otherwise(cat.fallback_models(problem, config.memory_models))
+    remembered = F.slice(F.array_distinct(F.transform(named, lambda m: cat.model_for(m, problem))), 1, from_memory)
+    memory_list = F.when(F.size(remembered) > 0, remembered).otherwise(cat.fallback_models(problem, from_memory))
     decision = (
         F.when(F.col("w").isNull() | (F.col("w.similarity") < floor), "cold_start")
         .when(F.col("w.combined") >= epsilon, "memory").otherwise("cold_start")
@@ -193,20 +186,20 @@ def _decide(queries: DataFrame, best: DataFrame, config: RetrievalConfig, floor:
         F.coalesce(F.round("sigma", 6), zero).alias("sigma_s"),
         "similarities", "neighbor_ids",
         F.when(F.col("decision") == "memory", memory_list)
-        .otherwise(cat.fallback_models(problem, config.fallback_models)).alias("models_selected"),
+        .otherwise(cat.fallback_models(problem, from_fallback)).alias("models_selected"),
     )
     return out.withColumn("num_models_evaluated", F.size("models_selected"))
 
 
 def weight_sweep(
-    queries: DataFrame, neighbors: DataFrame, as_of: Column, triples=SWEEP, config: RetrievalConfig = RetrievalConfig()
+    queries: DataFrame, neighbors: DataFrame, as_of: Column, triples=SWEEP, decay_days: float = DECAY_DAYS, **choice
 ) -> DataFrame:
     """The decision under each weight triple. Every neighbour row is repeated per triple in place."""
     configs = F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(c).alias("gamma")) for a, b, c in triples])
-    parts = _parts(neighbors, as_of, config.recency_decay_days, ["query_id"])
+    parts = _parts(neighbors, as_of, decay_days, ["query_id"])
     every = parts.withColumn("__c", F.explode(configs)).select("*", "__c.*").drop("__c")
     best = weighted(every, F.col("alpha"), F.col("beta"), F.col("gamma"))
-    return _decide(queries, best, config, SIMILARITY_FLOOR, ["alpha", "beta", "gamma"])
+    return _decide(queries, best, SIMILARITY_FLOOR, ["alpha", "beta", "gamma"], **choice)
 
 
 def near_match(distance: Column, limit: float = WARM_START_DISTANCE) -> Column:
@@ -287,12 +280,12 @@ def paradigm_shares(selection: DataFrame) -> DataFrame:
         F.avg(ml).alias("ml_share"), F.avg(1.0 - ml).alias("dl_share"), F.min_by("paradigm", "position").alias("best_paradigm"))
 
 
-def unified_decision(queries: DataFrame, neighbors: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+def unified_decision(queries: DataFrame, neighbors: DataFrame, sensitivity: float = 0.5, top_k: int = 3, models: int = 3) -> DataFrame:
     """Decision over a memory of both classical models and networks, one row per query."""
-    limits = adaptive_threshold(neighbors, "similarity", config.lambda_sensitivity).join(
-        top_k_mean(neighbors, config.top_k_for_score), "query_id")
+    limits = adaptive_threshold(neighbors, "similarity", sensitivity).join(
+        top_k_mean(neighbors, top_k), "query_id")
     time = neighbors.groupBy("query_id").agg(F.sum("training_time").alias("__time"))
-    chosen = paradigm_selection(neighbors, config.memory_models)
+    chosen = paradigm_selection(neighbors, models)
     label = strategy_label(F.col("paradigm"), F.col("model_name"), F.col("architecture_config"))
     ml = (F.col("paradigm") == "ML").cast("double")
     picked = chosen.groupBy("query_id").agg(

@@ -11,7 +11,7 @@ import math
 import random
 import time
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml import classification as mlc
@@ -444,13 +444,11 @@ class Trial:
     warm: bool
 
 
-def _trial_utility(score: float, spent: float, complexity: int, task: Task) -> float:
-    w1, w2, w3 = ut.WEIGHTS[task.problem_type]
-    slow, complex_ = min(spent / 10.0, 1.0), (complexity - 1) / 3.0
-    if task.is_classification:
-        return w1 * score - w2 * slow - w3 * complex_
-    factor = 1.0 + w2 * slow + w3 * complex_
-    return score * factor if score < 0 else score / factor
+def _rated(spark, trials: list[Trial], loads: list[int], utility) -> list[Trial]:
+    """Trials with the utility that a column function of (score, time, load) gives them."""
+    rows = spark.createDataFrame([(i, float(t.score), float(t.time_s), n) for i, (t, n) in enumerate(zip(trials, loads))], "i int, score double, time_s double, load long")
+    found = dict(map(tuple, rows.select("i", utility(F.col("score"), F.col("time_s"), F.col("load"))).collect()))
+    return [replace(t, utility=found[i]) for i, t in enumerate(trials)]
 
 
 def search(
@@ -478,10 +476,12 @@ def search(
             if not found:
                 break
             score, spent = (sum(getattr(s, a) for s in found) / len(found) for a in ("score", "time_s"))
-            value = _trial_utility(score, spent, COMPLEXITY.get(name, DEFAULT_COMPLEXITY), task)
-            done.append(Trial(name, i, params, score, spent, value, bool(warm) and i == 0))
+            done.append(Trial(name, i, params, score, spent, math.nan, bool(warm) and i == 0))
     if not done:
         return None, {}, []
+    w1, w2, w3 = map(F.lit, ut.WEIGHTS[task.problem_type])
+    rate = lambda score, spent, load: ut.trial_utility(score, spent, load, F.lit(task.problem_type), w1, w2, w3)
+    done = _rated(df.sparkSession, done, [COMPLEXITY.get(t.model, DEFAULT_COMPLEXITY) for t in done], rate)
     best = max(done, key=lambda t: t.utility)
     return best.model, best.params, done
 
@@ -504,17 +504,17 @@ def layer_search(
     shapes = [(rng.choice(LAYER_COUNTS), rng.choice(LAYER_WIDTHS)) for _ in range(trials)]
     if prior and prior.get("dl_num_layers") and prior.get("dl_hidden_dim"):
         shapes = [(int(prior["dl_num_layers"]), int(prior["dl_hidden_dim"])), *shapes[:-1]]
-    done = []
-    w1, w2, w3 = ut.WEIGHTS["classification"]
+    done, sizes = [], []
     for i, (count, width) in enumerate(shapes):
         start = time.time()
         model = _fit_estimator(train, task, "mlp_clf", classes, {"hidden": [width] * count, "maxIter": max_iter})
         spent = time.time() - start
         score = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="accuracy").evaluate(model.transform(test))
-        weights = len(model.weights)
-        value = w1 * max(0.0, min(1.0, score)) + w2 / (1 + spent) + w3 / (1 + weights / 10_000)
+        sizes.append(len(model.weights))
         params = {"dl_num_layers": count, "dl_hidden_dim": width}
-        done.append(Trial("mlp_clf", i, params, score, spent, value, i == 0 and prior is not None))
+        done.append(Trial("mlp_clf", i, params, score, spent, math.nan, i == 0 and prior is not None))
+    rate = lambda score, spent, load: ut.network_utility(score, spent, load, F.lit(task.problem_type), *ut.WEIGHTS[task.problem_type])
+    done = _rated(df.sparkSession, done, sizes, rate)
     return max(done, key=lambda t: t.utility).params, done
 
 

@@ -125,11 +125,12 @@ def test_recency(spark):
     assert got == pytest.approx([0.5, 1.0, math.exp(-1), 1.0])
 
 
-def test_config_validation():
+def test_settings_are_checked(spark):
+    near = spark.createDataFrame([(1, 1, 0.5, 0.5, None)], "query_id long, rank int, similarity double, score double, recorded_at timestamp")
     with pytest.raises(ValueError):
-        mem.RetrievalConfig(alpha=0.9)
+        mem.scored(near, F.current_timestamp(), weights=(0.9, 0.3, 0.1))
     with pytest.raises(ValueError):
-        mem.RetrievalConfig(k_neighbors=0)
+        mem.decide(near, near, F.current_timestamp(), from_memory=0)
 
 
 ENTRY_SCHEMA = (
