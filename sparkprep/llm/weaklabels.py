@@ -6,81 +6,95 @@ votes of all documents; posterior labels train a hashed linear scorer that judge
 
 from __future__ import annotations
 
+import operator
+import pickle
+import re
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
-from pyspark.ml import PipelineModel
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .common import word_list
 
-#: Documents with posterior labels that the scorer is fitted on at most; a hash of the text chooses them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Documents with posterior labels that the scorer is fitted on at most, about; a hash of the text chooses them.
 FIT_ROWS = 10_000
 FEATURES = 1 << 14
+SYMBOLS, TAILS = b"#*$%&|<>{}\\^~", frozenset(b"#*$%&|!<>")
+CAPITALS, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
+NAMES = ["symbols", "tailed", "marks", "capitals", "variety", "again", "letters", "stops", "lines", "digits", "empty"]
+_SHAPE = bytes(57 if 48 <= c < 58 else 65 if 65 <= c < 91 else 97 if 97 <= c < 123 or c >= 128 else c for c in range(256))
+_RUN = re.compile(rb"(.)\1+", re.S)
 
 
-def same_as_before(words: Column) -> Column:
-    """The words that equal the word before them. No lambda names `words`, which an optimiser may replace by what makes it."""
-    pairs = F.zip_with(words, F.concat(F.array(F.lit(None).cast("string")), words), lambda a, b: F.when(a == b, a))
-    return F.filter(pairs, lambda w: w.isNotNull())
-
+def votes_of(text: str | None) -> tuple[list[int], list[bytes]]:
+    """The labellers' votes (0 bad, 1 good, 2 abstains) on a whole text, in the order of NAMES, and its words.
 
-def signals(df: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
-    """`df` with one column of each number that the labellers look at, from the whole text (NULL counts as empty)."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    n = F.greatest(F.size("__words"), F.lit(1))
+    Each labeller knows one kind of defect and they overlap. Below 20 words shares mean little, so there most abstain.
+    Distinct words are held against the root of the length, as vocabularies grow. NULL counts as empty.
+    """
+    raw = (text or "").encode()
+    words = raw.split()
+    n = max(len(words), 1)
+    share = lambda chars: (len(raw) - len(raw.translate(None, chars))) / n
+    kinds = set(words)
+    symbols, marks, capitals, digits, stops = share(SYMBOLS), share(b"!?"), share(CAPITALS), share(DIGITS), share(b".,;:")
+    tailed = sum(map(TAILS.__contains__, [w[-1] for w in words])) / n
+    rich = len(kinds) / n * max(len(words) / 50, 0.02) ** 0.5
+    again = sum(map(operator.eq, words, words[1:])) / n
+    letters, lines = len(text or "") / n, (raw.count(b"\n") + 1) / n
+    long = len(words) >= 20
+    vote = lambda good, bad: 0 if bad else 1 if good and long else 2
+    return [
+        vote(symbols < 0.02, symbols > 0.1),
+        vote(tailed < 0.02, tailed > 0.15),
+        vote(marks < 0.05, marks > 0.3),
+        vote(0.01 <= capitals <= 0.5, capitals > 1.5),
+        vote(rich > 0.55, long and rich < 0.3),
+        vote(again < 0.02, long and again > 0.2),
+        vote(3 <= letters <= 9, letters > 20 or long and letters < 2),
+        vote(0.02 <= stops <= 0.4, long and stops > 0.8 or stops < 0.002 and len(words) >= 100),
+        vote(lines < 0.2, long and lines > 0.7),
+        vote(digits < 0.3, long and digits > 2),
+        2 if words else 0,
+    ], words
+
+
+class Hashed(dict):
+    """word -> the number of its lower-case form and of its shape among `size` features, packed; forgets when it is full.
 
-    def share(chars: str) -> Column:
-        return (F.length(body) - F.length(F.translate(body, chars, ""))) / n
+    Shapes turn runs of letters and digits into one character.
+    """
 
-    numbers = {
-        "__n": F.size("__words").cast("double"),
-        "__distinct": F.size(F.array_distinct("__words")) / n,
-        "__again": F.size(same_as_before(F.col("__words"))) / n,
-        "__letters": F.length(body) / n,
-        "__symbols": share("#*$%&|<>{}\\^~"),
-        "__tailed": F.size(F.filter("__words", lambda w: F.substring(w, -1, 1).isin(*"#*$%&|!<>"))) / n,
-        "__marks": share("!?"),
-        "__capitals": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-        "__digits": share("0123456789"),
-        "__stops": share(".,;:"),
-        "__lines": (F.length(body) - F.length(F.translate(body, "\n", "")) + 1) / n,
-    }
-    # Two steps, so that the words are cut once and not for every number.
-    return df.withColumn("__words", word_list(F.col(text))).withColumns(numbers).drop("__words"), list(numbers)
+    def __init__(self, size: int, room: int = 60_000):
+        super().__init__()
+        self.size, self.room = size, room
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.room:
+            self.clear()
+        shape = _RUN.sub(rb"\1", word.translate(_SHAPE))
+        out = self[word] = crc32(word.lower()) % self.size * self.size + crc32(b"\1" + shape) % self.size
+        return out
 
-def labellers() -> dict[str, Column]:
-    """Votes of the heuristics over the columns of `signals`: 1 good, 0 bad, NULL abstains.
 
-    Each knows one kind of defect and they overlap. Below 20 words shares mean little, so there most abstain. Distinct
-    words are held against the root of the length, as vocabularies grow.
-    """
-    c = {k: F.col(f"__{k}") for k in ("n", "distinct", "again", "letters", "symbols", "tailed", "marks", "capitals", "digits", "stops", "lines")}
-    long = c["n"] >= 20
-    rich = c["distinct"] * F.sqrt(F.greatest(c["n"], F.lit(1.0)) / 50)
-
-    def vote(good: Column, bad: Column) -> Column:
-        return F.when(bad, F.lit(0)).when(good & long, F.lit(1))
-
-    return {
-        "symbols": vote(c["symbols"] < 0.02, c["symbols"] > 0.1),
-        "tailed": vote(c["tailed"] < 0.02, c["tailed"] > 0.15),
-        "marks": vote(c["marks"] < 0.05, c["marks"] > 0.3),
-        "capitals": vote(c["capitals"].between(0.01, 0.5), c["capitals"] > 1.5),
-        "variety": vote(rich > 0.55, long & (rich < 0.3)),
-        "again": vote(c["again"] < 0.02, long & (c["again"] > 0.2)),
-        "letters": vote(c["letters"].between(3, 9), (c["letters"] > 20) | long & (c["letters"] < 2)),
-        "stops": vote(c["stops"].between(0.02, 0.4), long & (c["stops"] > 0.8) | (c["stops"] < 0.002) & (c["n"] >= 100)),
-        "lines": vote(c["lines"] < 0.2, long & (c["lines"] > 0.7)),
-        "digits": vote(c["digits"] < 0.3, long & (c["digits"] > 2)),
-        "empty": F.when(c["n"] == 0, F.lit(0)),
-    }
+def features_of(words: list[bytes], known: Hashed) -> np.ndarray:
+    """Counts of words, shapes and words that repeat the one before, scaled to length 1."""
+    size = known.size
+    both = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    out = (np.bincount(both // size, minlength=size) + np.bincount(both % size, minlength=size)).astype(float)
+    out[crc32(b"\2") % size] += sum(map(operator.eq, words, words[1:]))
+    return out / max(np.sqrt(np.square(out).sum()), 1e-12)
 
 
 @dataclass
@@ -138,52 +152,49 @@ def em(votes: np.ndarray, count: np.ndarray, names: list[str], rounds: int = 200
     return model
 
 
-def pattern(votes: dict[str, Column]) -> Column:
-    """The votes as one number in base 3; abstaining is 2."""
-    return sum((F.coalesce(v, F.lit(2)) * F.lit(3 ** j) for j, v in enumerate(votes.values())), F.lit(0)).cast("int")
+def pattern(votes: list[int]) -> int:
+    """Votes as one number in base 3."""
+    return sum(v * 3 ** j for j, v in enumerate(votes))
 
 
 def unpack(codes: np.ndarray, m: int) -> np.ndarray:
     return (codes[:, None] // 3 ** np.arange(m)) % 3
 
 
-def posterior_column(model: LabelModel, votes: dict[str, Column]) -> Column:
-    """P(good) as an expression over the votes."""
-    logs = F.lit(float(np.log(model.prior / (1 - model.prior))))
-    for v, (bad, good) in zip(votes.values(), model.weights().tolist()):
-        logs = logs + F.when(v == 0, F.lit(bad)).when(v == 1, F.lit(good)).otherwise(F.lit(0.0))
-    return 1 / (1 + F.exp(-logs))
+def fit_label_model(texts: DataFrame) -> tuple[LabelModel, int]:
+    """The model from the votes on all texts, and their number. At most 3 ** labellers counts reach the driver."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pattern(votes_of(t.as_py())[0]) for t in batch.column(0)], pa.int32())], names=["votes"])
 
-def fit_label_model(df: DataFrame, votes: dict[str, Column]) -> tuple[LabelModel, int]:
-    """The model from the votes of all rows, and the number of rows. At most 3 ** labellers counts reach the driver."""
-    found = sorted((r["votes"], r["count"]) for r in df.groupBy(pattern(votes).alias("votes")).count().collect())
+    found = sorted((r["votes"], r["count"]) for r in texts.mapInArrow(work, "votes int").groupBy("votes").count().collect())
     codes, count = np.array([f[0] for f in found], int), np.array([f[1] for f in found], float)
-    return em(unpack(codes, len(votes)), count, list(votes)), int(count.sum())
-
-
-def with_tokens(df: DataFrame, text: str) -> DataFrame:
-    """`df` with the array `tokens` to hash: words in lower case, their shapes, and one sign for each word that repeats the one before.
-
-    Shapes turn runs of letters and digits into one character.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"\p{Nd}+", "9")
-    return df.withColumn("__words", word_list(F.lower(body))).withColumn("tokens", F.concat(
-        F.col("__words"), F.transform(word_list(shape), lambda w: F.concat(F.lit("\u0001"), w)),
-        F.transform(same_as_before(F.col("__words")), lambda w: F.lit("\u0002")),
-    )).drop("__words")
+    return em(unpack(codes, len(NAMES)), count, NAMES), int(count.sum())
 
 
-def fit_scorer(rows: DataFrame, features: int = FEATURES) -> PipelineModel | None:
-    """A logistic scorer over hashed, length-normalised words and shapes.
+def fit_scorer(texts: DataFrame, labels: LabelModel, features: int = FEATURES) -> tuple[np.ndarray, float] | None:
+    """Weights and intercept of a logistic scorer over hashed words and shapes, from distinct texts.
 
-    `rows` has text and p = P(good); a row counts for good with weight p and for bad with 1 - p. None if either class has
-    a weight under one row.
+    A text with p = P(good) counts for good with weight p and for bad with 1 - p. None if either class has a weight under
+    one text.
     """
-    hashed = HashingTF(inputCol="tokens", outputCol="counts", numFeatures=features)
-    scaled = Normalizer(inputCol="counts", outputCol="features", p=2.0)
-    ready = cut_lineage(scaled.transform(hashed.transform(with_tokens(rows, "text").select("tokens", "p"))).select("features", "p"))
+    sent = cloudpickle.dumps(labels)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, model = Hashed(features), pickle.loads(sent)
+        for batch in batches:
+            at, value, p = [], [], []
+            for t in batch.column(0):
+                votes, words = votes_of(t.as_py())
+                x = features_of(words, known)
+                at.append(np.nonzero(x)[0])
+                value.append(x[at[-1]])
+                p.append(float(model.posterior(np.array([votes]))[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float64())), pa.array(p, pa.float64())], names=["at", "value", "p"])
+
+    vector = F.udf(lambda at, value: Vectors.sparse(features, at, value), VectorUDT())
+    ready = cut_lineage(texts.mapInArrow(work, "at array<int>, value array<double>, p double").select(vector("at", "value").alias("features"), "p"))
     good, bad = ready.agg(F.sum("p"), F.sum(1 - F.col("p"))).first()
     if min(good or 0, bad or 0) < 1:
         return None
@@ -191,31 +202,39 @@ def fit_scorer(rows: DataFrame, features: int = FEATURES) -> PipelineModel | Non
         F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")),
     )).alias("side")).select("features", "side.label", "side.weight").where("weight > 0.001")
     fit = LogisticRegression(regParam=1e-4, maxIter=25, weightCol="weight", elasticNetParam=0.0).fit(sides)
-    return PipelineModel([hashed, scaled, fit])
+    return fit.coefficients.toArray(), float(fit.intercept)
 
 
 def classify(df: DataFrame, text: str = "text", threshold: float = 0.5, rows: int = FIT_ROWS, features: int = FEATURES) -> DataFrame:
     """`df` with the columns posterior, score and kept; columns of these names are replaced.
 
     `posterior` is the label model's P(good) from the votes, `score` the scorer's; `kept` where `score` is at least
-    `threshold`. Accuracies come from the votes of all rows, the scorer's fit from at most about `rows` texts. NULL, empty
+    `threshold`. Accuracies come from the votes on all rows, the scorer's fit from at most about `rows` texts. NULL, empty
     and blank texts have no words to score and are rejected with score 0. If all votes agree on one class there is nothing
     to learn and `score` is the posterior. Rows are neither dropped nor merged.
     """
     keep = [c for c in df.columns if c not in ("posterior", "score", "kept")]
-    body = F.col(text).cast("string")
-    base, numbers = signals(df.select(*[F.col(f"`{c}`") for c in keep]).withColumn("__text", body), "__text")
-    votes = labellers()
-    labels, n = fit_label_model(base, votes)
-    base = base.withColumn("posterior", posterior_column(labels, votes)).withColumn("__blank", F.col("__n") == 0).drop(*numbers)
-    blank = F.col("__blank")
+    texts = df.select(F.col(f"`{text}`").cast("string").alias("text"))
+    labels, n = fit_label_model(texts)
     # Distinct texts, so that a text with very many copies takes one place.
-    share = F.pmod(F.xxhash64("__text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(n, 1)))
-    picked = base.select("__text", "posterior").where(share & ~blank).dropDuplicates(["__text"])
-    model = fit_scorer(picked.select(F.col("__text").alias("text"), F.col("posterior").alias("p")), features)
-    if model is None:
-        scored = base.withColumn("score", F.when(blank, F.lit(0.0)).otherwise(F.col("posterior")))
-        return scored.withColumn("kept", F.col("score") >= threshold).drop("__text", "__blank")
-    out = model.transform(with_tokens(base, "__text"))
-    score = F.when(blank, F.lit(0.0)).otherwise(F.element_at(vector_to_array(F.col("probability")), 2))
-    return out.select(*keep, "posterior", score.alias("score")).withColumn("kept", F.col("score") >= threshold)
+    share = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(n, 1)))
+    scorer = fit_scorer(texts.where(share & F.col("text").rlike(r"[^\x20\x09-\x0D]")).dropDuplicates(["text"]), labels, features)
+    sent = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps((labels, scorer)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, scorer = pickle.loads(sent.value)
+        known = Hashed(features)
+        for batch in batches:
+            votes, score = [], []
+            for t in batch.column(batch.num_columns - 1):
+                own, words = votes_of(t.as_py())
+                votes.append(own)
+                score.append(0.0 if not words else np.nan if scorer is None else float((features_of(words, known) * scorer[0]).sum()) + scorer[1])
+            blank = np.array([v[-1] == 0 for v in votes], bool)
+            p = model.posterior(np.array(votes, int).reshape(-1, len(NAMES)))
+            s = np.where(blank, 0.0, p if scorer is None else 1 / (1 + np.exp(-np.clip(score, -700, 700))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array(s), pa.array(s >= threshold)], names=[*keep, "posterior", "score", "kept"])
+            pa.default_memory_pool().release_unused()  # idle workers keep what they hold
+
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(work, schema)
