@@ -29,9 +29,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MARK = "▁"
 #: Characters that are indexed at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Bytes of text that a task works on at once.
-SLICE = 6 << 20
+SLICE = 3 << 20
 #: Units longer than this are relaxed one by one with a heap.
 LONG = 200
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -326,6 +326,7 @@ def _mapped(df: DataFrame, source: str, new: list[T.StructField], model: str, wo
                 if a < b:
                     part = batch.slice(a, b - a)
                     yield pa.RecordBatch.from_arrays(part.columns[:-1] + work(part.column(part.num_columns - 1), pieces), names=keep + names)
+            pa.default_memory_pool().release_unused()  # idle workers keep what they hold
 
     schema = T.StructType([df.schema[c] for c in keep] + new)
     return df.select(*[F.col(f"`{c}`") for c in keep], value.alias("__source")).mapInArrow(apply, schema)
