@@ -28,6 +28,12 @@ TILE = 8192
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
+#: Near copies by exact similarity: five-word shingles, and a radius that about 99 of 100 pairs at the least similarity are within.
+SET_SHINGLE = 5
+SIMILARITY = 0.8
+SET_RADIUS = 16
+#: Candidates of a text in a tile that the first round verifies; the second round lists all that are still apart.
+FIRST = 3
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = SEED) -> np.ndarray:
@@ -101,12 +107,12 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nda
     return nodes[moved], nodes[label[moved]]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) over a table of distinct fingerprints `fp` that connect exactly what links of at most `radius` bits connect."""
+def tiled(nodes: DataFrame, radius: int, tile: int, columns: list[str]) -> DataFrame | None:
+    """(x, y, right, columns): the tile pairs to compare and, as arrays, the `columns` (`fp` first) of either side; None without rows."""
     pop = F.bit_count("fp").cast("int")
-    counts = {r["p"]: r["count"] for r in distinct.groupBy(pop.alias("p")).count().collect()}  # at most 65 rows
+    counts = {r["p"]: r["count"] for r in nodes.groupBy(pop.alias("p")).count().collect()}  # at most 65 rows
     if not counts:
-        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+        return None
     # Tiles in order of population count: a frequent count has several of its own, rare counts share one.
     first, slices, n, room = [0] * 65, [1] * 65, 0, tile
     for p in range(65):
@@ -127,28 +133,34 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     def at(values: list[int]) -> Column:
         return F.element_at(F.array(*map(F.lit, values)), pop + 1)
 
-    tiles = distinct.select(
-        "fp", (at(first) + F.pmod(F.xxhash64("fp"), at(slices))).cast("int").alias("tile"),
+    tiles = nodes.select(
+        *columns, (at(first) + F.pmod(F.xxhash64(columns[-1]), at(slices))).cast("int").alias("tile"),
         at([lo[t] for t in first]).alias("lo"), at([hi[t] for t in first]).alias("hi"),
-    ).groupBy("tile").agg(F.collect_list("fp").alias("fps"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    pairs = tiles.select("tile", "fps", F.explode(F.sequence("lo", "hi")).alias("other")).select(
-        F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), (F.col("tile") > F.col("other")).alias("right"), "fps"
+    ).groupBy("tile").agg(*[F.collect_list(c).alias(c) for c in columns], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    pairs = tiles.select("tile", *columns, F.explode(F.sequence("lo", "hi")).alias("other")).select(
+        F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), (F.col("tile") > F.col("other")).alias("right"), *columns
     )
-
     # Comparing costs the square of a tile and little to move, so tasks are set by tile pairs and not by bytes.
     n_pairs = sum(slices[p] * (hi[t] - lo[t] + 1) for t, p in {first[p]: p for p in range(65)}.items()) // 2 + 1
-    tasks = max(1, min(n_pairs // 8, 10_000))
+    return pairs.repartition(max(1, min(n_pairs // 8, 10_000)), "x", "y")
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) over a table of distinct fingerprints `fp` that connect exactly what links of at most `radius` bits connect."""
+    pairs = tiled(distinct, radius, tile, ["fp"])
+    if pairs is None:
+        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
 
     def compare(table: pa.Table) -> pa.Table:
         sides = {}
-        for right, fps in zip(table.column("right").to_pylist(), table.column("fps").combine_chunks()):
+        for right, fps in zip(table.column("right").to_pylist(), table.column("fp").combine_chunks()):
             sides[right] = np.sort(fps.values.to_numpy().view(np.uint64))  # unsigned: bitwise_count takes the magnitude of signed numbers
         one_tile = table.column("x")[0].as_py() == table.column("y")[0].as_py()
         none = np.zeros(0, np.uint64)
         a, b = tile_links(sides[False], None if one_tile else sides[True], radius) if one_tile or len(sides) == 2 else (none, none)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return pairs.repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(compare, "a long, b long")
+    return pairs.groupBy("x", "y").applyInArrow(compare, "a long, b long")
 
 
 def groups(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -190,3 +202,103 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius:
     alone = joined.where(F.col("__root").isNull())
     first = joined.where(F.col("__root").isNotNull() & F.col(id_col).eqNullSafe(F.col("__least"))).dropDuplicates(["__root"])
     return alone.unionByName(first).select(*[F.col(f"`{c}`") for c in names])
+
+
+def shingle_sets(df: DataFrame, text: str, shingle: int, keep: list[str]) -> DataFrame:
+    """All columns `keep` and __fp, __node, __size: SimHash, key and size of each whole text's set of shingles; equal sets have equal keys."""
+    new = ["__fp", "__node", "__size"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(fingerprint(u), xxhash.xxh64_intdigest(u.tobytes(), SEED), len(u)) for u in (np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(len(keep)))]
+            fp, node, size = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(fp, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64())], names=[*keep, *new])
+
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in new])
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(work, schema)
+
+
+def candidates(nodes: DataFrame, radius: int, similarity: float, tile: int, first: int | None) -> DataFrame:
+    """(a, b): nodes with different roots, at most `radius` bits apart, whose sizes allow the similarity.
+
+    `nodes` has fp, size, root and node. With `first`, a node is listed with so many others of a tile at most, chosen by a hash of both.
+    """
+    pairs = tiled(nodes, radius, tile, ["fp", "size", "root", "node"])
+    if pairs is None:
+        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+
+    def compare(table: pa.Table) -> pa.Table:
+        sides, out = {}, []
+        for k, right in enumerate(table.column("right").to_pylist()):
+            sides[right] = [table.column(c).combine_chunks()[k].values.to_numpy() for c in ("fp", "size", "root", "node")]
+        one_tile = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+        if one_tile or len(sides) == 2:
+            (fp, size, root, node), (fp2, size2, root2, node2) = sides[False], sides[not one_tile]
+            step = max(1, (1 << 21) // max(len(fp2), 1))
+            for i in range(0, len(fp), step):
+                u, v = np.nonzero(bits_apart(fp[i:i + step].view(np.uint64), fp2.view(np.uint64)) <= radius)
+                u = u + i
+                fits = (root[u] != root2[v]) & (np.minimum(size[u], size2[v]) >= similarity * np.maximum(size[u], size2[v]))
+                if one_tile:
+                    fits &= u < v
+                u, v = u[fits], v[fits]
+                if first is not None and len(u):
+                    mix = (node[u] ^ node2[v]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    order = np.lexsort((mix, u))
+                    place = np.arange(len(u)) - np.searchsorted(u[order], u[order], "left")
+                    u, v = u[order][place < first], v[order][place < first]
+                out.append((node[u], node2[v]))
+        a, b = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": a, "b": b})
+
+    return pairs.groupBy("x", "y").applyInArrow(compare, "a long, b long")
+
+
+def verified(pairs: DataFrame, base: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """The `pairs` (a, b) of nodes whose sets of shingles have at least that Jaccard similarity, exactly."""
+    pairs = cut_lineage(pairs)
+    wanted = pairs.select(F.col("a").alias("__node")).unionByName(pairs.select(F.col("b").alias("__node"))).distinct()
+    texts = base.select("__node", F.col(f"`{text}`").cast("string").alias("text")).join(wanted, "__node", "left_semi").dropDuplicates(["__node"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    sets = cut_lineage(texts.mapInArrow(work, "node long, set array<long>"))
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
+    both = F.size(F.array_intersect("s", "t"))
+    return cut_lineage(met.where(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("a", "b"))
+
+
+def keep_one_similar(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = SET_RADIUS, shingle: int = SET_SHINGLE, similarity: float = SIMILARITY, tile: int = TILE,
+) -> DataFrame:
+    """`keep_one` over texts whose sets of `shingle`-word runs have at least that Jaccard similarity.
+
+    SimHashes of the sets at most `radius` bits apart are candidates, and every link is verified on the whole sets. The
+    first round verifies a few candidates of each text; the second all candidates that verified links have not joined
+    yet, so that a crowd of near copies gives no table of all its pairs. Texts with equal sets need no link.
+    """
+    names = df.columns
+    base = cut_lineage(shingle_sets(df, text, shingle, names))
+    nodes = cut_lineage(base.groupBy("__node").agg(
+        F.first("__fp").alias("fp"), F.first("__size").alias("size"), F.min(id_col).alias("__low"), F.count(F.lit(1)).alias("__n")).withColumnRenamed("__node", "node"))
+    edges = None
+    for first in (FIRST, None):
+        if edges is None:
+            rooted = nodes.withColumn("root", F.col("node"))
+        else:
+            rooted = nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = verified(candidates(rooted.where("size > 0"), radius, similarity, tile, first), base, text, shingle, similarity)
+        edges = found if edges is None else edges.unionByName(found)
+    named = nodes.join(components(edges), "node", "left").select(F.col("node").alias("__node"), F.coalesce("root", "node").alias("__root"), "__low", "__n")
+    whole = named.groupBy("__root").agg(F.min("__low").alias("__least"), F.sum("__n").alias("__all")).where("__all > 1")
+    crowd = cut_lineage(named.join(whole, "__root").select("__node", "__root", "__least"))
+    joined = base.join(crowd, "__node", "left")
+    alone = joined.where(F.col("__root").isNull())
+    kept = joined.where(F.col("__root").isNotNull() & F.col(id_col).eqNullSafe(F.col("__least"))).dropDuplicates(["__root"])
+    return alone.unionByName(kept).select(*[F.col(f"`{c}`") for c in names])

@@ -151,6 +151,39 @@ def test_simhash_against_brute_force(spark, odd, tile):
     assert simhash.near_duplicates(df.limit(0)).count() == simhash.keep_one(df.limit(0)).count() == 0
 
 
+def five_word_sets(text):
+    words = text.encode().lower().split()
+    return {b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("tile", [16, 8192])
+def test_near_copies_by_exact_similarity(spark, odd, tile):
+    rng, data = random.Random(4), []
+    for k in range(60):
+        words = prose(f"near{k}", 150).split()
+        data.append((len(data), " ".join(words)))
+        for spots in ([20 * k % 150], [30, 90], [10, 60, 110], [15, 45, 75, 105]):
+            copy = list(words)
+            for i in spots:
+                copy[i] = f"new{rng.random()}"
+            data.append((len(data), " ".join(copy)))
+    sets = [five_word_sets(t) for _, t in data]
+    root = list(range(len(data)))
+    for a in range(len(data)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    got = {r["doc_id"] for r in simhash.keep_one_similar(spark.createDataFrame(data, "doc_id long, text string"), tile=tile).collect()}
+    want = set(root)
+    assert want <= got and len(got - want) <= 0.02 * (len(data) - len(want))
+    # The default fingerprint radius leaves most of them.
+    assert len(got) < simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")).count()
+    kept = simhash.keep_one_similar(odd, tile=tile)
+    assert kept.columns == odd.columns and simhash.keep_one_similar(odd.limit(0)).count() == 0
+    assert Counter(r["text"] for r in kept.collect()).keys() >= {LONG, "one", ODD[9][1]}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000, 1000 + k) for k in range(200)] + [(k, k + 1) for k in range(2000, 2060)] + [(7, 7), (None, 1)]
