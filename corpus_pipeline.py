@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkprep.llm import decontaminate, linededup, sentencepiece_sa, simhash, weaklabels
+from sparkprep.llm.common import WORD
 from sparkprep.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,8 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines with a recurring template go; n_chars follows a text that changed."""
-    clean = linededup.dedup_lines(docs.select(COLUMNS))
+    """Lines with a recurring template go, and documents that keep no word; n_chars follows a text that changed."""
+    clean = linededup.drop_recurring(docs.select(COLUMNS))
+    clean = clean.where((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
     length = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", length).select(COLUMNS)
 

@@ -7,7 +7,7 @@ the constant tokens are the line's template. Templates that recur in enough diff
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -71,3 +71,68 @@ def dedup_lines(df: DataFrame, text: str = "text", max_share: float = MAX_SHARE,
         *[F.when(drops, left).otherwise(body).alias(c) if c == text else F.col(f"`{c}`") for c in keep],
         F.coalesce(F.size(F.split(body, "\n")), F.lit(0)).alias("n_lines"), F.when(drops, F.size("__lines")).otherwise(F.lit(0)).alias("n_dropped"),
     )
+
+
+def template_lines(
+    df: DataFrame, text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT,
+) -> DataFrame:
+    """(key, lines, words, templates): as `recurring_lines`, and a key of the text's set of templates.
+
+    Lines of fewer than `min_tokens` tokens have a leaf of their own with exact tokens.
+    """
+    body = F.col(text).cast("string")
+    lines = df.select(text_key(body).alias("key"), F.xxhash64(body).alias("doc"), F.posexplode(F.split(body, "\n")).alias("line", "s")).select(
+        "key", "doc", "line", word_list(F.col("s")).alias("tokens")
+    ).where(F.size("tokens") > 0)
+    lead = F.transform(F.slice("tokens", 1, depth), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+    lead = F.when(F.size("tokens") >= min_tokens, lead).otherwise(F.col("tokens"))
+    lines = lines.withColumn("leaf", F.xxhash64(F.size("tokens"), lead))
+    leaves = cut_lineage(
+        lines.select("leaf", "doc").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
+    )
+    rows = cut_lineage(lines.join(leaves, "leaf", "left_semi").select("key", "line", "doc", "leaf", "tokens").dropDuplicates(["key", "line"]))
+    cells = rows.select("key", "line", "doc", "leaf", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
+    shared = cells.groupBy("leaf", "at", "token").count().where(F.col("count") >= min_docs).select(
+        "leaf", "at", "token", F.lit(0).cast("long").alias("level")
+    )
+    # Only shared cells count; a template is the exclusive-or of its cells, so thresholds add up from the highest.
+    cell, plain = F.xxhash64("at", "token"), ~F.col("token").rlike("[0-9]")
+    steps = cells.join(shared, ["leaf", "at", "token"]).groupBy("key", "line", "doc", "leaf", "n", "level").agg(
+        F.count(F.lit(1)).alias("c"), F.bit_xor(cell).alias("x"), F.count_if(plain).alias("pc"), F.bit_xor(F.when(plain, cell)).alias("px"),
+    )
+    down = Window.partitionBy("key", "line").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = F.array(
+        F.struct(F.sum("c").over(down).alias("c"), F.bit_xor("x").over(down).alias("x")), F.struct(F.sum("pc").over(down).alias("c"), F.bit_xor("px").over(down).alias("x")),
+    )
+    templates = steps.select("key", "line", "doc", "leaf", "n", both.alias("both")).select(
+        "key", "line", "doc", "leaf", "n", F.explode(F.slice("both", 1, 1)).alias("t")
+    ).where(F.col("t.c") >= min_constant * F.col("n"))
+    templates = cut_lineage(templates.select("key", "line", "doc", "leaf", F.col("t.x").alias("template"), "n"))
+    often = templates.select("leaf", "template", "doc").distinct().groupBy("leaf", "template").count().where(F.col("count") >= min_docs)
+    # The most general recurring template of a line stands for it in the text's set.
+    found = templates.join(often, ["leaf", "template"]).groupBy("key", "line").agg(
+        F.max("n").alias("n"), F.max(F.struct("count", "leaf", "template")).alias("top"))
+    return found.groupBy("key").agg(
+        F.sort_array(F.collect_list("line")).alias("lines"), F.sum("n").alias("words"),
+        F.xxhash64(F.sort_array(F.collect_set(F.struct("top.leaf", "top.template")))).alias("templates"),
+    )
+
+
+def drop_recurring(df: DataFrame, text: str = "text", **how) -> DataFrame:
+    """`dedup_lines` by `template_lines`: recurring lines go whatever their share of the text.
+
+    Of the texts that would be left without words, one stays as it is for each set of templates.
+    """
+    keep = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
+    body = F.col(f"`{text}`").cast("string")
+    found = cut_lineage(template_lines(df, text, **how).select(*[F.col(c).alias(f"__{c}") for c in ("key", "lines", "words", "templates")]))
+    joined = df.select(*[F.col(f"`{c}`") for c in keep], text_key(body).alias("__key")).join(found, "__key", "left")
+    whole = df.select(text_key(body).alias("__key"), F.size(word_list(body)).alias("__n")).join(found, "__key").where("__words = __n")
+    stay = cut_lineage(whole.groupBy("__templates").agg(F.min("__key").alias("__key")).select("__key", F.lit(True).alias("__stay")))
+    joined = joined.join(stay, "__key", "left")
+    drops = F.col("__lines").isNotNull() & F.col("__stay").isNull()
+    left = F.array_join(F.filter(F.split(body, "\n"), lambda s, i: ~F.array_contains("__lines", i)), "\n")
+    return joined.select(
+        *[F.when(drops, left).otherwise(body).alias(c) if c == text else F.col(f"`{c}`") for c in keep],
+        F.coalesce(F.size(F.split(body, "\n")), F.lit(0)).alias("n_lines"), F.when(drops, F.size("__lines")).otherwise(F.lit(0)).alias("n_dropped"),
+    )

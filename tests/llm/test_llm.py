@@ -294,6 +294,22 @@ def test_line_templates(spark):
     assert got[200]["n_dropped"] == 0  # copies of one text count once
 
 
+def test_recurring_lines_of_any_share_and_length(spark):
+    data = [(k, f"{prose(f'm{k}', 5)}\nHome\nAbout us\nAll rights reserved here by the maker of it") for k in range(12)]
+    data += [(20 + k, "\n" * k + "Home\nAbout us") for k in range(3)] + [(30, "Only here")]
+    got = {r["doc_id"]: r for r in linededup.drop_recurring(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(got[k]["text"] == prose(f"m{k}", 5) and got[k]["n_dropped"] == 3 for k in range(12))
+    assert sum(got[k]["n_dropped"] == 0 for k in range(20, 23)) == 1 and sum(not got[k]["text"].strip() for k in range(20, 23)) == 2
+    assert got[30]["text"] == "Only here"
+
+
+def test_recurring_lines_on_odd_rows(spark, odd):
+    got = linededup.drop_recurring(odd)
+    assert got.columns == [*odd.columns, "n_lines", "n_dropped"]
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(ODD)
+    assert linededup.drop_recurring(odd.limit(0)).count() == 0
+
+
 def test_line_dedup_on_odd_rows(spark, odd):
     got = linededup.dedup_lines(odd)
     assert got.columns == [*odd.columns, "n_lines", "n_dropped"]
