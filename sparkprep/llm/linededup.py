@@ -76,9 +76,12 @@ def dedup_lines(df: DataFrame, text: str = "text", max_share: float = MAX_SHARE,
 def template_lines(
     df: DataFrame, text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT,
 ) -> DataFrame:
-    """(key, lines, words, templates): as `recurring_lines`, and a key of the text's set of templates.
+    """(key, lines, words, templates): as `recurring_lines`, at every scale of the input, and a key of the text's set of templates.
 
-    Lines of fewer than `min_tokens` tokens have a leaf of their own with exact tokens.
+    How often a token must be shared to be constant depends on its leaf: thresholds rise from `min_docs` by half powers of
+    two, and a line recurs if its template at any of them is constant enough and in enough different texts. Values of a
+    field that reach `min_docs` lines are thus told from the constants, which have more. Each threshold is tried with and
+    without the tokens that hold digits. Lines of fewer than `min_tokens` tokens have a leaf of their own with exact tokens.
     """
     body = F.col(text).cast("string")
     lines = df.select(text_key(body).alias("key"), F.xxhash64(body).alias("doc"), F.posexplode(F.split(body, "\n")).alias("line", "s")).select(
@@ -93,7 +96,7 @@ def template_lines(
     rows = cut_lineage(lines.join(leaves, "leaf", "left_semi").select("key", "line", "doc", "leaf", "tokens").dropDuplicates(["key", "line"]))
     cells = rows.select("key", "line", "doc", "leaf", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
     shared = cells.groupBy("leaf", "at", "token").count().where(F.col("count") >= min_docs).select(
-        "leaf", "at", "token", F.lit(0).cast("long").alias("level")
+        "leaf", "at", "token", F.floor(2 * F.log2(F.col("count") / min_docs)).alias("level")
     )
     # Only shared cells count; a template is the exclusive-or of its cells, so thresholds add up from the highest.
     cell, plain = F.xxhash64("at", "token"), ~F.col("token").rlike("[0-9]")
@@ -105,7 +108,7 @@ def template_lines(
         F.struct(F.sum("c").over(down).alias("c"), F.bit_xor("x").over(down).alias("x")), F.struct(F.sum("pc").over(down).alias("c"), F.bit_xor("px").over(down).alias("x")),
     )
     templates = steps.select("key", "line", "doc", "leaf", "n", both.alias("both")).select(
-        "key", "line", "doc", "leaf", "n", F.explode(F.slice("both", 1, 1)).alias("t")
+        "key", "line", "doc", "leaf", "n", F.explode(F.array_distinct("both")).alias("t")
     ).where(F.col("t.c") >= min_constant * F.col("n"))
     templates = cut_lineage(templates.select("key", "line", "doc", "leaf", F.col("t.x").alias("template"), "n"))
     often = templates.select("leaf", "template", "doc").distinct().groupBy("leaf", "template").count().where(F.col("count") >= min_docs)

@@ -294,6 +294,13 @@ def test_line_templates(spark):
     assert got[200]["n_dropped"] == 0  # copies of one text count once
 
 
+@pytest.mark.parametrize("n", [50, 50_000])
+def test_line_templates_at_any_size(spark, n):
+    data = [(k, f"own text{k}\nPrinted by the user {WORDS[k % 100]} for office {WORDS[100 + k // 100 % 100]} of this house\nSeen on 2024-{k % 12}-{k % 28} at our web server") for k in range(n)]
+    got = linededup.drop_recurring(spark.createDataFrame(data, "doc_id long, text string"))
+    assert got.where(F.col("text") == F.concat(F.lit("own text"), "doc_id")).count() == n
+
+
 def test_recurring_lines_of_any_share_and_length(spark):
     data = [(k, f"{prose(f'm{k}', 5)}\nHome\nAbout us\nAll rights reserved here by the maker of it") for k in range(12)]
     data += [(20 + k, "\n" * k + "Home\nAbout us") for k in range(3)] + [(30, "Only here")]
