@@ -1,6 +1,7 @@
 """Secret scans: a random forest removes false positives, in DataFrame functions and Spark ML only.
 
-Candidates are long runs of key characters. The forest sees a candidate's length, its transitions between character
+Candidates are long runs of key characters, and values of any length that are assigned to a secret's name or stand as password
+in a URL. The forest sees a candidate's length, its transitions between character
 classes, how much of it the corpus's own words cover, the path it lies in, and the words beside it. It is trained from
 labelled findings.
 """
@@ -22,7 +23,7 @@ CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 FIT_ROWS = 10_000
 FEATURES = [
     "length", "digits", "upper", "lower", "transitions", "distinct", "hex", "covered", "slashes", "key_path", "test_path", "key_before", "hash_before",
-    "assigned", "quoted",
+    "assigned", "quoted", "login",
 ]
 #: Words that stand beside secrets, and beside harmless identifiers.
 KEY_WORDS = r"(?i)(token|secret|passw(or)?d|pwd|api_?-?key|access_?key|auth|credential|bearer|private_?key)"
@@ -31,6 +32,13 @@ TEST_PATHS = r"(?i)(test|example|sample|fixture|mock|dummy)"
 #: Formats that providers issue.
 ISSUED = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_live_[A-Za-z0-9]{16,}$"
 
+#: A value of any length assigned to a secret's name, as end of a word and the two before it; user:password in a URL.
+NAME = KEY_WORDS.replace("(?i)", "(?i)(?<![a-z])") + r"(?![a-z])[a-z0-9_.\-]*[\"']?\s*[=:]+"
+NAMED = NAME + r"\s*[\"'`]?([^\s\"'`,;=:][^\s\"'`,;]*)[\"'`,;]*$"
+#: The group of NAMED that has the value.
+VALUE = NAME.count("(") - NAME.count("(?") + 1
+LOGIN = r"://[^/\s:@]*:([^/\s@]+)@"
+
 
 def candidates(df: DataFrame, keys: list[str], text: str, path: str | None) -> DataFrame:
     """(keys, place, word, before, after, path, secret): every candidate of every whole text.
@@ -38,7 +46,8 @@ def candidates(df: DataFrame, keys: list[str], text: str, path: str | None) -> D
     `place` is the number of the word from 0 and `before` has the two words in front of it.
     """
     cut = df.select(
-        *keys, (F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")).alias("path"), word_list(F.col(text).cast("string")).alias("words")
+        *keys, (F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")).alias("path"), word_list(F.col(text).cast("string")).alias("words"),
+        F.col(text).cast("string").alias("__text"),
     )
 
     def word_at(i: Column) -> Column:
@@ -52,7 +61,18 @@ def candidates(df: DataFrame, keys: list[str], text: str, path: str | None) -> D
         *keys, "path", F.col("s.place").alias("place"), F.col("s.word").alias("word"),
         F.concat_ws(" ", word_at(F.col("s.place") - 2), word_at(F.col("s.place") - 1)).alias("before"), word_at(F.col("s.place") + 1).alias("after"),
     )
-    return found.withColumn("secret", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), F.lit(1)))))
+    found = found.withColumn("secret", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), F.lit(1)))))
+    # Shorter values, and those with other characters: only texts with a secret's name and a sign, or a login, are cut again.
+    some = cut.where(F.col("__text").rlike(f"{NAME}|{LOGIN}"))
+    moved = lambda n: F.slice(F.concat(F.array_repeat(F.lit(""), n), "words"), F.lit(1), F.size("words"))
+    after = F.concat(F.slice("words", F.lit(2), F.size("words")), F.array(F.lit("")))
+    near = F.arrays_zip(F.col("words").alias("word"), moved(2).alias("second"), moved(1).alias("first"), after.alias("after"))
+    each = some.where(F.size("words") > 0).select(*keys, "path", F.posexplode(near).alias("place", "s")).select(
+        *keys, "path", "place", "s.word", F.concat_ws(" ", "s.second", "s.first").alias("before"), "s.after"
+    )
+    value = F.array(F.regexp_extract(F.concat_ws(" ", "before", "word"), NAMED, VALUE), F.regexp_extract("word", LOGIN, 1))
+    short = each.withColumn("secret", F.explode(F.array_distinct(value))).where((F.col("secret") != "") & ~F.col("secret").rlike(f"^{CANDIDATE}$"))
+    return found.unionByName(short)
 
 
 def letter_triples(df: DataFrame, text: str, share: float = 1e-5) -> DataFrame:
@@ -77,7 +97,7 @@ def features(found: DataFrame, triples: DataFrame) -> DataFrame:
 
     low = F.lower("secret")
     pieces = found.select("secret").distinct().select(
-        "secret", F.explode(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))).alias("triple")
+        "secret", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))).alias("triple")
     )
     covered = pieces.join(F.broadcast(triples), "triple", "left").groupBy("secret").agg((F.count("known") / F.count(F.lit(1))).alias("covered"))
     flag = lambda c: c.cast("double")
@@ -89,20 +109,26 @@ def features(found: DataFrame, triples: DataFrame) -> DataFrame:
         "key_before": flag(F.concat_ws(" ", "before", F.substring_index("word", "=", 1)).rlike(KEY_WORDS)),
         "hash_before": flag(F.concat_ws(" ", "before", "word").rlike(HARMLESS_WORDS)),
         "assigned": flag(F.concat_ws(" ", "before", "word").rlike("[=:]")), "quoted": flag(F.col("word").rlike("[\"'`]")),
+        "login": flag(F.col("word").rlike(LOGIN)),
     })
 
 
 def label_findings(found: DataFrame) -> DataFrame:
-    """Findings with a certain label: 1 for formats that providers issue and keys assigned to a secret's name, 0 for letters only, digits only,
-    identifiers named as hashes, and addresses. All others are left out; they are what the forest decides on."""
+    """Findings with a certain label: 1 for formats that providers issue, keys assigned to a secret's name and passwords in URLs, 0 for letters
+    only, digits only, identifiers named as hashes, mail addresses, and URLs without a part that looks like a key. All others are left out; they
+    are what the forest decides on."""
     s = F.col("secret")
     beside = F.concat_ws(" ", "before", "word")
     mixed = s.rlike("[0-9]") & s.rlike("[A-Za-z]")
-    named = mixed & beside.rlike(KEY_WORDS.replace("(?i)", "(?i)\\b") + r"[\"']?\s*[=:]\s*[\"']?[A-Za-z0-9+/_\-]{16,}")
-    plain = s.rlike("^[A-Za-z_-]+$") & (F.lower(s) == s) | s.rlike("^[0-9-]+$") | F.col("word").rlike("@|://|^www[.]")
+    assigned = beside.rlike(NAMED) & (F.regexp_extract(beside, NAMED, VALUE) == s)
+    password = F.regexp_extract("word", LOGIN, 1) == s
+    named = mixed & (assigned | beside.rlike(KEY_WORDS.replace("(?i)", "(?i)\\b") + r"[\"']?\s*[=:]\s*[\"']?[A-Za-z0-9+/_\-]{16,}"))
+    issued = F.exists(F.split(s, "/"), lambda part: part.rlike(ISSUED))
+    keylike = F.exists(F.split(s, "/"), lambda part: (F.length(part) >= 16) & part.rlike("[0-9]") & part.rlike("[A-Za-z]"))
+    plain = s.rlike("^[A-Za-z_-]+$") & (F.lower(s) == s) | s.rlike("^[0-9-]+$") | F.col("word").rlike("^[^/:]*@") | F.col("word").rlike("@|://|^www[.]") & ~keylike
     uuid = s.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
     harmless = plain | uuid | mixed & F.col("before").rlike(HARMLESS_WORDS) & ~beside.rlike(KEY_WORDS)
-    label = F.when(s.rlike(ISSUED) | named, F.lit(1.0)).when(harmless, F.lit(0.0))
+    label = F.when(issued | named | password, F.lit(1.0)).when(harmless & ~assigned, F.lit(0.0))
     return found.withColumn("label", label).where("label IS NOT NULL")
 
 

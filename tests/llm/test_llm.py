@@ -471,6 +471,18 @@ def test_secrets_and_false_positives(spark):
     assert got == truth
 
 
+def test_short_secrets_and_logins_in_urls(spark):
+    data, truth = secret_docs()
+    key = "ghp_" + "a1B2c3D4e5F6" * 3
+    planted = {
+        1001: (f'the password = "hunter2!Xy" {prose("s1", 9)}', "hunter2!Xy"), 1002: (f"open postgres://user:pw9@host/db {prose('s2', 9)}", "pw9"),
+        1003: (f"db_password: Zx7 {prose('s3', 9)}", "Zx7"), 1004: (f"clone https://{key}@github.com {prose('s4', 9)}", f"//{key}"),
+    }
+    docs = spark.createDataFrame(data + [(k, t, "s") for k, (t, _) in planted.items()], "doc_id long, text string, source string")
+    got = {(r["doc_id"], r["secret"]) for r in secretscan.scan(docs).collect()}
+    assert got == truth | {(k, v) for k, (_, v) in planted.items()}
+
+
 def test_secret_scan_on_odd_rows(spark, odd):
     assert {r["doc_id"] for r in secretscan.scan(odd).collect()} <= {i for i, _ in ODD}
     assert secretscan.scan(odd.limit(0)).count() == 0
