@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, quality, secretscan, sentencepiece_sa, shards, simhash, substrings, urlfilter, weaklabels
+from . import (
+    decontaminate, langid, linededup, quality, secretscan, sentencepiece_sa, shards, simhash, spelling, substrings, urlfilter, vectorcodes, weaklabels,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +143,99 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_weak_labels")
 def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weaklabels.classify(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "posterior", "score", "kept")
+
+
+@query("op11_language_id")
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
+#: Pairs by equal words around a masked or a missing code point; CRC-32 from its polynomial, bytes of UTF-8 from code points.
+VARIANT_SQL = r"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS raw FROM documents
+),
+found AS MATERIALIZED (
+  SELECT doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY ALL HAVING length(run) >= 6
+),
+bytes AS (
+  SELECT doc_id, run, n, flatten(list_transform(list_transform(string_split(concat(doc_id, ':', run), ''), lambda x: unicode(x)::BIGINT),
+    lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 + (u >> 6), 128 + (u & 63)] END)) AS b FROM found
+),
+hashed AS MATERIALIZED (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS h FROM bytes, crc
+),
+typed AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM typed WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+less AS MATERIALIZED (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM places),
+masked AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM places),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n FROM masked a JOIN masked b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION ALL SELECT l.word, w.word, w.n FROM less l JOIN words w ON l.rest = w.word
+  UNION ALL SELECT w.word, l.word, l.n FROM less l JOIN words w ON l.rest = w.word
+),
+ranked AS (SELECT word, other, n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS k FROM near),
+own AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 5 * w.n THEN r.other END AS form, CASE WHEN r.n >= 5 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = r.word AND r.k = 1
+),
+walk AS (
+  SELECT word, word AS here, 0 AS steps FROM own
+  UNION ALL SELECT k.word, o.form, k.steps + 1 FROM walk k JOIN own o ON k.here = o.word WHERE o.form IS NOT NULL
+),
+ends AS (SELECT word, arg_max(here, steps) AS root FROM walk GROUP BY word)
+SELECT o.word, o.form, e.root, o.n, o.n_near, o.form_n FROM own o JOIN ends e ON o.word = e.word"""
+
+
+@query("op12_spelling_variants", VARIANT_SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def code_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every distance of every round; one pair of tables for each round."""
+    steps = [f"""
+kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+cells AS MATERIALIZED (
+  SELECT rid, p, list_slice(q, p * len(q) // {parts} + 1, (p + 1) * len(q) // {parts}) AS v FROM kept, (SELECT unnest(range({parts})) AS p)
+),
+book0 AS MATERIALIZED (SELECT p, rid - 1 AS e, v FROM cells WHERE rid <= {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS MATERIALIZED (
+  SELECT rid, c.p, any_value(c.v) AS v,
+    min(list_sum(list_transform(list_zip(c.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT * {entries} + e) AS best
+  FROM cells c JOIN book{k} b ON c.p = b.p GROUP BY rid, c.p
+)""")
+        if k < rounds:
+            steps.append(f"""
+means{k} AS (
+  SELECT p, e, list(m ORDER BY place) AS v FROM (
+    SELECT p, best % {entries} AS e, place, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m
+    FROM (SELECT p, best, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM near{k}) GROUP BY p, best % {entries}, place
+  ) GROUP BY p, e
+),
+book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN means{k} m ON b.p = m.p AND b.e = m.e)""")
+    return f"""WITH {",".join(steps)},
+codes AS (
+  SELECT rid, string_agg(lpad(lower(hex(best % {entries})), 2, '0'), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error FROM near{rounds} GROUP BY rid
+),
+books AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN codes ON kept.rid = codes.rid, books"""
+
+
+@query("op13_vector_codes", code_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
