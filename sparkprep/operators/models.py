@@ -1,4 +1,4 @@
-"""Model screening, training, search and explanation with Spark ML.
+"""Model screening, training, search and explanation with Spark ML.
 
 The driver only loops over models, folds and trials; every fit, prediction and metric is a Spark job.
 Labels are 0-based class indexes (see `clean.label_index`) or numbers.
@@ -29,7 +29,6 @@ from . import utility as ut
 from .features import fit_preprocessor
 from .neighbors import knn_join
 from .ordering import row_rank
-from .profile import fingerprints
 from .split import cap_rows, folds, holdout, sample_share
 
 FEATURES, LABEL = "features", "label"
@@ -588,35 +587,3 @@ def linear_attribution(df: DataFrame, coefficients: dict[str, float], top: int =
         F.avg(F.abs(F.lit(float(coefficients[c])) * (F.col(c) - F.col(f"__m.m{i}")))).alias(f"a{i}") for i, c in enumerate(cols)])
     entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"a{i}").alias("attribution")) for i, c in enumerate(cols)])
     return parts.select(F.inline(entries)).orderBy(F.col("attribution").desc(), "feature").limit(top)
-
-
-# ---- M13 memory build ---------------------------------------------------------------------------
-
-def build_memory(
-    df: DataFrame, dataset: str, task: Task, names: Sequence[str], done: DataFrame | None = None, minimum: int = 50,
-    cv: int = 3, share: float = 1.0,
-) -> DataFrame:
-    """One memory record per dataset: fingerprint, winner by utility, its score and time.
-
-    Fingerprints of all datasets come from one job. Only the fits loop on the driver, over datasets
-    that are large enough and not done yet.
-    """
-    from .clean import minimum_rows
-
-    large = minimum_rows(df, dataset, minimum)
-    if done is not None:
-        large = large.join(done.select(dataset).distinct(), dataset, "left_anti")
-    large = cut_lineage(large)
-    prints = fingerprints(large, [*task.numeric, *task.categorical], task.y, [dataset])
-    scores: DataFrame | None = None
-    for (value,) in large.select(dataset).distinct().orderBy(dataset).collect():
-        part = large.where(F.col(dataset) == value)
-        found, _ = screen_models(part, task, names, share, cv)
-        found = found.select(F.lit(value).alias("dataset_id"), "model", "score", "time_s", F.lit(task.problem_type).alias("task"))
-        scores = found if scores is None else scores.unionByName(found)
-    if scores is None:
-        raise ValueError(f"no dataset has {minimum} rows")
-    best = ut.multi_objective(scores)
-    return prints.withColumnRenamed(dataset, "dataset_id").join(best, "dataset_id").select(
-        "dataset_id", F.concat(F.lit("openml_"), F.col("dataset_id").cast("string")).alias("key"), "embedding",
-        F.array("model").alias("models"), F.lit(task.problem_type).alias("problem_type"), "score", F.col("time_s").alias("elapsed_s"))

@@ -118,9 +118,3 @@ SELECT feature, round(v, 6) AS attribution FROM t ORDER BY v DESC LIMIT 3""")
 def _(spark, d):
     a = m.linear_attribution(table(spark, d, "lineitem"), {"l_quantity": 0.5, "l_discount": -40.0, "l_tax": 3.0, "l_extendedprice": 0.001})
     return a.withColumn("attribution", F.round("attribution", R))
-
-
-@query("m13_build_memory")
-def _(spark, d):
-    task = m.Task(y="label", key=("o_orderkey",), numeric=("o_totalprice", "o_custkey", "o_days"))
-    return m.build_memory(labelled(spark, d), "o_orderpriority", task, ["naive_bayes", "dt_clf"], cv=1)

@@ -84,13 +84,6 @@ def test_grid_points():
     assert m.spark_params("xgb_clf", {"n_estimators": 50, "max_depth": None}) == {"maxIter": 50}
 
 
-def test_build_memory_skips_small_and_done(spark, table):
-    df = table.withColumn("ds", F.when(F.col("id") < 30, "small").when(F.col("id") < 200, "done").otherwise("new"))
-    done = spark.createDataFrame([("done",)], "ds string")
-    rows = m.build_memory(df, "ds", CLF, ["naive_bayes"], done, cv=1).collect()
-    assert [r["dataset_id"] for r in rows] == ["new"] and len(rows[0]["embedding"]) == 10 and rows[0]["models"] == ["naive_bayes"]
-
-
 def test_space_table(spark):
     rows = m.search_space_table(spark).where("model = 'sgd_clf'").orderBy("param").collect()
     assert [(r["param"], r["log"], r["options"]) for r in rows] == [("alpha", True, None), ("penalty", False, ["l2", "l1", "elasticnet"])]
