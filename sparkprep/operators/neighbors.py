@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as vx
+from ..session import cut_lineage
+from . import cells
 from .ordering import hash_rank, top_per_group
 
 BROADCAST_BYTES = 64 << 20
 _CELLS = 400_000  # entries of one distance block
+RECALL_QUERIES = 500  # that the number of probes is measured on, about
 METRICS = ("l2", "ip", "cosine")
 _ZERO_NORM = vx.ZERO_NORM
 
@@ -146,36 +149,60 @@ def knn_join(
 
     `distance` is the squared L2 distance, or the inner product / cosine itself; `similarity` is the
     cosine in [0, 1]; ties go to the smaller memory id. Exact at any size: a side whose measured size fits `broadcast_bytes` is sent
-    to the other; otherwise both sides are cut into hash blocks that meet pairwise. The inputs are read
+    to the other. Otherwise the memory is cut into cells, and a query meets only cells that can hold a row as near as its
+    k-th one so far (l2); or both sides are cut into hash blocks that meet pairwise (other metrics). The inputs are read
     more than once (size, vectors), so store computed ones first.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
+    q, m, nq, nm, dim = _sides(queries, memory, query_id, memory_id, vec)
+    qbytes, mbytes, schema = nq * dim * 8, nm * dim * 8, _found_schema(q, m)
+    args = (k, metric, exclude_same, schema)
+    if mbytes <= broadcast_bytes:
+        best = _against_memory(q, m, *args)
+    elif qbytes <= broadcast_bytes:
+        best = _against_queries(q, m, *args)
+    elif metric == "l2":
+        best, _ = cells.exact_join(q, m, nq, nm, dim, k, exclude_same, broadcast_bytes, schema)
+    else:
+        best = _blocks(q, m, math.ceil(qbytes / broadcast_bytes), math.ceil(mbytes / broadcast_bytes), *args)
+    return _ranked(best, k, metric)
+
+
+def _sides(queries: DataFrame, memory: DataFrame, query_id: str, memory_id: str, vec: str) -> tuple[DataFrame, DataFrame, int, int, int]:
     q, m = _side(queries, query_id, vec, "query"), _side(memory, memory_id, vec, "memory")
     nm, dm = _size(m, "memory_vec")
     nq, dq = (nm, dm) if queries is memory else _size(q, "query_vec")
     if nq and nm and dq != dm:
         raise ValueError(f"query vectors have {dq} elements, memory vectors {dm}")
-    qbytes, mbytes = nq * dq * 8, nm * dm * 8
-    schema = T.StructType([
+    return q, m, nq, nm, max(dq, dm)
+
+
+def _found_schema(q: DataFrame, m: DataFrame) -> T.StructType:
+    return T.StructType([
         T.StructField("query_id", q.schema["query_id"].dataType),
         T.StructField("memory_id", m.schema["memory_id"].dataType),
         T.StructField("__score", T.DoubleType()),
         T.StructField("similarity", T.DoubleType()),
     ])
-    args = (k, metric, exclude_same, schema)
-    if mbytes <= broadcast_bytes:
-        best = _against_memory(q, m, *args)
-    elif qbytes <= broadcast_bytes:
-        best = _against_queries(q, m, *args)
-    else:
-        best = _blocks(q, m, math.ceil(qbytes / broadcast_bytes), math.ceil(mbytes / broadcast_bytes), *args)
+
+
+def _ranked(best: DataFrame, k: int, metric: str) -> DataFrame:
     ranked = top_per_group(best, ["query_id"], [F.col("__score"), F.col("memory_id")], k)
     score = F.col("__score")
     return ranked.select(
         "query_id", "memory_id", (score if metric == "l2" else -score).alias("distance"), "similarity", "rank")
 
 
+def knn_work(
+    queries: DataFrame, memory: DataFrame, k: int, *, query_id: str, memory_id: str, vec: str = "embedding", exclude_same: bool = False,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """(pairs, pairs_multiplied): all pairs of two large sides, and those that the cells of `knn_join` leave to be multiplied."""
+    q, m, nq, nm, dim = _sides(queries, memory, query_id, memory_id, vec)
+    return cells.exact_join(q, m, nq, nm, dim, k, exclude_same, broadcast_bytes, _found_schema(q, m))[1]
+
+
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -255,52 +282,33 @@ def knn_join_cells(
     query_id: str,
     memory_id: str,
     vec: str = "embedding",
-    cells: int = 16,
-    probes: int = 4,
+    n_cells: int | None = None,
+    probes: int | None = None,
+    recall: float = 0.95,
     seed: int = 42,
     block_bytes: int = BROADCAST_BYTES,
-    fit_rows: int = 100_000,
 ) -> DataFrame:
-    """Approximate L2 join for two large sides: only the `probes` nearest k-means cells are searched.
+    """Approximate L2 join for two large sides: only the nearest `probes` cells of a query are searched.
 
-    Cells are split into hash blocks of bounded size on both sides, so a crowded cell becomes many
-    tasks. Distances are exact; neighbours in other cells are missed. `knn_join` is the exact form.
+    Cells (about the square root of the memory's rows) are fitted by k-means over all rows and cut into blocks of bounded
+    size on both sides. Without `probes`, their number is the smallest one that finds `recall` of the true neighbours of about
+    RECALL_QUERIES queries, chosen by hash. Distances are exact; neighbours in other cells are missed. `knn_join` is
+    the exact form.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    q, m = _side(queries, query_id, vec, "query"), _side(memory, memory_id, vec, "memory")
-    sample = m.orderBy(F.xxhash64("memory_id", F.lit(seed))).limit(fit_rows)
-    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="f").fit(
-        sample.select(array_to_vector("memory_vec").alias("f")))
-    spark = q.sparkSession
-    centers = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, embedding array<double>")
-
-    def cell_of(df: DataFrame, prefix: str, n: int) -> DataFrame:
-        vecs = df.withColumnRenamed(f"{prefix}_vec", "embedding")
-        near = knn_join(vecs, centers, n, query_id=f"{prefix}_id", memory_id="cell")
-        return df.join(near.select(F.col("query_id").alias(f"{prefix}_id"), F.col("memory_id").alias("cell")), f"{prefix}_id")
-
-    mc, qc = cell_of(m, "memory", 1), cell_of(q, "query", probes)
-    dim = len(model.clusterCenters()[0])
-    per_block = max(1, block_bytes // (8 * dim))
-    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / per_block).cast("int").alias(name))
-    shape = blocks(mc, "__mb").join(blocks(qc, "__qb"), "cell")
-    mc = mc.join(shape, "cell").withColumn("__j", F.pmod(F.xxhash64("memory_id"), "__mb").cast("int")).withColumn(
-        "__i", F.explode(F.sequence(F.lit(0), F.col("__qb") - 1)))
-    qc = qc.join(shape, "cell").withColumn("__i", F.pmod(F.xxhash64("query_id"), "__qb").cast("int")).withColumn(
-        "__j", F.explode(F.sequence(F.lit(0), F.col("__mb") - 1)))
-    schema = T.StructType([
-        T.StructField("query_id", q.schema["query_id"].dataType),
-        T.StructField("memory_id", m.schema["memory_id"].dataType),
-        T.StructField("__score", T.DoubleType()),
-        T.StructField("similarity", T.DoubleType()),
-    ])
-    keys = ["cell", "__i", "__j"]
-    best = _meet(qc.select(*keys, "query_id", "query_vec"), mc.select(*keys, "memory_id", "memory_vec"), keys, k, "l2", False, schema)
-    ranked = top_per_group(best, ["query_id"], [F.col("__score"), F.col("memory_id")], k)
-    return ranked.select("query_id", "memory_id", F.col("__score").alias("distance"), "similarity", "rank")
+    q, m, nq, nm, dim = _sides(queries, memory, query_id, memory_id, vec)
+    schema = _found_schema(q, m)
+    if not nq or not nm:
+        return _ranked(q.sparkSession.createDataFrame([], schema), k, "l2")
+    stored = cut_lineage(m.select(F.col("memory_id").alias("id"), F.col("memory_vec").alias("vec")))
+    index = cells.build(stored, n_cells or max(8, math.isqrt(nm)), nm, dim, max(1, block_bytes // (8 * dim)), seed=seed)
+    asked = cut_lineage(q.select(F.col("query_id").alias("id"), F.col("query_vec").alias("vec")))
+    if probes is None:
+        some = cut_lineage(asked.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, nq // RECALL_QUERIES))) == 0))
+        truth = knn_join(some, stored, k, query_id="id", memory_id="id", vec="vec")
+        # Chance of the sample: ask for a little more than is wanted.
+        probes = cells.probes_for(cells.recall_curve(some, truth, index), min(1.0, recall + (1 - recall) / 2))
+    wanted = cut_lineage(cells.visits(asked, index, k, None, 0, probes))
+    return _ranked(cells.searched(wanted, index, k, False, schema), k, "l2")
 
 
 # ---- around the neighbours ----------------------------------------------------------------------

@@ -111,10 +111,24 @@ def _(spark, d):
         "query_id", mem.near_match(F.col("distance")).alias("warm_start"), mem.search_match(F.col("distance")).alias("search_match"))
 
 
-@query("j5_knn_cells")
+@query("j4_knn_work", """SELECT count(*) * count(*) AS pairs, TRUE AS fewer FROM embeddings""")
 def _(spark, d):
+    """Blocks that the exact join leaves out; the rows it finds are those of j4_knn_join_blocks."""
     e = table(spark, d, "embeddings")
-    return nb.knn_join_cells(e, e, 5, query_id="vec_id", memory_id="vec_id", cells=8, probes=3).withColumn("distance", F.round("distance", R))
+    work = nb.knn_work(e, e, K, query_id="vec_id", memory_id="vec_id", exclude_same=True, broadcast_bytes=e.count() * 64 * 8 // 3)
+    return work.select("pairs", (F.col("pairs_multiplied") <= F.col("pairs")).alias("fewer"))
+
+
+@query("j5_knn_cells", """SELECT count(*) AS queries, 5 * count(*) AS neighbours, TRUE AS recall_reached, CAST(0 AS BIGINT) AS wrong_distances FROM embeddings""")
+def _(spark, d):
+    """Neighbours of the approximate join held against the exact ones: share found, and distances that differ."""
+    e = table(spark, d, "embeddings")
+    near = nb.knn_join_cells(e, e, 5, query_id="vec_id", memory_id="vec_id")
+    truth = nb.knn_join(e, e, 5, query_id="vec_id", memory_id="vec_id").select("query_id", "memory_id", F.col("distance").alias("true_distance"))
+    met = near.join(truth, ["query_id", "memory_id"], "left")
+    return met.agg(
+        F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"),
+        (F.count("true_distance") >= 0.95 * F.count(F.lit(1))).alias("recall_reached"), F.count_if(F.abs(F.col("distance") - F.col("true_distance")) > 1e-9).alias("wrong_distances"))
 
 
 @query("j6_pair_spread", """WITH p AS (SELECT a.label, list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2)) AS d2

@@ -81,14 +81,47 @@ def test_cells_recall_and_distances(spark):
     centers = rng.normal(size=(6, 8)) * 10
     m = np.concatenate([c + rng.normal(size=(60, 8)) for c in centers])
     q = centers + rng.normal(size=(6, 8))
-    got = found(nb.knn_join_cells(vec_df(spark, q), vec_df(spark, m), 5, query_id="id", memory_id="id", cells=6, probes=2, block_bytes=2000))
+    got = found(nb.knn_join_cells(vec_df(spark, q), vec_df(spark, m), 5, query_id="id", memory_id="id", n_cells=6, probes=2, block_bytes=2000))
     truth = brute(q.astype(np.float32).astype(float), m.astype(np.float32).astype(float), 5)
     hits = sum(len(set(got[i]) & set(truth[i])) for i in truth)
     assert hits >= 0.9 * 5 * len(truth)
-    all_cells = found(nb.knn_join_cells(vec_df(spark, q), vec_df(spark, m), 5, query_id="id", memory_id="id", cells=6, probes=6))
+    all_cells = found(nb.knn_join_cells(vec_df(spark, q), vec_df(spark, m), 5, query_id="id", memory_id="id", n_cells=6, probes=6))
     assert all_cells == truth
 
 
+def test_cells_prune_on_clustered_rows(spark):
+    """The exact join of two large sides multiplies less than half of the pairs of clustered rows, a third of them in one cluster."""
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(12, 16)) * 8
+    at = np.where(rng.random(900) < 0.33, 0, rng.integers(0, 12, 900))
+    m = (centers[at] + rng.normal(size=(900, 16))).astype(np.float32).astype(float)
+    df = vec_df(spark, m)
+    how = dict(query_id="id", memory_id="id", exclude_same=True, broadcast_bytes=60 * 16 * 8)
+    got = found(nb.knn_join(df, df, 5, **how))
+    want = brute(m, m, 6)
+    assert got == {i: [j for j in near if j != i][:5] for i, near in want.items()}
+    work = nb.knn_work(df, df, 5, **how).first()
+    assert work["pairs"] == 900 * 900 and work["pairs_multiplied"] < 0.5 * work["pairs"]
+
+
+def test_cells_are_exact_far_from_the_origin(spark):
+    """Bounds hold although distances to centres lose digits there."""
+    rng = np.random.default_rng(9)
+    m = 1e4 + rng.integers(0, 9, size=(400, 4)).astype(float)
+    got = found(nb.knn_join(vec_df(spark, m[:90]), vec_df(spark, m), 4, query_id="id", memory_id="id", broadcast_bytes=40 * 32))
+    assert got == brute(m[:90], m, 4)
+
+
+def test_probes_reach_the_recall(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(1500, 8)).astype(np.float32).astype(float)
+    q = rng.normal(size=(300, 8)).astype(np.float32).astype(float)
+    got = found(nb.knn_join_cells(vec_df(spark, q), vec_df(spark, m), 5, query_id="id", memory_id="id"))
+    truth = brute(q, m, 5)
+    assert sum(len(set(got[i]) & set(truth[i])) for i in truth) >= 0.95 * 5 * len(truth)
+    assert nb.knn_join_cells(vec_df(spark, q), vec_df(spark, m).limit(0), 5, query_id="id", memory_id="id").count() == 0
+
+
 def test_cosine_worked_numbers(spark):
     rows = [([1.0, 0.0, 0.0], [1.0, 0.0, 0.0], 1.0), ([1.0, 0.0, 0.0], [0.0, 1.0, 0.0], 0.0),
             ([1.0, 0.0, 0.0], [0.0, 0.0, 0.0], 0.0), ([1.0, 0.0, 0.0], [-1.0, 0.0, 0.0], 0.0)]
