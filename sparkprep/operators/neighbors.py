@@ -21,6 +21,7 @@ from ..functions import vectors as vx
 from ..session import cut_lineage
 from . import cells
 from .ordering import hash_rank, top_per_group
+from .sums import vector_sums
 
 BROADCAST_BYTES = 64 << 20
 _CELLS = 400_000  # entries of one distance block
@@ -323,11 +324,10 @@ def pair_spread(df: DataFrame, by: str, vec: str = "embedding") -> DataFrame:
 
     Uses sum over i<j of |xi-xj|^2 = n*sum|x|^2 - |sum x|^2, so no pair is ever formed.
     """
-    v = F.col(vec).cast("array<double>")
-    sums = df.select(by, F.posexplode(v).alias("pos", "x")).groupBy(by, "pos").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
-    total = sums.groupBy(by).agg(
-        F.max("n").alias("n"), F.sum(F.col("n") * F.col("ss") - F.col("s") * F.col("s")).alias("sum_sq_distance"))
+    named = df.select(by, F.col(vec).cast("array<double>").alias("__vec")).where(F.size("__vec") > 0)
+    cell = F.transform(F.arrays_zip("counts", "sums", "squares"), lambda e: e["counts"] * e["squares"] - e["sums"] * e["sums"])
+    total = vector_sums(named, [by], "__vec").select(
+        by, F.array_max("counts").alias("n"), F.aggregate(cell, F.lit(0.0), lambda a, b: a + b).alias("sum_sq_distance"))
     return total.select(by, (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"),
                         F.greatest("sum_sq_distance", F.lit(0.0)).alias("sum_sq_distance"))
 
@@ -338,8 +338,7 @@ def mean_cosine_to_others(df: DataFrame, id_col: str, vec: str = "embedding") ->
     The sum of cosines to all others is u.S - u.u with u the unit vector and S the sum of all units.
     """
     units = df.select(id_col, vx.unit(F.col(vec)).alias("__u"))
-    sums = units.select(F.posexplode("__u").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("s"))
-    total = sums.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda e: e["s"])).scalar()
+    total = vector_sums(units, [], "__u").select("sums").scalar()
     n = df.agg(F.count(F.lit(1))).scalar()
     u = F.col("__u")
     return units.withColumn("__s", total).select(

@@ -6,12 +6,14 @@ import math
 from collections.abc import Callable, Sequence
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ordering import null_safe_join
 from .quantiles import exact_quantiles, grouped_quantiles
+from .sums import merge_sums, task_sums, vector_sums
 
 COLUMNS_PER_PASS = 150
 PAIRS_PER_PASS = 150
@@ -255,8 +257,41 @@ def corr_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str
 
 
 def corr_long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Upper triangle of the correlation matrix."""
-    return corr_pairs(df, list(combinations(cols, 2)), by)
+    """Upper triangle of the correlation matrix: one pass of aggregates for few pairs, products of blocks for many."""
+    pairs = list(combinations(cols, 2))
+    return corr_pairs(df, pairs, by) if len(pairs) <= PAIRS_PER_PASS else corr_products(df, cols, by)
+
+
+def corr_products(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """`corr_pairs` of all pairs in two passes whatever the number of columns.
+
+    The first pass gives the means of each group, the second multiplies blocks of centred rows and of their NULL masks, so
+    each pair counts the rows where both are present. Sums of a column's pairs are merged apart from the others'.
+    """
+    by, cols = list(by), list(cols)
+    k = len(cols)
+    vectors = df.select(*by, F.array(*[F.col(c).cast("double") for c in cols]).alias("__vec"))
+    means = vector_sums(vectors, by, "__vec").select(*by, F.zip_with("sums", "counts", lambda s, n: F.coalesce(F.try_divide(s, n), F.lit(0.0))).alias("__mean"))
+    centred = _attach(vectors, means, by) if by else vectors.withColumn("__mean", means.select("__mean").scalar())
+
+    def make(_, columns: list[np.ndarray]) -> dict:
+        x, mean = columns
+        there = ~np.isnan(x)
+        mask, x = there.astype(float), np.where(there, x - mean, 0.0)
+        x2 = x * x
+        six = np.stack([mask.T @ mask, x.T @ mask, mask.T @ x, x2.T @ mask, mask.T @ x2, x.T @ x])
+        return {(a,): six[:, a, a + 1:].T.ravel() for a in range(k - 1)}
+
+    sums = merge_sums(task_sums(centred, by, ["__vec", "__mean"], make, [T.StructField("__a", T.IntegerType())]), [*by, "__a"])
+    one = F.transform(F.sequence(F.lit(0), F.lit(k) - F.col("__a") - 2), lambda i: F.struct(
+        (F.col("__a") + 1 + i).alias("b"), F.slice("sums", 6 * i + 1, 6).alias("v")))
+    names = F.array(*[F.lit(c) for c in cols])
+    n, sa, sb, qa, qb, ab = (F.col("e.v")[i] for i in range(6))
+    va, vb = qa - sa * sa / n, qb - sb * sb / n
+    # What is left of a constant column after its mean was subtracted is rounding.
+    corr = F.when((n > 0) & (va > 1e-12 * qa) & (vb > 1e-12 * qb), (ab - sa * sb / n) / F.sqrt(va * vb))
+    return sums.select(*by, "__a", F.explode(one).alias("e")).select(
+        *by, F.element_at(names, F.col("__a") + 1).alias("col_a"), F.element_at(names, F.col("e.b") + 1).alias("col_b"), corr.alias("corr"))
 
 
 def corr_with(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
@@ -362,13 +397,10 @@ def normality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 # ---- vectors ------------------------------------------------------------------------------------
 
 def mean_vector(df: DataFrame, by: Sequence[str], vec: str, out: str = "mean_vector") -> DataFrame:
-    """Element-wise mean of array columns per group; sums are combined before the shuffle."""
-    long = df.select(*by, F.posexplode(F.col(vec).cast("array<double>")).alias("pos", "x"))
-    return (
-        long.groupBy(*by, "pos").agg(F.avg("x").alias("m"))
-        .groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("__v"))
-        .select(*by, F.transform("__v", lambda e: e["m"]).alias(out))
-    )
+    """Element-wise mean of array columns per group, over the values that are there; groups without vectors have no row."""
+    named = df.select(*by, F.col(vec).cast("array<double>").alias("__vec")).where(F.size("__vec") > 0)
+    sums = vector_sums(named, by, "__vec")
+    return sums.select(*by, F.zip_with("sums", "counts", lambda s, n: F.try_divide(s, n)).alias(out))
 
 
 # ---- fingerprints -------------------------------------------------------------------------------

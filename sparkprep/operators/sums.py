@@ -99,15 +99,24 @@ def merge_sums(partial: DataFrame, by: Sequence[str], sums: str = "sums") -> Dat
 
 
 def vector_sums(df: DataFrame, by: Sequence[str], vec: str) -> DataFrame:
-    """(by, counts, sums): per position of an array column, the number of values that are there and their sum."""
+    """(by, counts, sums, squares): per position of an array column, the number of values that are there, their sum and sum of squares.
+
+    NULL and NaN are not there. Vectors may differ in length; a group without vectors has empty arrays.
+    """
 
     def make(_, columns: list[np.ndarray]) -> dict:
-        there = ~np.isnan(columns[0])
-        return {(): np.stack([there.sum(axis=0), np.where(there, columns[0], 0).sum(axis=0)], axis=1).ravel()}
-
-    made = merge_sums(task_sums(df, by, [vec], make), by)
-    # Counts and sums alternate, so arrays of different lengths still add up.
-    take = lambda shift: F.transform(F.sequence(F.lit(0), F.floor(F.size("sums") / 2).cast("int") - 1), lambda i: F.element_at("sums", 2 * i + 1 + shift))
-    some = F.size("sums") > 0
-    empty = F.array().cast(_NUMBERS)
-    return made.select(*by, F.when(some, take(0)).otherwise(empty).alias("counts"), F.when(some, take(1)).otherwise(empty).alias("sums"))
+        vectors = columns[0][:, :max(int(columns[1].max()), 0)]
+        there = ~np.isnan(vectors)
+        x = np.where(there, vectors, 0)
+        return {(): np.stack([there.sum(axis=0), x.sum(axis=0), (x * x).sum(axis=0)], axis=1).ravel()}
+
+    # The three alternate, so arrays of different lengths still add up.
+    sized = df.select(*by, vec, F.coalesce(F.size(vec), F.lit(-1)).alias("__size"))
+    made = merge_sums(task_sums(sized, by, [vec, "__size"], make), by).withColumnRenamed("sums", "__all")
+    some, empty = F.size("__all") > 0, F.array().cast(_NUMBERS)
+    last = F.floor(F.size("__all") / 3).cast("int") - 1
+
+    def take(shift: int) -> Column:
+        return F.when(some, F.transform(F.sequence(F.lit(0), last), lambda i: F.element_at("__all", 3 * i + 1 + shift))).otherwise(empty)
+
+    return made.select(*by, take(0).alias("counts"), take(1).alias("sums"), take(2).alias("squares"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkprep.operators import grouped as g
-from sparkprep.operators import sums
+from sparkprep.operators import profile, sums
 
 S = g.Datasets("ds", "y", ("id",), ("a", "b"), ("c",))
 
@@ -204,5 +204,33 @@ def test_missing_values_and_text_targets(spark):
 
 def test_vector_sums(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0, None]), ("a", [3.0]), (None, [5.0, 6.0]), ("a", None), ("e", [])], "k string, v array<double>").repartition(3)
-    got = {r["k"]: (r["counts"], r["sums"]) for r in sums.vector_sums(df, ["k"], "v").collect()}
-    assert got == {"a": ([2.0, 1.0, 0.0], [4.0, 2.0, 0.0]), None: ([1.0, 1.0], [5.0, 6.0]), "e": ([], [])}
+    got = {r["k"]: (r["counts"], r["sums"], r["squares"]) for r in sums.vector_sums(df, ["k"], "v").collect()}
+    assert got == {"a": ([2.0, 1.0, 0.0], [4.0, 2.0, 0.0], [10.0, 4.0, 0.0]), None: ([1.0, 1.0], [5.0, 6.0], [25.0, 36.0]), "e": ([], [], [])}
+    whole = sums.vector_sums(df.where("k = 'a'"), [], "v").first()
+    assert whole["sums"] == [4.0, 2.0, 0.0]
+    plan = profile.mean_vector(df, ["k"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan.lower()
+
+
+def test_correlations_of_wide_tables(spark):
+    """All pairs in two passes, over the rows where both columns are present, like numpy pair by pair."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 40)) * 10.0 ** rng.integers(-3, 6, 40) + 1e5
+    x[:, 1] = x[:, 0] * 2 + rng.normal(size=60)
+    x[:, 7], x[rng.random(x.shape) < 0.1] = 3.7, np.nan
+    group = np.arange(60) % 2
+    names = [f"c{j}" for j in range(40)]
+    rows = [(int(g_), *[None if np.isnan(v) else float(v) for v in r]) for g_, r in zip(group, x)]
+    df = spark.createDataFrame(rows, "g int, " + ", ".join(f"{n} double" for n in names)).repartition(3)
+    for by in ([], ["g"]):
+        got = {tuple(r[:-1]): r["corr"] for r in profile.corr_long(df, names, by).collect()}
+        assert len(got) == 780 * (2 if by else 1)
+        for key, corr in got.items():
+            a, b = (names.index(c) for c in key[-2:])
+            both = ~np.isnan(x[:, a]) & ~np.isnan(x[:, b]) & ((group == key[0]) if by else True)
+            if 7 in (a, b):
+                assert corr is None
+            else:
+                assert corr == pytest.approx(np.corrcoef(x[both, a], x[both, b])[0, 1], abs=1e-7)
+    few = {tuple(r[:2]): r["corr"] for r in profile.corr_pairs(df, [("c0", "c1"), ("c3", "c7")]).collect()}
+    assert few["c0", "c1"] == pytest.approx({tuple(r[:2]): r["corr"] for r in profile.corr_products(df, names).collect()}["c0", "c1"], abs=1e-9) and few["c3", "c7"] is None
