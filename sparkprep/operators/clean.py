@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import (
     NAME_CHARS_DELETED, NAME_CHARS_REPLACED, NAME_CHARS_UNDERSCORED, clean_value, number_or,
 )
-from .evaluate import roc_auc
-from .ordering import dense_index, few_values, forward_fill
+from .ordering import dense_index, few_values, forward_fill, range_of
 from .profile import cells, column_types, corr_with, per_column, unique_ratio
-from .quantiles import exact_quantiles, quantile_bin
+from .quantiles import exact_quantiles, isolated
+
+# Tasks get the split search by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 # ---- rows ---------------------------------------------------------------------------------------
@@ -229,45 +235,74 @@ def leaky_columns(df: DataFrame, cols: Sequence[str], y: str, limit: float = 0.9
     return corr_with(df, cols, y).withColumn("leaky", F.coalesce(F.col("abs_corr") > limit, F.lit(False)))
 
 
-def bin_auc(df: DataFrame, cols: Sequence[str], y: str, bins: int = 8) -> DataFrame:
-    """AUC of every column alone for a 0/1 target, scoring each quantile bin by its target mean.
+def class_cuts(df: DataFrame, cols: Sequence[str], y: str, steps: int = 16) -> dict[str, list[float]]:
+    """Cut values per column: the quantiles of the positives and of the others, smallest and largest included.
 
-    Eight bins correspond to the leaves of a depth-3 tree; NULL has a bin of its own. Cut points are exact
-    quantiles; after that one shuffle of (column, bin) counts serves all columns and all rows.
+    Each cut value is a bin of its own, so a band that holds all positives, however rare, is cut off exactly.
     """
-    cuts = exact_quantiles(df, cols, [i / bins for i in range(1, bins)])
+    sides = {f"__{side}{i}": F.when(test, F.col(c)) for side, test in (("p", F.col(y) > 0), ("n", F.col(y) <= 0)) for i, c in enumerate(cols)}
+    found = exact_quantiles(df.select(*[x.cast("double").alias(n) for n, x in sides.items()]), list(sides), [i / steps for i in range(steps + 1)])
+    return {c: isolated([v for side in "pn" for v in found[f"__{side}{i}"] if v is not None]) for i, c in enumerate(cols)}
 
-    def bin_of(c: str) -> Column:
-        return quantile_bin(F.col(c), cuts[c])
 
-    entries = [F.struct(F.lit(c).alias("column"), bin_of(c).alias("bin")) for c in cols]
-    counts = (
+def class_histogram(df: DataFrame, cols: Sequence[str], y: str, cuts: dict[str, list[float]]) -> DataFrame:
+    """(column, bin, pos, n): rows with a target by the number of cuts below the value, -1 for NULL; one pass for all columns."""
+    x = lambda c: F.col(c).cast("double")
+    entries = [F.struct(F.lit(c).alias("column"), F.when(x(c).isNull(), -1).otherwise(range_of(x(c), cuts[c])).alias("bin")) for c in cols]
+    return (
         df.where(F.col(y).isNotNull())
-        .select(F.col(y).cast("double").alias("__y"), F.explode(F.array(*entries)).alias("e"))
+        .select((F.col(y) > 0).cast("int").alias("__y"), F.explode(F.array(*entries)).alias("e"))
         .groupBy("e.column", "e.bin").agg(F.sum("__y").alias("pos"), F.count(F.lit(1)).alias("n"))
     )
-    # At most `bins` rows per column from here on. Bins with one and the same mean are tied.
-    tied = (
-        counts.withColumn("score", F.round(F.col("pos") / F.col("n"), 12))
-        .groupBy("column", "score").agg(F.sum("pos").alias("pos"), (F.sum("n") - F.sum("pos")).alias("neg"))
-    )
-    above = Window.partitionBy("column").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        tied.withColumn("pos_above", F.coalesce(F.sum("pos").over(above), F.lit(0.0)))
-        .groupBy("column").agg(
-            F.try_divide(F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2)), F.sum("pos") * F.sum("neg")).alias("auc")
-        )
-    )
+
+
+def tree_leaves(pos: np.ndarray, n: np.ndarray, depth: int) -> list[tuple[int, int]]:
+    """(positives, rows) of the leaves of a greedy Gini tree over bins in order; the first of equally good cuts wins."""
+    total, rows = pos.sum(), n.sum()
+    if depth and len(pos) > 1:
+        left, size = pos.cumsum()[:-1].astype(float), n.cumsum()[:-1].astype(float)
+        pure = lambda p, m: (p * p + (m - p) * (m - p)) / m
+        score = np.round((pure(left, size) + pure(total - left, rows - size)) / rows, 12)
+        at = int(score.argmax())
+        if score[at] > np.round(pure(float(total), float(rows)) / rows, 12) + 1e-12:
+            return tree_leaves(pos[:at + 1], n[:at + 1], depth - 1) + tree_leaves(pos[at + 1:], n[at + 1:], depth - 1)
+    return [(int(total), int(rows))]
+
+
+def leaf_auc(leaves: list[tuple[int, int]]) -> float | None:
+    """AUC of scoring each row by its leaf's share of positives, leaves of one share tied; None with one class only."""
+    by_share: dict[float, list[int]] = {}
+    for pos, n in leaves:
+        seen = by_share.setdefault(round(pos / n, 12), [0, 0])
+        seen[0] += pos
+        seen[1] += n - pos
+    above = won = negatives = 0
+    for share in sorted(by_share, reverse=True):
+        pos, neg = by_share[share]
+        won += neg * (above + pos / 2)
+        above, negatives = above + pos, negatives + neg
+    return won / (above * negatives) if above and negatives else None
+
+
+def tree_auc(df: DataFrame, cols: Sequence[str], y: str, depth: int = 3, steps: int = 16) -> DataFrame:
+    """(column, auc) of a decision tree of one column for a 0/1 target, over all rows.
+
+    One pass counts classes by bins (`class_cuts`), a few dozen a column; the split search runs over these counts alone.
+    NULL is the lowest bin. A column with one class of target only has a NULL AUC.
+    """
+    counts = class_histogram(df, cols, y, class_cuts(df, cols, y, steps))
+
+    def search(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bin")
+        leaves = tree_leaves(table.column("pos").to_numpy(), table.column("n").to_numpy(), depth)
+        return pa.table([table.column("column").slice(0, 1), pa.array([leaf_auc(leaves)], pa.float64())], names=["column", "auc"])
+
+    return counts.groupBy("column").applyInArrow(search, "column string, auc double")
 
 
 def leaky_by_auc(df: DataFrame, cols: Sequence[str], y: str, limit: float = 0.98) -> DataFrame:
-    """The better of the binned AUC and of the raw value's AUC in either direction, which also finds rare positives."""
-    long = df.select(F.col(y).cast("double").alias("__y"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("e"))
-    raw = roc_auc(long.select("__y", "e.*"), F.col("__y") > 0, F.col("value"), ["column"]).select("column", F.col("auc").alias("__raw"))
-    both = bin_auc(df, cols, y).join(raw, "column", "left")
-    best = both.select("column", F.greatest("auc", "__raw", 1 - F.col("__raw")).alias("auc"))
-    return best.withColumn("leaky", F.coalesce(F.col("auc") > limit, F.lit(False)))
+    """(column, auc, leaky): columns of which a depth-3 tree alone tells the classes apart."""
+    return tree_auc(df, cols, y).withColumn("leaky", F.coalesce(F.col("auc") > limit, F.lit(False)))
 
 
 def audit_equation(df: DataFrame, lhs: Column, rhs: Column, atol: float = 1e-4, rtol: float = 1e-5) -> DataFrame:

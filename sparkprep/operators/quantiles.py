@@ -67,7 +67,7 @@ def _quantiles(df: DataFrame, cols: list[str], probs: list[float], exact_rows: i
 
 def _order_statistics(df: DataFrame, cuts: dict[str, list[float]], ranks: dict[str, set[int]], bracket_rows: int) -> dict:
     """Values at 0-based ranks of several columns, {(column, rank): value}."""
-    ends = {c: _isolated(v) for c, v in cuts.items()}
+    ends = {c: isolated(v) for c, v in cuts.items()}
     while True:
         regions = _count_regions(df, ends)
         values: dict[tuple[str, int], float] = {}
@@ -88,10 +88,10 @@ def _order_statistics(df: DataFrame, cuts: dict[str, list[float]], ranks: dict[s
         if not split:
             return {**values, **_pick(df, ends, open_)}
         for c, more in _split_regions(df, ends, split).items():
-            ends[c] = _isolated([*ends[c], *more])
+            ends[c] = isolated([*ends[c], *more])
 
 
-def _isolated(values: Sequence[float]) -> list[float]:
+def isolated(values: Sequence[float]) -> list[float]:
     """Region ends such that every given value is alone in its region."""
     return sorted({e for v in values for e in (math.nextafter(v, -math.inf), v)})
 

@@ -330,36 +330,45 @@ def _(spark, d):
     return clean.leaky_columns(li, ["l_quantity", "l_tax", "net"], "l_extendedprice").withColumn("abs_corr", F.round("abs_corr", R))
 
 
-AUC_PARTS = " UNION ALL ".join(
-    "SELECT '{c}' AS col, y, ".format(c=c)
-    + " + ".join(f"CASE WHEN {c} > (SELECT quantile_cont({c}, {i / 8}) FROM t) THEN 1 ELSE 0 END" for i in range(1, 8))
-    + " AS bin FROM t"
-    for c in ("l_quantity", "l_extendedprice", "leak")
-)
-
-
-RAW_AUC = """  r AS (SELECT col, (sum(y * rank) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS raw
-    FROM (SELECT col, y, rank() OVER (PARTITION BY col ORDER BY v) + (count(*) OVER (PARTITION BY col, v) - 1) / 2 AS rank FROM v) GROUP BY col)"""
-
-
-@query("c11_rare_positives", f"""WITH t AS (SELECT CASE WHEN l_orderkey % 97 = 0 THEN 1.0 ELSE 0.0 END AS y, l_discount FROM lineitem),
-  v AS (SELECT 'signal' AS col, y, l_discount - 5 * y AS v FROM t), {RAW_AUC}
-SELECT col AS "column", round(greatest(raw, 1 - raw), 6) AS auc, greatest(raw, 1 - raw) > 0.98 AS leaky FROM r""")
-def _(spark, d):
-    t = table(spark, d, "lineitem").select(F.when(F.col("l_orderkey") % 97 == 0, 1.0).otherwise(0.0).alias("y"), "l_discount")
-    t = t.withColumn("signal", F.col("l_discount") - 5 * F.col("y"))
-    return clean.leaky_by_auc(t, ["signal"], "y").withColumn("auc", F.round("auc", R))
+def _tree_sql(cols, steps=16, depth=3):
+    """AUC of a greedy Gini tree per column of t (y and the columns), over bins around the quantiles of either class."""
+    parts = []
+    for c in cols:
+        parts.append(f"""cut_{c} AS (SELECT list_sort(list_distinct(list_concat(
+    (SELECT quantile_cont({c}, {[k / steps for k in range(steps + 1)]}) FROM t WHERE y > 0), (SELECT quantile_cont({c}, {[k / steps for k in range(steps + 1)]}) FROM t WHERE y <= 0)))) AS v),
+  bin_{c} AS (SELECT '{c}' AS col, y, CASE WHEN {c} IS NULL THEN -1 ELSE 2 * len(list_filter(v, lambda q: q < {c})) + list_contains(v, {c}::DOUBLE)::INT END AS bin FROM t, cut_{c})""")
+    union = " UNION ALL ".join(f"SELECT * FROM bin_{c}" for c in cols)
+    parts.append(f"n0 AS (SELECT col, bin, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n, 1 AS node FROM ({union}) GROUP BY col, bin)")
+    pure = lambda p, m: f"(({p}) * ({p}) + (({m}) - ({p})) * (({m}) - ({p}))) / ({m})"
+    for k in range(depth):
+        parts.append(f"""c{k} AS (SELECT *, sum(pos) OVER w AS cp, sum(n) OVER w AS cn, sum(pos) OVER a AS tp, sum(n) OVER a AS tn FROM n{k}
+    WINDOW w AS (PARTITION BY col, node ORDER BY bin), a AS (PARTITION BY col, node)),
+  g{k} AS (SELECT col, node, bin, round(({pure('cp', 'cn')} + {pure('tp - cp', 'tn - cn')}) / tn, 12) AS score, round({pure('tp', 'tn')} / tn, 12) AS was FROM c{k} WHERE cn < tn),
+  s{k} AS (SELECT * FROM g{k} WHERE score > was + 1e-12 QUALIFY row_number() OVER (PARTITION BY col, node ORDER BY score DESC, bin) = 1),
+  n{k + 1} AS (SELECT n.col, n.bin, n.pos, n.n, 2 * n.node + coalesce(n.bin > s.bin, FALSE)::INT AS node FROM n{k} n LEFT JOIN s{k} s ON n.col = s.col AND n.node = s.node)""")
+    parts.append(f"""leaf AS (SELECT col, node, sum(pos) AS pos, sum(n) - sum(pos) AS neg FROM n{depth} GROUP BY col, node),
+  tied AS (SELECT col, round(pos / (pos + neg), 12) AS share, sum(pos) AS pos, sum(neg) AS neg FROM leaf GROUP BY ALL),
+  up AS (SELECT *, coalesce(sum(pos) OVER (PARTITION BY col ORDER BY share DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM tied),
+  auc AS (SELECT col, sum(neg * (above + pos / 2)) / (sum(pos) * sum(neg)) AS auc FROM up GROUP BY col)
+SELECT col AS "column", round(auc, 6) AS auc, auc > 0.98 AS leaky FROM auc""")
+    return ",\n  ".join(parts)
+
+
+@query("c11_rare_positives", f"""WITH t AS (SELECT CASE WHEN l_orderkey % 97 = 0 THEN 1.0 ELSE 0.0 END AS y, l_discount, l_discount - 5 * (CASE WHEN l_orderkey % 97 = 0 THEN 1 ELSE 0 END) AS below,
+    CASE WHEN l_orderkey % 97 = 0 THEN 0.55 + l_discount / 1000 ELSE l_discount * 10 END AS inside, CASE WHEN l_orderkey % 97 <> 0 THEN l_tax END AS missing FROM lineitem),
+  {_tree_sql(['below', 'inside', 'missing', 'l_discount'])}""")
+def _(spark, d):
+    """One positive in a hundred: below all others, in a band inside their range, marked by NULL, and not told apart at all."""
+    rare = F.col("l_orderkey") % 97 == 0
+    t = table(spark, d, "lineitem").select(
+        F.when(rare, 1.0).otherwise(0.0).alias("y"), "l_discount", (F.col("l_discount") - 5 * rare.cast("int")).alias("below"),
+        F.when(rare, 0.55 + F.col("l_discount") / 1000).otherwise(F.col("l_discount") * 10).alias("inside"), F.when(~rare, F.col("l_tax")).alias("missing"))
+    return clean.leaky_by_auc(t, ["below", "inside", "missing", "l_discount"], "y").withColumn("auc", F.round("auc", R))
 
 
 @query("c11_leaky_by_auc", f"""WITH t AS (SELECT l_quantity, l_extendedprice, CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 0.0 END AS y,
     CASE WHEN l_returnflag = 'A' THEN 100.0 ELSE 0.0 END + l_discount AS leak FROM lineitem),
-  b AS ({AUC_PARTS}), c AS (SELECT col, bin, sum(y) AS pos, count(*) - sum(y) AS neg FROM b GROUP BY col, bin),
-  s AS (SELECT col, round(pos / (pos + neg), 12) AS score, sum(pos) AS pos, sum(neg) AS neg FROM c GROUP BY ALL),
-  w AS (SELECT *, coalesce(sum(pos) OVER (PARTITION BY col ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM s),
-  a AS (SELECT col, sum(neg * (above + pos / 2)) / (sum(pos) * sum(neg)) AS auc FROM w GROUP BY col),
-  v AS (SELECT 'l_quantity' AS col, l_quantity AS v, y FROM t UNION ALL SELECT 'l_extendedprice', l_extendedprice, y FROM t UNION ALL SELECT 'leak', leak, y FROM t),
-{RAW_AUC}
-SELECT col AS "column", round(greatest(auc, raw, 1 - raw), 6) AS auc, greatest(auc, raw, 1 - raw) > 0.98 AS leaky FROM a JOIN r USING (col)""")
+  {_tree_sql(['l_quantity', 'l_extendedprice', 'leak'])}""")
 def _(spark, d):
     flag = F.when(F.col("l_returnflag") == "A", 1.0).otherwise(0.0)
     t = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", flag.alias("y"), (flag * 100 + F.col("l_discount")).alias("leak"))

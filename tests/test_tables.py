@@ -186,6 +186,23 @@ def test_leak_by_auc(spark):
     assert got["a"]["leaky"] and not got["b"]["leaky"] and got["a"]["auc"] == pytest.approx(1.0)
 
 
+def test_rare_class_inside_the_range(spark):
+    """One percent of positives in the middle of the others, which no threshold alone finds; NULLs and one-class targets."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(4000):
+        y = float(i % 100 == 7)
+        inside = 0.5 + rng.random() / 1000 if y else rng.random() * 0.499 + (0.501 if rng.random() < 0.5 else 0)
+        rows.append((y, float(inside), float(rng.random()), None if y else 1.0, 1.0))
+    rows += [(None, 0.5, 0.5, 0.5, 1.0)] * 50
+    df = spark.createDataFrame(rows, "y double, inside double, noise double, gap double, same double")
+    got = {r["column"]: (r["auc"], r["leaky"]) for r in clean.leaky_by_auc(df, ["inside", "noise", "gap", "same"], "y").collect()}
+    assert got["inside"] == (1.0, True) and got["gap"] == (1.0, True) and got["same"] == (0.5, False)
+    assert not got["noise"][1] and 0.5 <= got["noise"][0] < 0.9
+    one = clean.leaky_by_auc(df.where("y = 0"), ["inside"], "y").first()
+    assert one["auc"] is None and not one["leaky"]
+
+
 def test_column_order_of_merge(spark):
     old = spark.createDataFrame([(1, "a")], "k int, v string")
     new = spark.createDataFrame([(1, "z"), (2, "b"), (2, "c")], "k int, v string")
