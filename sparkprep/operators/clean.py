@@ -7,7 +7,6 @@ import sys
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +15,10 @@ from pyspark.sql import types as T
 from ..functions.scalars import (
     NAME_CHARS_DELETED, NAME_CHARS_REPLACED, NAME_CHARS_UNDERSCORED, clean_value, number_or,
 )
-from .ordering import dense_index, few_values, forward_fill, range_of
+from .ordering import dense_index, few_values, forward_fill
 from .profile import cells, column_types, corr_with, per_column, unique_ratio
 from .quantiles import exact_quantiles, isolated
+from .sums import merge_sums, task_sums
 
 # Tasks get the split search by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -235,25 +235,55 @@ def leaky_columns(df: DataFrame, cols: Sequence[str], y: str, limit: float = 0.9
     return corr_with(df, cols, y).withColumn("leaky", F.coalesce(F.col("abs_corr") > limit, F.lit(False)))
 
 
-def class_cuts(df: DataFrame, cols: Sequence[str], y: str, steps: int = 16) -> dict[str, list[float]]:
-    """Cut values per column: the quantiles of the positives and of the others, smallest and largest included.
+def _bin_sums(df: DataFrame, cols: Sequence[str], edges: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Per column a row for each bin, the first for NULL: positives, rows, and sums of a 10-bit hash of the value and its square."""
+    vectors = df.select(F.array(F.col("__y"), *[F.col(c) for c in cols]).alias("v"))
 
-    Each cut value is a bin of its own, so a band that holds all positives, however rare, is cut off exactly.
+    def make(_, columns: list[np.ndarray]) -> dict:
+        y, out = columns[0][:, 0], {}
+        for i, cut in enumerate(edges):
+            x = columns[0][:, i + 1]
+            at = np.where(np.isnan(x), 0, 1 + np.searchsorted(cut, x))
+            h = ((np.where(x == 0, 0, x).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(float)
+            out[(i,)] = np.concatenate([np.bincount(at, w, len(cut) + 2) for w in (y, None, h, h * h)]).astype(float)
+        return out
+
+    found = merge_sums(task_sums(vectors, [], ["v"], make, [T.StructField("column", T.IntegerType())]), ["column"]).collect()  # a row a column
+    by_column = {r["column"]: np.array(r["sums"]).reshape(4, -1).T for r in found}
+    return [by_column.get(i, np.zeros((len(cut) + 2, 4))) for i, cut in enumerate(edges)]
+
+
+def class_histogram(df: DataFrame, cols: Sequence[str], y: str, grid: int = 1024, share: int = 256, rounds: int = 4) -> dict[str, np.ndarray]:
+    """Per column (positives, rows) of bins in the order of their values, NULL first, over all rows with a target.
+
+    Bins are a grid between the smallest and the largest value; the smallest and largest value of either class have
+    bins of their own, so a band that holds all positives, however rare, is cut off exactly. A bin of several values with more
+    than one `share`-th of a class is cut into 64, until none is left or for `rounds` passes. All columns share a pass.
     """
-    sides = {f"__{side}{i}": F.when(test, F.col(c)) for side, test in (("p", F.col(y) > 0), ("n", F.col(y) <= 0)) for i, c in enumerate(cols)}
-    found = exact_quantiles(df.select(*[x.cast("double").alias(n) for n, x in sides.items()]), list(sides), [i / steps for i in range(steps + 1)])
-    return {c: isolated([v for side in "pn" for v in found[f"__{side}{i}"] if v is not None]) for i, c in enumerate(cols)}
-
-
-def class_histogram(df: DataFrame, cols: Sequence[str], y: str, cuts: dict[str, list[float]]) -> DataFrame:
-    """(column, bin, pos, n): rows with a target by the number of cuts below the value, -1 for NULL; one pass for all columns."""
-    x = lambda c: F.col(c).cast("double")
-    entries = [F.struct(F.lit(c).alias("column"), F.when(x(c).isNull(), -1).otherwise(range_of(x(c), cuts[c])).alias("bin")) for c in cols]
-    return (
-        df.where(F.col(y).isNotNull())
-        .select((F.col(y) > 0).cast("int").alias("__y"), F.explode(F.array(*entries)).alias("e"))
-        .groupBy("e.column", "e.bin").agg(F.sum("__y").alias("pos"), F.count(F.lit(1)).alias("n"))
-    )
+    base = df.where(F.col(y).isNotNull()).select((F.col(y) > 0).cast("double").alias("__y"), *[F.col(c).cast("double").alias(f"__c{i}") for i, c in enumerate(cols)])
+    base = nan_to_null(base)
+    names = [f"__c{i}" for i in range(len(cols))]
+    row = base.agg(*[f(F.when(F.col("__y") == v, F.col(c))).alias(f"{c}_{f.__name__}{v}") for c in names for f in (F.min, F.max) for v in (0, 1)]).first()
+    edges = []
+    for c in names:
+        ends = sorted({v for f in ("min", "max") for k in (0, 1) if (v := row[f"{c}_{f}{k}"]) is not None and np.isfinite(v)})
+        lines = [ends[0] + (ends[-1] - ends[0]) * i / grid for i in range(1, grid)] if ends else []
+        edges.append(np.unique([*lines, *isolated(ends)]))
+    for last in range(rounds - 1, -1, -1):
+        sums = _bin_sums(base, names, edges)
+        more = False
+        for i, (cut, bins) in enumerate(zip(edges, sums)):
+            pos, n, h, h2 = bins[1:].T
+            total = bins.sum(axis=0)
+            crowded = (pos * share > total[0]) | ((n - pos) * share > total[1] - total[0])
+            several = n * h2 - h * h > 0.25 * n  # by whole numbers: not all hashes are one
+            wide = [k for k in np.nonzero(crowded & several)[0] if 0 < k < len(cut)]
+            if wide and last:
+                lines = [cut[k - 1] + (cut[k] - cut[k - 1]) * m / 64 for k in wide for m in range(1, 64)]
+                edges[i], more = np.unique([*cut, *lines]), True
+        if not more:
+            break
+    return {c: bins[:, :2] for c, bins in zip(cols, sums)}
 
 
 def tree_leaves(pos: np.ndarray, n: np.ndarray, depth: int) -> list[tuple[int, int]]:
@@ -284,20 +314,17 @@ def leaf_auc(leaves: list[tuple[int, int]]) -> float | None:
     return won / (above * negatives) if above and negatives else None
 
 
-def tree_auc(df: DataFrame, cols: Sequence[str], y: str, depth: int = 3, steps: int = 16) -> DataFrame:
+def tree_auc(df: DataFrame, cols: Sequence[str], y: str, depth: int = 3) -> DataFrame:
     """(column, auc) of a decision tree of one column for a 0/1 target, over all rows.
 
-    One pass counts classes by bins (`class_cuts`), a few dozen a column; the split search runs over these counts alone.
-    NULL is the lowest bin. A column with one class of target only has a NULL AUC.
+    Counts of classes by bins (`class_histogram`), a thousand or two a column, are all that the split search needs. NULL is
+    the lowest bin. A table with one class of target only gives NULL.
     """
-    counts = class_histogram(df, cols, y, class_cuts(df, cols, y, steps))
-
-    def search(table: pa.Table) -> pa.Table:
-        table = table.sort_by("bin")
-        leaves = tree_leaves(table.column("pos").to_numpy(), table.column("n").to_numpy(), depth)
-        return pa.table([table.column("column").slice(0, 1), pa.array([leaf_auc(leaves)], pa.float64())], names=["column", "auc"])
-
-    return counts.groupBy("column").applyInArrow(search, "column string, auc double")
+    out = []
+    for c, bins in class_histogram(df, cols, y).items():
+        bins = bins[bins[:, 1] > 0]
+        out.append((c, leaf_auc(tree_leaves(bins[:, 0], bins[:, 1], depth)) if len(bins) else None))
+    return df.sparkSession.createDataFrame(out, "column string, auc double")
 
 
 def leaky_by_auc(df: DataFrame, cols: Sequence[str], y: str, limit: float = 0.98) -> DataFrame:

@@ -330,15 +330,23 @@ def _(spark, d):
     return clean.leaky_columns(li, ["l_quantity", "l_tax", "net"], "l_extendedprice").withColumn("abs_corr", F.round("abs_corr", R))
 
 
-def _tree_sql(cols, steps=16, depth=3):
-    """AUC of a greedy Gini tree per column of t (y and the columns), over bins around the quantiles of either class."""
+def _tree_sql(cols, depth=3, grid=1024, share=256):
+    """AUC of a greedy Gini tree per column of t (y and the columns), over a grid whose crowded bins are cut once more."""
     parts = []
     for c in cols:
-        parts.append(f"""cut_{c} AS (SELECT list_sort(list_distinct(list_concat(
-    (SELECT quantile_cont({c}, {[k / steps for k in range(steps + 1)]}) FROM t WHERE y > 0), (SELECT quantile_cont({c}, {[k / steps for k in range(steps + 1)]}) FROM t WHERE y <= 0)))) AS v),
-  bin_{c} AS (SELECT '{c}' AS col, y, CASE WHEN {c} IS NULL THEN -1 ELSE 2 * len(list_filter(v, lambda q: q < {c})) + list_contains(v, {c}::DOUBLE)::INT END AS bin FROM t, cut_{c})""")
+        step = lambda cuts: f"CASE WHEN {c} IS NULL THEN -1 ELSE len(list_filter({cuts}, lambda q: q < {c})) END"
+        parts.append(f"""end_{c} AS (SELECT list_sort(list_distinct(list_filter([min({c}) FILTER (WHERE y > 0), max({c}) FILTER (WHERE y > 0), min({c}) FILTER (WHERE y <= 0), max({c}) FILTER (WHERE y <= 0)],
+    lambda q: q IS NOT NULL)))::DOUBLE[] AS e FROM t),
+  cut_{c} AS MATERIALIZED (SELECT list_sort(list_distinct(list_concat(list_transform(range(1, {grid}), lambda i: e[1] + (e[-1] - e[1]) * i / {grid}),
+    list_concat(e, list_transform(e, lambda q: nextafter(q, '-inf'::DOUBLE)))))) AS v FROM end_{c}),
+  val_{c} AS MATERIALIZED (SELECT {c}, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM t GROUP BY {c}),
+  one_{c} AS (SELECT {step('v')} AS bin, sum(pos) AS pos, sum(n) AS n, count(*) AS kinds FROM val_{c}, cut_{c} GROUP BY 1),
+  big_{c} AS (SELECT bin FROM one_{c}, cut_{c} WHERE bin > 0 AND bin < len(v) AND kinds > 1
+    AND (pos * {share} > (SELECT sum(pos) FROM one_{c}) OR (n - pos) * {share} > (SELECT sum(n) - sum(pos) FROM one_{c}))),
+  fine_{c} AS MATERIALIZED (SELECT list_sort(list_distinct(list_concat(v, coalesce((SELECT list(v[bin] + (v[bin + 1] - v[bin]) * m / 64) FROM big_{c}, cut_{c}, range(1, 64) AS k(m)), [])))) AS v FROM cut_{c}),
+  bin_{c} AS (SELECT '{c}' AS col, {step('v')} AS bin, pos, n FROM val_{c}, fine_{c})""")
     union = " UNION ALL ".join(f"SELECT * FROM bin_{c}" for c in cols)
-    parts.append(f"n0 AS (SELECT col, bin, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n, 1 AS node FROM ({union}) GROUP BY col, bin)")
+    parts.append(f"n0 AS (SELECT col, bin, sum(pos) AS pos, sum(n) AS n, 1 AS node FROM ({union}) GROUP BY col, bin)")
     pure = lambda p, m: f"(({p}) * ({p}) + (({m}) - ({p})) * (({m}) - ({p}))) / ({m})"
     for k in range(depth):
         parts.append(f"""c{k} AS (SELECT *, sum(pos) OVER w AS cp, sum(n) OVER w AS cn, sum(pos) OVER a AS tp, sum(n) OVER a AS tn FROM n{k}
