@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 RANGES = 64
 TEXT_RANGES = 256
 _BUCKET = "__range"
+_WITHIN = "__within"
 
 
 def range_goal(spark: SparkSession) -> int:
@@ -64,18 +65,18 @@ def range_of(x: Column, cuts: Sequence) -> Column:
     return node(0, len(cuts))
 
 
-def with_range(df: DataFrame, col: str, spread: DataFrame | None = None) -> DataFrame:
+def with_range(df: DataFrame, col: str, spread: DataFrame | None = None, cuts: list | None = None) -> DataFrame:
     """Add an order-preserving range number of a column.
 
     Numbers: quantile intervals, each split evenly into as many pieces as the session's shuffle width
     asks for. Text: intervals between sampled values. `spread` is a cheaper table with the same values
-    in that column, for the cut points, when `df` itself is costly to compute twice.
+    in that column, for the cut points, when `df` itself is costly to compute twice; `cuts` are known ones.
     """
     source, x = df if spread is None else spread, F.col(col)
     if isinstance(df.schema[col].dataType, T.StringType):
-        return df.withColumn(_BUCKET, range_of(x, cut_points(source, col, TEXT_RANGES)))
+        return df.withColumn(_BUCKET, F.when(x.isNull(), -1).otherwise(range_of(x, cut_points(source, col, TEXT_RANGES))))
     x = x.cast("double")
-    cuts = cut_points(source, col)
+    cuts = cut_points(source, col) if cuts is None else cuts
     if len(cuts) < 2:
         return df.withColumn(_BUCKET, F.lit(0))
     interval = F.when(x.isNull(), -1).otherwise(range_of(x, cuts[1:-1]))
@@ -101,6 +102,42 @@ def _ranges(df: DataFrame, order: str, hashed: bool, spread: DataFrame | None =
     return with_hash_range(df, order) if hashed else with_range(df, order, spread)
 
 
+def cuts_and_hot(df: DataFrame, col: str) -> tuple[list | None, list]:
+    """Cut points of a number or time (None for text), and values that may fill a range of their own, from one pass.
+
+    Numbers: values that several quantiles share. Text: values that are frequent among rows chosen by hash.
+    """
+    if isinstance(df.schema[col].dataType, T.StringType):
+        picked = F.pmod(F.xxhash64(*df.columns), F.lit(max(1, df.count() // (64 * RANGES)))) == 0
+        hot = df.where(picked & F.col(col).isNotNull()).groupBy(col).count().where(f"count >= {64 // 2}").select(col).limit(2 * RANGES).collect()
+        return None, sorted((r[0] for r in hot), key=lambda v: v.encode())
+    probs = [i / RANGES for i in range(RANGES + 1)]
+    found = df.select(F.percentile_approx(F.col(col).cast("double"), probs, 1000)).first()[0] or []
+    # Beyond 2^53 a double stands for several long numbers.
+    return sorted(set(found)), sorted({a for a, b in zip(found, found[1:]) if a == b and abs(a) < 2**53})
+
+
+def with_tie_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Ranges of the first order column; the rows of a hot value, and NULLs, are cut again by the second one.
+
+    So no range is large because many rows tie. The columns `__range` and `__within` together follow the order.
+    """
+    second = df.schema[order[1]].dataType if len(order) > 1 else None
+    if not isinstance(second, (T.NumericType, T.StringType, T.TimestampType)):
+        return with_range(df, order[0]).withColumn(_WITHIN, F.lit(0).cast("long"))
+    cuts, hot = cuts_and_hot(df, order[0])
+    value = F.col(order[0]) if cuts is None else F.col(order[0]).cast("double")
+    is_hot = value.isin(hot) if hot else F.lit(False)
+    tied = value.isNull() | F.coalesce(is_hot, F.lit(False))
+    outer = with_range(df, order[0], cuts=cuts).withColumnRenamed(_BUCKET, "__outer")
+    inner = with_range(outer, order[1], df.where(tied).select(order[1]))
+    # A range may hold rows before, of and after a hot value.
+    place = range_of(value, hot) if hot else F.lit(0)
+    at = F.when(is_hot, 2 * place + 1).otherwise(2 * place).cast("long")
+    return inner.withColumn(_WITHIN, F.struct(at.alias("a"), F.when(tied, F.col(_BUCKET)).otherwise(F.lit(0)).cast("long").alias("b"))).drop(
+        _BUCKET).withColumnRenamed("__outer", _BUCKET)
+
+
 def running_sums(
     df: DataFrame,
     by: Sequence[str],
@@ -149,16 +186,17 @@ def row_rank(
 ) -> DataFrame:
     """Add the 1-based row number inside each group, ascending by `order`.
 
-    The first order column decides the ranges, the others break ties. Set hashed=True when it is a
-    64-bit hash.
+    The first order column decides the ranges; rows that tie in it in large numbers are cut into ranges of
+    the second one. Set hashed=True when the first is a 64-bit hash.
     """
     by = list(by)
-    ranged = _ranges(df, order[0], hashed)
-    sizes = ranged.groupBy(*by, _BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*by, _BUCKET, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    inner = Window.partitionBy(*by, _BUCKET).orderBy(*order)
-    joined = null_safe_join(ranged, offsets, [*by, _BUCKET], "inner")
+    ranged = with_hash_range(df, order[0]).withColumn(_WITHIN, F.lit(0)) if hashed else with_tie_ranges(df, order)
+    parts = [_BUCKET, _WITHIN]
+    sizes = ranged.groupBy(*by, *parts).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*by).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, *parts, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    inner = Window.partitionBy(*by, *parts).orderBy(*order)
+    joined = null_safe_join(ranged, offsets, [*by, *parts], "inner")
     return joined.select(
         *df.columns, (F.row_number().over(inner).cast("long") + F.col("__o")).alias(name)
     )

@@ -413,6 +413,20 @@ def _(spark, d):
         "o_orderkey", "o_orderpriority", "split")
 
 
+@query("x2_x3_hot_order", """WITH r AS (SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_linenumber, l_orderkey, l_extendedprice, l_quantity) AS place,
+  count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem),
+  p AS (SELECT l_returnflag, l_quantity, CASE WHEN place <= round(n * 0.2) THEN 'test' ELSE 'train' END AS part FROM r UNION ALL SELECT l_returnflag, l_quantity, 'fold' || (place - 1) % 5 FROM r)
+SELECT l_returnflag, part, count(*) AS n, round(sum(l_quantity), 6) AS quantity FROM p GROUP BY ALL""")
+def _(spark, d):
+    """Split and folds in an order whose seven values hold many rows each."""
+    key = ["l_orderkey", "l_extendedprice", "l_quantity"]
+    t = table(spark, d, "lineitem").select("l_returnflag", "l_linenumber", *key)
+    parts = split.stratified_split(t, "l_returnflag", key, 0.2, order=["l_linenumber"]).withColumnRenamed("split", "part")
+    folds = split.folds(t, "l_returnflag", key, 5, order=["l_linenumber"]).withColumn("part", F.concat(F.lit("fold"), "fold"))
+    both = parts.select("l_returnflag", "part", "l_quantity").unionByName(folds.select("l_returnflag", "part", "l_quantity"))
+    return both.groupBy("l_returnflag", "part").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), R).alias("quantity"))
+
+
 @query("x3_folds", f"""SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY o_orderpriority ORDER BY {PERM_SQL}, o_orderkey) - 1) % 5 AS INT) AS fold FROM orders""")
 def _(spark, d):
     return split.folds(permuted_orders(spark, d), "o_orderpriority", ["o_orderkey"], 5, order=["perm"]).select("o_orderkey", "fold")

@@ -203,6 +203,24 @@ def test_rare_class_inside_the_range(spark):
     assert one["auc"] is None and not one["leaky"]
 
 
+@pytest.mark.parametrize("kind", ["double", "string"])
+def test_ranks_with_hot_order_values(spark, kind):
+    """Half of the rows tie in the first order column: ranks stay right and no range holds many more rows than the mean."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in rng.permutation(6000).tolist():
+        v = 5.0 if i % 2 else (None if i % 20 == 0 else float(rng.integers(0, 1000)) / 100)
+        rows.append((i % 3, None if v is None else v if kind == "double" else f"{v:08.3f}", i))
+    df = spark.createDataFrame(rows, f"g int, v {kind}, k long").repartition(4)
+    want = {}
+    for g in range(3):
+        ours = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] if r[1] is not None else 0, r[2]))
+        want.update({r[2]: n for n, r in enumerate(ours, 1)})
+    assert {r["k"]: r["r"] for r in ordering.row_rank(df, ["g"], ["v", "k"], "r").collect()} == want
+    sizes = [r["count"] for r in ordering.with_tie_ranges(df, ["v", "k"]).groupBy("__range", "__within").count().collect()]
+    assert max(sizes) <= 2 * 6000 / ordering.RANGES
+
+
 def test_column_order_of_merge(spark):
     old = spark.createDataFrame([(1, "a")], "k int, v string")
     new = spark.createDataFrame([(1, "z"), (2, "b"), (2, "c")], "k int, v string")
