@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import combinations, permutations
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from . import profile
 from .clean import clean_names, constant_columns, downcast_plan, fit_fill
 from .ordering import top_per_group
 from .quantiles import exact_quantiles, quantile_bin
+from .sums import merge_sums, task_sums
 
 RARE = "_RARE"
 ONEHOT_LIMIT = 5000
@@ -143,36 +145,58 @@ def yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(x >= 0, up).when(x < 0, down)
 
 
-def fit_yeo_johnson(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
-    """Maximum-likelihood lambda per column.
+def _power(x: np.ndarray, lam: float) -> np.ndarray:
+    """`yeo_johnson` of an array without NaN."""
+    out = np.empty_like(x)
+    up = x >= 0
+    a, b = np.log1p(x[up]), np.log1p(-x[~up])
+    out[up] = a if abs(lam) < 1e-12 else np.expm1(lam * a) / lam
+    out[~up] = -b if abs(lam - 2) < 1e-12 else -np.expm1((2 - lam) * b) / (2 - lam)
+    return out
 
-    The log-likelihood of a grid of lambdas is one aggregate pass over all columns; two passes with
-    finer grids around the best follow.
+
+def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], steps: Sequence[tuple[float, float]] = ((0.25, 3.0), (0.025, 0.25), (0.0025, 0.025))) -> dict[str, float]:
+    """Maximum-likelihood lambda per column, on grids of (step, reach) around the best so far.
+
+    A pass per grid serves all columns: tasks add up the likelihood's sums for every lambda of every column, so the number of
+    passes doesn't depend on the number of columns.
     """
+    cols = list(cols)
     if not cols:
         return {}
     best = {c: 1.0 for c in cols}
-    for step, reach in ((0.25, 3.0), (0.025, 0.25), (0.0025, 0.025)):
+    numbers = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("__vec"))
+    head = numbers.first()
+    if head is None:
+        return best
+    # Any value of the column near the others keeps the sums of squares precise.
+    near = np.nan_to_num(np.array([v if v is not None else 0.0 for v in head["__vec"]]))
+    for step, reach in steps:
         points = int(round(reach / step))
-        grids = {c: [round(best[c] + i * step, 6) for i in range(-points, points + 1)] for c in cols}
-        for start in range(0, len(cols), 5):
-            batch = list(cols)[start:start + 5]
-            aggs = []
-            for i, c in enumerate(batch):
-                x = F.col(c).cast("double")
-                aggs += [F.count(x).alias(f"{i}_n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"{i}_s")]
-                aggs += [F.var_pop(yeo_johnson(x, lam)).alias(f"{i}_v{j}") for j, lam in enumerate(grids[c])]
-            row = df.agg(*aggs).first()
-            for i, c in enumerate(batch):
-                n, s = row[f"{i}_n"], row[f"{i}_s"]
-                scores = []
-                for j, lam in enumerate(grids[c]):
-                    v = row[f"{i}_v{j}"]
-                    ok = v is not None and v > 0 and math.isfinite(v)
-                    scores.append((-n / 2 * math.log(v) + (lam - 1) * s, lam) if ok else (-math.inf, lam))
-                top = max(scores)
-                if top[0] > -math.inf:
-                    best[c] = top[1]
+        grids = [[round(best[c] + i * step, 6) for i in range(-points, points + 1)] for c in cols]
+
+        def make(_, columns: list[np.ndarray], grids: list[list[float]] = grids) -> dict:
+            out = {}
+            for i, grid in enumerate(grids):
+                x = columns[0][:, i]
+                x = x[np.isfinite(x)]
+                sums = [len(x), (np.sign(x) * np.log1p(np.abs(x))).sum()]
+                for lam in grid:
+                    y = _power(x, lam) - _power(near[i:i + 1], lam)[0]
+                    sums += [y.sum(), (y * y).sum()]
+                out[(i,)] = np.array(sums, float)
+            return out
+
+        for r in merge_sums(task_sums(numbers, [], ["__vec"], make, [T.StructField("column", T.IntegerType())]), ["column"]).collect():  # a row a column
+            (n, s), pairs = r["sums"][:2], np.array(r["sums"][2:]).reshape(-1, 2)
+            if n == 0:
+                continue
+            with np.errstate(all="ignore"):
+                variance = pairs[:, 1] / n - np.square(pairs[:, 0] / n)
+                scores = np.where((variance > 0) & np.isfinite(variance), -n / 2 * np.log(variance) + (np.array(grids[r["column"]]) - 1) * s, -np.inf)
+            top = max(zip(scores.tolist(), grids[r["column"]]))
+            if top[0] > -math.inf:
+                best[cols[r["column"]]] = top[1]
     return best
 
 

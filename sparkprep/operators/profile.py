@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,9 @@ from .ordering import null_safe_join
 from .quantiles import exact_quantiles, grouped_quantiles
 from .sums import merge_sums, task_sums, vector_sums
 
+# Tasks get the functions of this module by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 COLUMNS_PER_PASS = 150
 PAIRS_PER_PASS = 150
 FINGERPRINT_SIZE = 10
@@ -143,6 +149,13 @@ def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def value_shares(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """`value_counts` with each value's share of the non-null values of its group."""
+    counts = value_counts(df, col, by)
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("__total"))
+    return _attach(counts, totals, by).select(*by, col, "n", (F.col("n") / F.col("__total")).alias("share"))
+
+
 def class_distribution(df: DataFrame, y: str) -> DataFrame:
     """Share of every class (3 decimals) and the largest / smallest class ratio (2 decimals)."""
     counts = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("n"))
@@ -475,6 +488,80 @@ def fingerprints(
     )
 
 
+def fingerprints_of(tables: dict[str, tuple[DataFrame, Sequence[str], str | None]]) -> DataFrame:
+    """`fingerprints` of whole tables with columns of their own, {name: (table, features, target)}, in one job for all.
+
+    A row becomes its dataset's name, an array of its numeric values, its number of NULLs and its target as text, so rows of
+    all schemas share two passes: means, then sums of powers and products per dataset.
+    """
+    union: DataFrame | None = None
+    for name, (df, features, target) in tables.items():
+        numeric = column_types(df.select(*features))["numeric"]
+        part = df.select(
+            F.lit(name).alias("dataset"), F.lit(len(features)).cast("long").alias("n_features"), F.lit(len(numeric)).alias("__p"),
+            F.lit(target is not None and isinstance(df.schema[target].dataType, T.StringType)).alias("__text"), F.lit(target is not None).alias("__labelled"),
+            F.array(*[F.col(c).cast("double") for c in numeric]).cast("array<double>").alias("__vec"),
+            sum((F.col(c).isNull().cast("int") for c in features), F.lit(0)).cast("double").alias("__nulls"),
+            (F.col(target).cast("string") if target is not None else F.lit(None).cast("string")).alias("__y"))
+        union = part if union is None else union.unionByName(part)
+    if union is None:
+        raise ValueError("no tables given")
+    facts = ["dataset", "n_features", "__p", "__text", "__labelled"]
+    mean = F.zip_with("sums", "counts", lambda s, n: F.coalesce(F.try_divide(s, n), F.lit(0.0)))
+    means = vector_sums(union, ["dataset"], "__vec").select("dataset", mean.alias("__mean"))
+    centred = union.join(means, "dataset")
+
+    def make(key: tuple, columns: list[np.ndarray]) -> dict:
+        x, mean, nulls = columns[0][:, :key[2]], columns[1][:, :key[2]], columns[2]
+        there = ~np.isnan(x)
+        mask, d = there.astype(float), np.where(there, x - mean, 0.0)
+        powers = [mask.sum(axis=0), np.where(there, mean, 0.0).sum(axis=0), d.sum(axis=0), (d * d).sum(axis=0), (d**3).sum(axis=0)]
+        six = [mask.T @ mask, d.T @ mask, mask.T @ d, (d * d).T @ mask, mask.T @ (d * d), d.T @ d]
+        return {(): np.concatenate([[len(x), nulls.sum()], np.array(powers).ravel(), np.array(six).ravel()])}
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_moments(np.array(v), p) for v, p in zip(batch.column(5).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.list_(pa.float64()))], names=[*facts, "m"])
+
+    sums = merge_sums(task_sums(centred, facts, ["__vec", "__mean", "__nulls"], make), facts)
+    found = sums.mapInArrow(describe, T.StructType([*[sums.schema[c] for c in facts], T.StructField("m", T.ArrayType(T.DoubleType()))]))
+    classes = class_stats(union.where("__labelled"), "__y", ["dataset"]).select("dataset", "n_classes", "entropy_norm")
+    n, f = F.col("m")[0], F.col("n_features").cast("double")
+    zero = F.lit(0.0)
+    dims = [F.log1p(n) / 10, F.log1p(f) / 10, F.log1p(n / F.greatest(f, F.lit(1.0))) / 10, *[F.col("m")[i] for i in range(2, 6)],
+            F.log1p(F.col("n_classes").cast("double")) / 5, F.col("entropy_norm"), F.try_divide(F.col("m")[1], n * F.greatest(f, F.lit(1.0)))]
+    return found.join(classes, "dataset", "left").select(
+        "dataset", F.array(*[F.coalesce(F.nanvl(d, zero), zero).cast("float") for d in dims]).alias("embedding"),
+        task_type(F.col("n_classes"), F.col("__text")).alias("task_type"), n.cast("long").alias("n_samples"), "n_features")
+
+
+def _moments(sums: np.ndarray, p: int) -> list[float]:
+    """Rows, NULLs, and the mean skewness, share of skewed columns, mean |correlation| and spread of a dataset from its sums."""
+    rows, nulls = sums[:2]
+    n, shift, s1, s2, s3 = sums[2:2 + 5 * p].reshape(5, p)
+    six = sums[2 + 5 * p:].reshape(6, p, p)
+    skew, spread, corr = [], [], []
+    for j in range(p):
+        if n[j] == 0:
+            continue
+        m1 = s1[j] / n[j]
+        m2, m3 = s2[j] / n[j] - m1**2, s3[j] / n[j] - 3 * m1 * s2[j] / n[j] + 2 * m1**3
+        constant = m2 <= 1e-12 * (s2[j] / n[j])
+        if not constant:
+            skew.append(m3 / m2**1.5)
+        sd = 0.0 if constant or n[j] < 2 else (m2 * n[j] / (n[j] - 1)) ** 0.5
+        spread.append(min(10.0, max(-10.0, sd / (abs(shift[j] / n[j] + m1) + 1e-8))))
+        for b in range(j + 1, p):
+            k, sa, sb, qa, qb, ab = six[:, j, b]
+            if k > 0:
+                va, vb = qa - sa * sa / k, qb - sb * sb / k
+                if va > 1e-12 * qa and vb > 1e-12 * qb:
+                    corr.append(abs((ab - sa * sb / k) / (va * vb) ** 0.5))
+    mean = lambda v: sum(v) / len(v) if v else 0.0
+    return [rows, nulls, min(1.0, max(-1.0, mean(skew) / 5)), sum(abs(g) > 1 for g in skew) / p if p else 0.0, mean(corr), math.tanh(mean(spread))]
+
+
 def _mean(arr: Column) -> Column:
     return F.try_divide(F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v), F.size(arr).cast("double"))
 

@@ -177,6 +177,28 @@ def _(spark, d):
     return profile.value_counts(table(spark, d, "orders"), "o_orderpriority")
 
 
+@query("a16_value_shares", """SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY o_orderstatus), 6) AS share FROM orders GROUP BY 1, 2""")
+def _(spark, d):
+    return rounded(profile.value_shares(table(spark, d, "orders"), "o_orderpriority", ["o_orderstatus"]), "share")
+
+
+#: Extra numeric columns of lineitem, so many that all pairs take more than one pass of aggregates.
+WIDE = {f"{c}_{n}": e.format(c=c) for c in NUM for n, e in {
+    "id": "{c}", "square": "{c} * {c}", "root": "sqrt({c})", "log": "ln(1 + {c})", "rest": "(l_orderkey % 13) * {c}"}.items()}
+
+
+@query("a9_a10_corr_wide", f"""WITH li AS (SELECT * REPLACE (CASE WHEN l_partkey % 23 <> 0 THEN l_discount END AS l_discount, CASE WHEN l_orderkey % 19 <> 0 THEN l_tax END AS l_tax) FROM lineitem),
+  w AS (SELECT {', '.join(f'{e} AS {n}' for n, e in WIDE.items())} FROM li),
+  c AS (SELECT {', '.join(f'corr({a}, {b}) AS r{i}' for i, (a, b) in enumerate(combinations(WIDE, 2)))} FROM w),
+  u AS (SELECT unnest([{', '.join(f"{{'a': '{a}', 'b': '{b}', 'r': r{i}}}" for i, (a, b) in enumerate(combinations(WIDE, 2)))}]) AS e FROM c)
+SELECT e.a AS col_a, e.b AS col_b, round(e.r, 6) AS corr FROM u""")
+def _(spark, d):
+    t = table(spark, d, "lineitem").withColumns({
+        "l_discount": F.when(F.col("l_partkey") % 23 != 0, F.col("l_discount")), "l_tax": F.when(F.col("l_orderkey") % 19 != 0, F.col("l_tax"))})
+    wide = t.select(*[F.expr(e).alias(n) for n, e in WIDE.items()])
+    return rounded(profile.corr_long(wide, list(WIDE)), "corr")
+
+
 FP_FEATURES = [*NUM, "l_linestatus"]
 _pairs = list(combinations(NUM, 2))
 _cnt = "(" + " + ".join(f"(r{i} IS NOT NULL)::INT" for i in range(len(_pairs))) + ")"
@@ -205,6 +227,38 @@ def _(spark, d):
     return fp.select(F.posexplode("embedding").alias("dim", "v")).select("dim", F.round(F.col("v").cast("double"), 5).alias("value"))
 
 
+#: Datasets of different tables and columns: numeric features, other features, target.
+MIXED = {
+    "orders": (["o_totalprice", "o_custkey"], ["o_orderpriority"], "o_orderstatus"),
+    "part": (["p_size", "p_retailprice"], [], "p_brand"),
+    "customer": (["c_acctbal"], ["c_name"], "c_mktsegment"),
+    "supplier": (["s_acctbal", "s_nationkey", "s_suppkey"], [], None),
+}
+
+
+def _mixed_sql():
+    out = []
+    for t, (num, other, y) in MIXED.items():
+        k, f, pairs = len(num), len(num) + len(other), list(combinations(num, 2))
+        plus = lambda items: "(" + " + ".join(items) + f") / {k}"
+        skew = lambda c: f"skewness({c}) * (count({c}) - 2) / sqrt(count({c})::DOUBLE * (count({c}) - 1))"
+        spread = [f"greatest(-10, least(10, stddev_samp({c}) / (abs(avg({c})) + 1e-8)))" for c in num]
+        corr = "(" + " + ".join(f"abs(corr({a}, {b}))" for a, b in pairs) + f") / {len(pairs)}" if pairs else "0"
+        classes, h = (f"(SELECT count(DISTINCT {y}) FROM {t})", f"""(SELECT least(1, -sum(p * ln(p)) / ln(greatest(count(*), 2))) FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM {t} GROUP BY {y}))""") if y else ("0", "0")
+        dims = ["ln(1 + count(*)) / 10", f"ln(1 + {f}) / 10", f"ln(1 + count(*) / {f}) / 10", f"greatest(-1, least(1, {plus([skew(c) for c in num])} / 5))",
+                plus([f"(abs({skew(c)}) > 1)::INT" for c in num]), corr, f"tanh({plus(spread)})", f"ln(1 + {classes}) / 5", h, "0"]
+        kind = f"CASE WHEN {classes} <= 2 THEN 0 ELSE 2 END" if y else "1"
+        out.append(f"SELECT '{t}' AS dataset, {kind} AS task_type, count(*) AS n_samples, {f}::BIGINT AS n_features, [{', '.join(f'({d})::FLOAT' for d in dims)}] AS e FROM {t}")
+    return f"""WITH fp AS ({' UNION ALL '.join(out)}) SELECT dataset, task_type::INT AS task_type, n_samples, n_features, CAST(i - 1 AS INT) AS dim, round(e[i]::DOUBLE, 5) AS value FROM fp, unnest(range(1, 11)) AS t(i)"""
+
+
+@query("a18_mixed_schemas", _mixed_sql())
+def _(spark, d):
+    found = profile.fingerprints_of({t: (table(spark, d, t), [*num, *other], y) for t, (num, other, y) in MIXED.items()})
+    return found.select("dataset", F.col("task_type").cast("int").alias("task_type"), "n_samples", "n_features", F.posexplode("embedding").alias("dim", "v")).select(
+        "*", F.round(F.col("v").cast("double"), 5).alias("value")).drop("v")
+
+
 @query("a18_fingerprints", f"""WITH {GAPS_SQL}, {_fp_sql('ds')} SELECT ds, n AS n_samples, CAST(i - 1 AS INT) AS dim, round(e[i]::DOUBLE, 5) AS value FROM fp, unnest(range(1, 11)) AS t(i)""")
 def _(spark, d):
     fp = profile.fingerprints(lines(spark, d), FP_FEATURES, "l_returnflag", ["ds"])
@@ -325,9 +379,22 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.round(fe.yeo_johnson(F.col("value") - 50, 0.3), 4).alias("value"))
 
 
-@query("f6_fit_yeo_johnson")
+def _yj_fit_sql(columns):
+    """The same three grids: log-likelihood of every lambda over all rows."""
+    any_lam = "CASE WHEN x >= 0 THEN CASE WHEN abs(lam) < 1e-12 THEN ln(1 + x) ELSE (pow(1 + x, lam) - 1) / lam END ELSE CASE WHEN abs(lam - 2) < 1e-12 THEN -ln(1 - x) ELSE -(pow(1 - x, 2 - lam) - 1) / (2 - lam) END END"
+    parts = ["v AS (" + " UNION ALL ".join(f"SELECT '{n}' AS col, ({e})::DOUBLE AS x FROM events" for n, e in columns.items()) + "), b0 AS (SELECT DISTINCT col, 1.0::DOUBLE AS best FROM v)"]
+    for k, (step, reach) in enumerate(((0.25, 3.0), (0.025, 0.25), (0.0025, 0.025))):
+        points = round(reach / step)
+        parts.append(f"""g{k} AS (SELECT col, round(best + i * {step}::DOUBLE, 6) AS lam FROM b{k}, range({-points}, {points + 1}) AS t(i)),
+  l{k} AS (SELECT col, lam, -count(*) / 2.0::DOUBLE * ln(var_pop({any_lam})) + (lam - 1) * sum(sign(x) * ln(1 + abs(x))) AS score FROM v JOIN g{k} USING (col) GROUP BY col, lam),
+  b{k + 1} AS (SELECT col, arg_max(lam, score) AS best FROM l{k} GROUP BY col)""")
+    return "WITH " + ", ".join(parts) + """ SELECT col AS "column", best AS lambda FROM b3"""
+
+
+@query("f6_fit_yeo_johnson", _yj_fit_sql({"value": "value", "centred": "value - 50", "cube": "pow(value, 3) / 1000"}))
 def _(spark, d):
-    lam = fe.fit_yeo_johnson(table(spark, d, "events"), ["value"])
+    e = table(spark, d, "events").select("value", (F.col("value") - 50).alias("centred"), (F.pow("value", F.lit(3)) / 1000).alias("cube"))
+    lam = fe.fit_yeo_johnson(e, ["value", "centred", "cube"])
     return spark.createDataFrame(list(lam.items()), "column string, lambda double")
 
 
