@@ -427,6 +427,11 @@ def is_dense_embedding(numeric: Sequence[str], categorical: Sequence[str]) -> bo
     return not categorical and len(numeric) >= 50
 
 
+def _text(value: str) -> str:
+    """A text literal for SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -466,11 +471,14 @@ def fit_preprocessor(
     for i, c in enumerate(onehot):
         parts.append(f"coalesce(cast({_quoted(c)} AS string), 'missing') AS __c{i}")
     for i, c in enumerate(hashed):
-        parts.append(f"concat('{c}=', coalesce(cast({_quoted(c)} AS string), 'missing')) AS __h{i}")
+        parts.append(f"concat({_text(c + '=')}, coalesce(cast({_quoted(c)} AS string), 'missing')) AS __h{i}")
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")] if parts else []
     if onehot:
-        for i, c in enumerate(onehot):
-            categories(df, c)
+        # One pass finds the columns that may have too many levels; only those are counted exactly.
+        many = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"n{i}") for i, c in enumerate(onehot)]).first()
+        for n, c in zip(many, onehot):
+            if n > 0.9 * ONEHOT_LIMIT:
+                categories(df, c)
         stages += [
             StringIndexer(inputCols=[f"__c{i}" for i in range(len(onehot))], outputCols=[f"__i{i}" for i in range(len(onehot))],
                           stringOrderType="alphabetAsc", handleInvalid="keep"),

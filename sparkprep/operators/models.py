@@ -7,18 +7,19 @@ Labels are 0-based class indexes (see `clean.label_index`) or numbers.
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import random
 import time
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml import classification as mlc
 from pyspark.ml import regression as mlr
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalog as cat
@@ -28,11 +29,14 @@ from . import evaluate as ev
 from . import utility as ut
 from .features import fit_preprocessor
 from .neighbors import knn_join
-from .ordering import row_rank
+from .ordering import hash_rank, row_rank
 from .split import cap_rows, folds, holdout, sample_share
 
-FEATURES, LABEL = "features", "label"
+FEATURES, LABEL, HELD_OUT = "features", "label", "held_out"
 KNN = ("knn_clf", "knn_reg")
+BOOSTED = ("gb", "gb_reg", "lgbm_clf", "lgbm_reg", "xgb_clf", "xgb_reg")
+#: Names that stand for the same Spark estimator with default settings: fitted once, reported under each name.
+SAME_FIT = {"sgd_clf": "logistic", "lgbm_clf": "gb", "xgb_clf": "gb", "lgbm_reg": "gb_reg", "xgb_reg": "gb_reg"}
 
 
 @dataclass(frozen=True)
@@ -58,12 +62,20 @@ _COMMON = {"featuresCol": FEATURES, "labelCol": LABEL}
 
 
 class KnnModel:
-    """k nearest training rows by the exact join; majority (smallest on ties) or mean of their labels."""
+    """k nearest training rows by the exact join; majority (smallest on ties) or mean of their labels.
 
-    def __init__(self, train: DataFrame, prep: PipelineModel, task: Task, k: int = 5) -> None:
-        self.prep, self.task, self.k = prep, task, k
-        self.train = cut_lineage(_vectors(prep.transform(train)).select(
-            F.xxhash64(*task.key).alias("__tid"), "__vec", F.col(task.y).cast("double").alias(LABEL)))
+    Training rows are stored with dense numbers, so equal rows stay apart. `probability` has the share of each class
+    among the neighbours. `save` and `load` keep preprocessing, rows and settings.
+    """
+
+    def __init__(self, train: DataFrame, prep: PipelineModel, task: Task, k: int = 5, classes: int = 2) -> None:
+        labelled = _vectors(prep.transform(train)).select("__vec", F.col(task.y).cast("double").alias(LABEL), *task.key)
+        numbered = hash_rank(cut_lineage(labelled), [], list(task.key), 42, "__tid").select("__tid", "__vec", LABEL)
+        self._set(cut_lineage(numbered), prep, task, k, classes)
+
+    def _set(self, rows: DataFrame, prep: PipelineModel, task: Task, k: int, classes: int) -> KnnModel:
+        self.train, self.prep, self.task, self.k, self.classes = rows, prep, task, k, classes
+        return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         rows = _vectors(self.prep.transform(df)).withColumn("__qid", F.struct(*self.task.key).cast("string"))
@@ -71,21 +83,40 @@ class KnnModel:
         voted = near.join(self.train.select(F.col("__tid").alias("memory_id"), LABEL), "memory_id")
         if self.task.is_classification:
             votes = voted.groupBy("query_id", LABEL).agg(F.count(F.lit(1)).alias("n"))
-            found = votes.groupBy("query_id").agg(F.min_by(LABEL, F.struct(-F.col("n"), F.col(LABEL))).alias("prediction"))
+            share = F.map_from_entries(F.collect_list(F.struct(F.col(LABEL).cast("int"), F.col("n"))))  # at most k labels
+            found = votes.groupBy("query_id").agg(
+                F.min_by(LABEL, F.struct(-F.col("n"), F.col(LABEL))).alias("prediction"), F.sum("n").alias("__n"), share.alias("__votes"))
+            each = F.transform(F.sequence(F.lit(0), F.lit(self.classes - 1)), lambda c: F.coalesce(F.try_element_at("__votes", c), F.lit(0)) / F.col("__n"))
+            found = found.select("query_id", "prediction", array_to_vector(each).alias("probability"))
         else:
             found = voted.groupBy("query_id").agg(F.avg(LABEL).alias("prediction"))
         return rows.join(found.withColumnRenamed("query_id", "__qid"), "__qid").drop("__qid", "__vec")
 
+    def save(self, path: str) -> None:
+        self.prep.write().overwrite().save(f"{path}/prep")
+        self.train.write.mode("overwrite").parquet(f"{path}/rows")
+        facts = json.dumps({**asdict(self.task), "k": self.k, "classes": self.classes})
+        self.train.sparkSession.createDataFrame([(facts,)], "facts string").coalesce(1).write.mode("overwrite").text(f"{path}/knn")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> KnnModel:
+        facts = json.loads(spark.read.text(f"{path}/knn").first()[0])
+        k, classes = facts.pop("k"), facts.pop("classes")
+        task = Task(**{n: tuple(v) if isinstance(v, list) else v for n, v in facts.items()})
+        return cls.__new__(cls)._set(spark.read.parquet(f"{path}/rows"), PipelineModel.load(f"{path}/prep"), task, k, classes)
+
 
 def _vectors(df: DataFrame) -> DataFrame:
     return df.withColumn("__vec", vector_to_array(FEATURES))
 
 
 def _boosted(task: Task, classes: int, **params):
-    if not task.is_classification:
-        return mlr.GBTRegressor(**_COMMON, **params)
-    gbt = mlc.GBTClassifier(**_COMMON, **params)
-    return gbt if classes <= 2 else mlc.OneVsRest(classifier=gbt, **_COMMON)
+    """Boosted trees. Where one model is fitted (not one per class) a row in ten is held out, and trees are added until its loss
+    stops falling, `maxIter` at most; one model per class has no hold-out and fewer trees."""
+    if task.is_classification and classes > 2:
+        return mlc.OneVsRest(classifier=mlc.GBTClassifier(**_COMMON, **{"maxIter": 20, **params}), **_COMMON)
+    kind = mlc.GBTClassifier if task.is_classification else mlr.GBTRegressor
+    return kind(**_COMMON, validationIndicatorCol=HELD_OUT, **{"maxIter": 100, **params})
 
 
 # Parameter names of stored settings and what they are called here.
@@ -113,7 +144,7 @@ def spark_params(name: str, params: dict, n_rows: int = 1) -> dict:
             value = float(value) / max(n_rows, 1)
         if key == "penalty":
             value = {"l2": 0.0, "l1": 1.0, "elasticnet": 0.5}[value]
-        if target == "numTrees" and name in ("gb", "gb_reg", "lgbm_clf", "lgbm_reg", "xgb_clf", "xgb_reg"):
+        if target == "numTrees" and name in BOOSTED:
             target = "maxIter"
         if target == "minInstancesPerNode":
             value = max(1, int(value) // 2)
@@ -155,8 +186,8 @@ def create_model(name: str, task: Task, classes: int = 2, n_features: int = 0, p
         return mlr.RandomForestRegressor(**_COMMON, **{"numTrees": 100, "seed": 42, **p})
     if name == "bag_reg":
         return mlr.RandomForestRegressor(**_COMMON, **{"numTrees": 20, "featureSubsetStrategy": "all", "seed": 42, **p})
-    if name in ("gb", "lgbm_clf", "xgb_clf", "gb_reg", "lgbm_reg", "xgb_reg"):
-        return _boosted(task, classes, **{"maxIter": 20, "seed": 42, **p})
+    if name in BOOSTED:
+        return _boosted(task, classes, **{"seed": 42, **p})
     raise ValueError(f"Unknown or unavailable model name: {name}")
 
 
@@ -197,6 +228,10 @@ def _fit_estimator(ready: DataFrame, task: Task, name: str, classes: int, params
     size = len(ready.first()[FEATURES]) if name == "mlp_clf" else 0
     if "hidden" in params:
         params["layers"] = [size, *params.pop("hidden"), classes]
+    if name in BOOSTED:
+        ready = ready.withColumn(HELD_OUT, F.pmod(F.xxhash64(F.col(FEATURES).cast("string"), LABEL), F.lit(10)) == 0)
+        if not ready.where(HELD_OUT).limit(1).count():
+            ready = ready.withColumn(HELD_OUT, F.lit(True)).unionByName(ready)  # too few rows to hold one out
     return create_model(name, task, classes, size, params).fit(ready)
 
 
@@ -204,7 +239,7 @@ def fit_model(df: DataFrame, task: Task, name: str, classes: int, params: dict |
     """Preprocessing and model fitted on the same rows."""
     prep = _prepare(df, task)
     if name in KNN:
-        return KnnModel(df, prep, task, int((params or {}).get("k", 5)))
+        return KnnModel(df, prep, task, int((params or {}).get("k", 5)), classes)
     ready = prep.transform(_labelled(df, task)).select(FEATURES, LABEL)
     return PipelineModel([*prep.stages, _fit_estimator(ready, task, name, classes, params)])
 
@@ -271,7 +306,7 @@ def cross_validate(
             break
         start = time.time()
         if name in KNN:
-            model = KnnModel(part.raw_train, part.prep, task, int((params or {}).get("k", 5)))
+            model = KnnModel(part.raw_train, part.prep, task, int((params or {}).get("k", 5)), classes)
             spent, score = time.time() - start, score_model(model, part.raw_test, task)
         else:
             model = _fit_estimator(part.train, task, name, classes, params)
@@ -296,11 +331,28 @@ def screen_models(
     classes = n_classes(sample, task)
     parts = prepare_folds(sample, task, cv, seed)
     deadline = None if max_seconds is None else time.time() + max_seconds
-    scores = [s for n in names for s in cross_validate(parts, task, n, classes, None, deadline)]
-    means = ut.fold_means(_table(df, scores), ["model"])
+    scores = _cross_validate_all(parts, task, names, classes, deadline)
+    means = _means(df, scores, cv)
     return means, ut.screen(means, by=[])
 
 
+def _cross_validate_all(parts: Sequence[Fold], task: Task, names: Sequence[str], classes: int, deadline: float | None) -> list[FoldScore]:
+    """`cross_validate` of all names; names of one estimator share its fits and times."""
+    done: dict[str, list[FoldScore]] = {}
+    for name in names:
+        kind = SAME_FIT.get(name, name)
+        if kind not in done:
+            done[kind] = cross_validate(parts, task, kind, classes, None, deadline)
+    return [replace(s, model=n) for n in names for s in done[SAME_FIT.get(n, n)]]
+
+
+def _means(df: DataFrame, scores: Sequence[FoldScore], cv: int) -> DataFrame:
+    """Means over folds, with the number of folds that were finished and whether these are all."""
+    table = _table(df, scores)
+    counts = table.groupBy("model").agg(F.count(F.lit(1)).cast("int").alias("folds_done"))
+    return ut.fold_means(table, ["model"]).join(counts, "model").withColumn("complete", F.col("folds_done") == max(cv, 1))
+
+
 def full_train(
     df: DataFrame, task: Task, names: Sequence[str], cv: int = 5, seed: int = 42, max_seconds: float | None = None
 ) -> tuple[dict[str, object], DataFrame]:
@@ -314,12 +366,18 @@ def full_train(
     for name in names:
         if deadline is not None and time.time() > deadline:
             break
+        kind = SAME_FIT.get(name, name)
+        twin = next((n for n in models if SAME_FIT.get(n, n) == kind), None)
+        if twin is not None:
+            scores += [replace(s, model=name) for s in scores if s.model == twin]
+            models[name] = models[twin]
+            continue
         found = cross_validate(parts, task, name, classes, None, deadline)
         if found:
             scores += found
-            models[name] = KnnModel(df, prep, task) if name in KNN else PipelineModel(
+            models[name] = KnnModel(df, prep, task, classes=classes) if name in KNN else PipelineModel(
                 [*prep.stages, _fit_estimator(ready, task, name, classes, None)])
-    return models, ut.fold_means(_table(df, scores), ["model"])
+    return models, _means(df, scores, cv)
 
 
 # ---- M5 evaluation ------------------------------------------------------------------------------
@@ -464,6 +522,7 @@ def search(
         space = (spaces or SEARCH_SPACE).get(name)
         if not space or name not in AVAILABLE[task.problem_type]:
             continue
+        space = {k: v for k, v in space.items() if k in _RENAMED}  # settings that Spark has
         rng = random.Random(f"{name}-{seed}")
         warm = warm_start(space, (remembered or {}).get(name))
         for i in range(trials):
@@ -519,11 +578,15 @@ def layer_search(
 
 # ---- M9 persistence -----------------------------------------------------------------------------
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | KnnModel, path: str) -> None:
+    model.save(path) if isinstance(model, KnnModel) else model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str) -> PipelineModel | KnnModel:
+    spark = SparkSession.getActiveSession()
+    found = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/knn")
+    if found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found):
+        return KnnModel.load(spark, path)
     return PipelineModel.load(path)
 
 

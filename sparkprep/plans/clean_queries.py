@@ -383,6 +383,38 @@ def _(spark, d):
     return clean.leaky_by_auc(t, ["l_quantity", "l_extendedprice", "leak"], "y").withColumn("auc", F.round("auc", R))
 
 
+@query("s2_p1_features", f"""WITH {ORDERS_WITH_GAPS} SELECT o_orderstatus, 'o_custkey,o_totalprice,o_orderdate,o_orderpriority' AS features, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM g GROUP BY 1""")
+def _(spark, d):
+    """The target is checked and taken out of the features; a wrong name lists what there is."""
+    g = orders_with_gaps(spark, d)
+    try:
+        clean.require_column(g, "o_status")
+        raise AssertionError("a missing target must be refused")
+    except ValueError as refused:
+        assert "o_orderstatus" in str(refused)
+    features = clean.feature_columns(g, "o_orderstatus", ["o_orderkey"])
+    return g.groupBy("o_orderstatus").agg(F.lit(",".join(features)).alias("features"), F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price"))
+
+
+@query("p2_clean_names", """SELECT 'l_quantity_per_order_' AS "column", 'replace' AS rule, round(sum(l_quantity), 2) AS total FROM lineitem UNION ALL SELECT 'price_EUR_', 'replace', round(sum(l_extendedprice), 2) FROM lineitem
+  UNION ALL SELECT 'lquantity_per_order', 'delete', round(sum(l_quantity), 2) FROM lineitem UNION ALL SELECT 'price_EUR', 'delete', round(sum(l_extendedprice), 2) FROM lineitem""")
+def _(spark, d):
+    lines = table(spark, d, "lineitem")
+    out = None
+    for rule, names in (("replace", ("l_quantity per\torder]", "price:EUR}")), ("delete", ("l[quantity:per,order]", "price:EUR>"))):
+        named = clean.clean_names(lines.select(F.col("l_quantity").alias(names[0]), F.col("l_extendedprice").alias(names[1])), rule)
+        sums = profile.per_column(named, named.columns, {"total": lambda c: F.round(F.sum(c), 2)}).select("column", F.lit(rule).alias("rule"), "total")
+        out = sums if out is None else out.unionByName(sums)
+    return out
+
+
+@query("c7_fill_values", f"""WITH {ORDERS_WITH_GAPS} SELECT o_orderkey, coalesce(o_orderstatus, '') AS o_orderstatus, coalesce(o_totalprice, 0) AS o_totalprice, coalesce(o_orderpriority, 'missing') AS o_orderpriority FROM g""")
+def _(spark, d):
+    """NULLs become the empty text, zero or a tag, by column."""
+    g = orders_with_gaps(spark, d).select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return clean.constant_fill(clean.fill(g, {"o_orderstatus": "", "o_totalprice": 0.0}), ["o_orderpriority"], "missing")
+
+
 @query("c12_to_numeric", f"""WITH {ORDERS_WITH_GAPS}, f AS (SELECT o_orderkey, coalesce(o_totalprice, (SELECT median(o_totalprice) FROM g)) AS o_totalprice,
   coalesce(o_orderstatus, {MODE_SQL.format(c='o_orderstatus')}) AS o_orderstatus,
   coalesce(o_orderpriority, {MODE_SQL.format(c='o_orderpriority')}) AS o_orderpriority FROM g)

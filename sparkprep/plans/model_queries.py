@@ -67,26 +67,33 @@ def _(spark, d):
 
 @query("m6_tune_top_models")
 def _(spark, d):
-    train, _ = halves(spark, d)
     metrics = spark.createDataFrame([("logistic", 0.5), ("naive_bayes", 0.4), ("dt_clf", 0.1)], "model string, f1 double")
-    _, table_ = m.tune_top_models(train, TASK, metrics, 2, cv=2, grids={"logistic": {"C": [0.1, 1.0]}})
+    _, table_ = m.tune_top_models(labelled(spark, d), TASK, metrics, 2, cv=2, grids={"logistic": m.GRIDS["logistic"]})
     return table_
 
 
 @query("m7_search")
 def _(spark, d):
-    train, _ = halves(spark, d)
-    _, _, trials = m.search(train, TASK, ["logistic"], {"logistic": {"C": 0.5, "solver": "x"}}, trials=2, cv=2)
+    _, _, trials = m.search(labelled(spark, d), TASK, ["logistic"], {"logistic": {"C": 0.5, "solver": "x"}}, trials=4, cv=2)
     return trial_rows(spark, trials)
 
 
 @query("m8_layer_search")
 def _(spark, d):
-    train, _ = halves(spark, d)
-    _, trials = m.layer_search(train, TASK, trials=2, prior={"dl_num_layers": 1, "dl_hidden_dim": 32}, max_iter=5)
+    _, trials = m.layer_search(labelled(spark, d), TASK, trials=3, prior={"dl_num_layers": 1, "dl_hidden_dim": 32}, max_iter=10)
     return trial_rows(spark, trials)
 
 
+@query("m2_early_stopping", "SELECT TRUE AS fewer_trees, TRUE AS all_folds, TRUE AS learned")
+def _(spark, d):
+    """Boosted trees on all orders, for a target that a few trees learn: they stop far below the 100 allowed."""
+    o = labelled(spark, d).withColumn("late", (F.col("o_days") >= 1500).cast("int"))
+    task = m.Task(y="late", key=("o_orderkey",), numeric=("o_totalprice", "o_days"))
+    scores, _ = m.screen_models(o, task, ["gb", "lgbm_clf"], 1.0, 1)
+    trees = m.fit_model(o, task, "gb", 2).stages[-1].getNumTrees
+    return scores.agg(F.lit(trees < 60).alias("fewer_trees"), F.bool_and("complete").alias("all_folds"), (F.min("score") > 0.99).alias("learned"))
+
+
 @query("m9_save_load", """SELECT count(*) AS n, count(*) AS same FROM orders""")
 def _(spark, d):
     o = labelled(spark, d)
@@ -99,6 +106,20 @@ def _(spark, d):
     return a.join(b, "o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same"))
 
 
+@query("m9_save_load_knn", """SELECT count(*) AS n, count(*) AS same, count(*) AS sound FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' + INTERVAL 1500 DAY""")
+def _(spark, d):
+    """A stored neighbour model predicts what it did before, with probabilities that add up to one."""
+    train, test = halves(spark, d)
+    model = m.fit_model(train, TASK, "knn_clf", 3)
+    path = scratch_path(spark, "model")
+    m.save_model(model, path)
+    both = [x.transform(test).select("o_orderkey", F.col("prediction").alias(n), m.vector_to_array("probability").alias(f"p_{n}")) for x, n in ((model, "a"), (m.load_model(path), "b"))]
+    total = F.aggregate("p_a", F.lit(0.0), lambda x, y: x + y)
+    return both[0].join(both[1], "o_orderkey").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if((F.col("a") == F.col("b")) & (F.col("p_a") == F.col("p_b"))).alias("same"),
+        F.count_if((F.abs(total - 1) < 1e-9) & (F.array_max("p_a") == F.get("p_a", F.col("a").cast("int")))).alias("sound"))
+
+
 @query("m10_importance")
 def _(spark, d):
     o = labelled(spark, d)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import features as fe
@@ -47,6 +48,17 @@ def _(spark, d):
                     F.array_join("numeric_cols", ",").alias("numeric_cols"), F.array_join("categorical_cols", ",").alias("categorical_cols"))
 
 
+@query("p4_column_types", f"""WITH {ORDERS_WITH_GAPS} SELECT * FROM (SELECT 'numeric' AS kind, 'o_orderkey' AS "column", count(o_orderkey) AS present FROM g UNION ALL SELECT 'numeric', 'o_custkey', count(o_custkey) FROM g
+  UNION ALL SELECT 'categorical', 'o_orderstatus', count(o_orderstatus) FROM g UNION ALL SELECT 'numeric', 'o_totalprice', count(o_totalprice) FROM g
+  UNION ALL SELECT 'datetime', 'o_orderdate', count(o_orderdate) FROM g UNION ALL SELECT 'categorical', 'o_orderpriority', count(o_orderpriority) FROM g)""")
+def _(spark, d):
+    g = orders_with_gaps(spark, d)
+    kind = {c: k for k, cols in profile.column_types(g).items() for c in cols}
+    kinds = F.create_map(*[F.lit(x) for kv in kind.items() for x in kv])
+    counts = profile.per_column(g, list(kind), {"present": lambda c: F.count(c)})
+    return counts.select(F.element_at(kinds, F.col("column")).alias("kind"), "column", "present")
+
+
 @query("a2_missing_rate", f"""WITH {ORDERS_WITH_GAPS}, n AS (SELECT count(*) * 4 AS cells, CAST(sum((o_orderstatus IS NULL)::INT + (o_totalprice IS NULL)::INT + (o_orderpriority IS NULL)::INT + (o_orderdate IS NULL)::INT) AS BIGINT) AS null_cells FROM g)
 SELECT null_cells, cells, round(null_cells / cells, 6) AS missing_rate, round(null_cells / cells * 100, 2) AS missing_pct FROM n""")
 def _(spark, d):
@@ -500,6 +512,28 @@ def _(spark, d):
     return m.select("label", (F.col("p") + 1).cast("long").alias("pos"), F.round("x", R).alias("x"))
 
 
+@query("f18_dense_bypass", """SELECT vec_id, 64 AS width, round(list_sum(list_transform(range(1, 65), lambda i: i * embedding[i]::DOUBLE)), 6) AS checksum FROM embeddings""")
+def _(spark, d):
+    """Sixty-four numeric columns and no others stay as they are: no fill, no scaling."""
+    wide = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    made = fe.fit_preprocessor(wide, [f"e{i}" for i in range(64)], []).transform(wide).select("vec_id", vector_to_array("features").alias("v"))
+    weighted = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return made.select("vec_id", F.size("v").alias("width"), F.round(weighted, R).alias("checksum"))
+
+
+@query("f19_preprocess", f"""WITH {ORDERS_WITH_GAPS}, f AS (SELECT o_orderkey, coalesce(o_totalprice, (SELECT median(o_totalprice) FROM g)) AS price, o_custkey::DOUBLE AS cust,
+    coalesce(o_orderstatus, 'missing') AS status FROM g),
+  q AS (SELECT quantile_cont(cust, 0.25) AS a, quantile_cont(cust, 0.5) AS b, quantile_cont(cust, 0.75) AS c, avg(price) AS m, stddev_pop(price) AS s FROM f),
+  k AS (SELECT list_sort(list(DISTINCT status)) AS levels FROM f),
+  v AS (SELECT o_orderkey, list_concat([(price - m) / s, (cust - b) / (c - a)], list_transform(levels, lambda x: (x = status)::INT::DOUBLE)) AS v FROM f, q, k)
+SELECT o_orderkey, CAST(i - 1 AS INT) AS pos, round(v[i], 6) AS value FROM v, unnest(range(1, len(v) + 1)) AS t(i)""")
+def _(spark, d):
+    """Fills, a scaler for each column, and one-hot levels in one vector."""
+    g = orders_with_gaps(spark, d)
+    model = fe.fit_preprocessor(g, ["o_totalprice", "o_custkey"], ["o_orderstatus"], {"o_totalprice": "standard", "o_custkey": "robust"})
+    return model.transform(g).select("o_orderkey", F.posexplode(vector_to_array("features")).alias("pos", "v")).select("o_orderkey", "pos", F.round("v", R).alias("value"))
+
+
 @query("f_feature_plan")
 def _(spark, d):
     """The whole plan: fit on the earlier orders, apply to all of them."""

@@ -59,9 +59,41 @@ def test_search_starts_with_remembered_settings(table):
     assert again == m.draw(m.SEARCH_SPACE["rf"], __import__("random").Random("rf-42"))
 
 
-def test_time_budget_stops(table):
+def test_time_budget_stops(table, monkeypatch):
     scores, _ = m.screen_models(table, CLF, ["naive_bayes", "dt_clf"], 1.0, 2, max_seconds=0.0)
     assert scores.count() == 0
+    clock = iter(range(0, 10_000, 10))
+    monkeypatch.setattr(m.time, "time", lambda: next(clock))
+    cut, _ = m.screen_models(table, CLF, ["naive_bayes", "dt_clf"], 1.0, 3, max_seconds=65.0)
+    rows = {r["model"]: (r["folds_done"], r["complete"]) for r in cut.collect()}
+    assert rows["naive_bayes"] == (2, False)  # the cut is marked
+
+
+def test_boosters_stop_early_and_equal_estimators_are_fitted_once(table, monkeypatch):
+    easy = table.withColumn("t", F.when(F.col("a") > 0, 1.0).otherwise(-1.0))
+    assert m.fit_model(easy, REG, "gb_reg", 0).stages[-1].getNumTrees < 30
+    fitted = []
+    real = m._fit_estimator
+    monkeypatch.setattr(m, "_fit_estimator", lambda ready, task, name, *a: fitted.append(name) or real(ready, task, name, *a))
+    scores, _ = m.screen_models(table, CLF, ["logistic", "sgd_clf"], 1.0, 1)
+    rows = {r["model"]: r["score"] for r in scores.collect()}
+    assert fitted == ["logistic"] and rows["logistic"] == rows["sgd_clf"] > 0.8
+
+
+def test_neighbour_model_keeps_equal_rows_and_gives_probabilities(spark, table, tmp_path):
+    rows = [(i, float(i // 10), 0.0, "x", i % 2) for i in range(40)]  # ten equal rows at each point
+    df = spark.createDataFrame(rows, "id long, a double, b double, c string, y int")
+    model = m.fit_model(df, CLF, "knn_clf", 2, {"k": 10})
+    out = model.transform(df).collect()
+    assert all(list(r["probability"]) == [0.5, 0.5] and r["prediction"] == 0.0 for r in out)
+    train, test = table.where("id < 300"), table.where("id >= 300")
+    knn = m.fit_model(train, CLF, "knn_clf", 2)
+    metrics = m.evaluate_models({"knn_clf": knn}, test, CLF).first()
+    assert metrics["roc_auc"] > 0.9
+    m.save_model(knn, str(tmp_path / "knn"))
+    again = m.load_model(str(tmp_path / "knn"))
+    key = lambda x: sorted((r["id"], r["prediction"], tuple(r["probability"])) for r in x.transform(test).collect())
+    assert key(knn) == key(again)
 
 
 def test_layer_search_tries_prior_first(table):
