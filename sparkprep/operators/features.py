@@ -7,9 +7,10 @@ column, and value maps as DataFrames. Applying only adds column expressions and
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from itertools import combinations, permutations
+from typing import Any
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -301,108 +302,160 @@ def add_squares(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-# ---- the whole plan -----------------------------------------------------------------------------
+# ---- plans: steps in order, each with its own settings ------------------------------------------
 
-@dataclass
-class FeaturePlan:
-    """Everything learned from the training rows, in the order it is applied."""
+@dataclass(frozen=True)
+class Rows:
+    """What a step may know of the training rows besides the rows: key, target, and the numeric columns that were given."""
 
-    features: list[str]
+    key: tuple[str, ...]
     target: str
-    constant: list[str] = field(default_factory=list)
-    texts: list[str] = field(default_factory=list)
-    dates: list[str] = field(default_factory=list)
-    kept: dict[str, list[str]] = field(default_factory=dict)
-    encodings: dict[str, DataFrame] = field(default_factory=dict)
-    target_mean: float = 0.0
-    lambdas: dict[str, float] = field(default_factory=dict)
-    caps: dict[str, tuple[float, float]] = field(default_factory=dict)
-    scalers: dict[str, str] = field(default_factory=dict)
-    correlated: list[str] = field(default_factory=list)
-    products: list[tuple[str, str]] = field(default_factory=list)
-    ratios: list[tuple[str, str]] = field(default_factory=list)
-    squares: list[str] = field(default_factory=list)
-    types: dict[str, str] = field(default_factory=dict)
+    given: tuple[str, ...]
+
+    def columns(self, x: DataFrame, kind: str) -> list[str]:
+        return profile.column_types(x, exclude=[*self.key, self.target])[kind]
+
+
+@dataclass(frozen=True)
+class Step:
+    """`learn` finds something small on training rows, `change` applies it to any rows. `store`: rows are stored after it."""
+
+    name: str
+    learn: Callable[[DataFrame, Rows], Any]
+    change: Callable[[DataFrame, Any], DataFrame]
+    store: Callable[[Any], bool] = lambda found: False
+
+
+def drop_constant() -> Step:
+    def learn(x: DataFrame, rows: Rows) -> list[str]:
+        numeric = rows.columns(x, "numeric")
+        return constant_columns(x, numeric) if numeric else []
+
+    return Step("constant", learn, lambda x, found: x.drop(*found))
+
+
+def describe_texts() -> Step:
+    return Step("texts", lambda x, rows: text_columns(x, rows.columns(x, "categorical")), text_statistics)
+
+
+def split_dates() -> Step:
+    return Step("dates", lambda x, rows: rows.columns(x, "datetime"), datetime_parts)
+
+
+def merge_rare(share: float = 0.01) -> Step:
+    return Step("rare", lambda x, rows: frequent_values(x, rows.columns(x, "categorical"), share), group_rare)
+
+
+def encode_values(plan: dict[str, str] | None = None, distinct: float = 0.05, folds: int = 5, seed: int = 42) -> Step:
+    """Categories as numbers: `plan` names 'frequency' or 'target' for a column ('onehot' and 'hash' are left to the
+    preprocessor); without a plan, columns whose share of distinct values is above `distinct` take the target's means."""
+
+    def learn(x: DataFrame, rows: Rows) -> dict[str, tuple[DataFrame, float]]:
+        cats = rows.columns(x, "categorical")
+        if plan is not None:
+            ways = {c: plan[c] for c in cats if plan.get(c) in ("frequency", "target")}
+        else:
+            wide = profile.unique_ratio(x, cats).where(F.col("ratio") > distinct).orderBy("position").collect() if cats else []
+            ways = {r["column"]: "target" for r in wide}
+        if not ways:
+            return {}
+        mean = x.agg(F.avg(rows.target)).first()[0]
+        fold = F.pmod(F.xxhash64(*[F.col(k) for k in rows.key], F.lit(seed)), F.lit(folds))
+        return {
+            c: (cut_lineage(target_encoding(x, c, rows.target, fold)), mean) if way == "target" else (cut_lineage(frequency_encoding(x, c)), 0.0)
+            for c, way in ways.items()}
+
+    def change(x: DataFrame, found: dict[str, tuple[DataFrame, float]]) -> DataFrame:
+        for c, (values, unknown) in found.items():
+            x = apply_encoding(x, c, values, F.lit(unknown))
+        return x
+
+    return Step("encodings", learn, change, bool)
+
+
+def make_symmetric(skew: float = 1.0) -> Step:
+    def learn(x: DataFrame, rows: Rows) -> dict[str, float]:
+        return fit_yeo_johnson(x, skewed_columns(x, [c for c in rows.given if c in x.columns], skew))
+
+    return Step("powers", learn, lambda x, found: x.withColumns({c: yeo_johnson(F.col(c), lam) for c, lam in found.items()}) if found else x)
+
+
+def cap_outliers() -> Step:
+    return Step("caps", lambda x, rows: fit_caps(x, rows.columns(x, "numeric")), cap)
+
+
+def choose_scaling() -> Step:
+    """Scalers for the preprocessor; rows stay as they are."""
+    return Step("scalers", lambda x, rows: choose_scalers(x, rows.columns(x, "numeric")), lambda x, found: x)
+
+
+def drop_correlated(limit: float = 0.95) -> Step:
+    return Step("correlated", lambda x, rows: correlated_columns(x, rows.columns(x, "numeric"), limit), lambda x, found: x.drop(*found))
+
+
+def _strongest(x: DataFrame, rows: Rows, top: int) -> list[str]:
+    numeric = rows.columns(x, "numeric")
+    return strongest_columns(x, numeric, rows.target, top) if top > 1 and len(numeric) > 1 else []
+
+
+def multiply(top: int = 5) -> Step:
+    return Step("products", lambda x, rows: product_pairs(_strongest(x, rows, top)), add_products)
+
+
+def divide(top: int = 3) -> Step:
+    return Step("ratios", lambda x, rows: ratio_pairs(_strongest(x, rows, top)), add_ratios)
+
+
+def square(top: int = 5) -> Step:
+    return Step("squares", lambda x, rows: [c for c in rows.given if c in x.columns][:top], add_squares)
+
+
+def narrow_types() -> Step:
+    def change(x: DataFrame, found: dict[str, str]) -> DataFrame:
+        return x.withColumns({c: F.col(c).cast(t) for c, t in found.items() if c in x.columns})
+
+    return Step("types", lambda x, rows: downcast_plan(x.drop(*rows.key, rows.target)), change)
+
+
+def steps_for(level: str = "full", encodings: dict[str, str] | None = None) -> list[Step]:
+    """Steps of a level of effort: 'off' none, 'light' tidy columns only, 'medium' shapes them as well, 'full' also combines them."""
+    tidy = [drop_constant(), describe_texts(), split_dates(), merge_rare(), encode_values(encodings)]
+    shape = [make_symmetric(), cap_outliers(), choose_scaling(), drop_correlated()]
+    combine = [multiply(), divide(), square()]
+    by_level = {"off": [], "light": [*tidy, narrow_types()], "medium": [*tidy, *shape, narrow_types()], "full": [*tidy, *shape, *combine, narrow_types()]}
+    if level not in by_level:
+        raise ValueError(f"level must be one of {list(by_level)}")
+    return by_level[level]
+
+
+@dataclass(frozen=True)
+class FeaturePlan:
+    """Steps with what each has found on the training rows; `plan["caps"]` gives a step's finding."""
+
+    learned: tuple[tuple[Step, Any], ...]
 
     @classmethod
-    def fit(
-        cls,
-        df: DataFrame,
-        features: Sequence[str],
-        target: str,
-        key: Sequence[str],
-        *,
-        cardinality_threshold: float = 0.05,
-        rare_threshold: float = 0.01,
-        skew_threshold: float = 1.0,
-        outliers: str = "cap",
-        interactions: int = 5,
-        corr_threshold: float = 0.95,
-        ratios: bool = True,
-        n_folds: int = 5,
-        seed: int = 42,
-    ) -> FeaturePlan:
-        """Learn all steps from training rows. `key` identifies rows and decides their fold."""
-        plan = cls(list(features), target)
-        y = F.col(target).cast("double")
-        x = df.select(*key, *features, y.alias(target))
-        kinds = profile.column_types(x, exclude=[*key, target])
-        plan.constant = constant_columns(x, kinds["numeric"]) if kinds["numeric"] else []
-        numeric = [c for c in kinds["numeric"] if c not in plan.constant]
-        plan.texts = text_columns(x, kinds["categorical"])
-        cats = [c for c in kinds["categorical"] if c not in plan.texts]
-        plan.dates = kinds["datetime"]
-        x = datetime_parts(text_statistics(x.drop(*plan.constant), plan.texts), plan.dates)
-        plan.kept = frequent_values(x, cats, rare_threshold)
-        x = group_rare(x, plan.kept)
-        plan.target_mean = x.agg(F.avg(target)).first()[0]
-        if cats:
-            wide = profile.unique_ratio(x, cats).where(F.col("ratio") > cardinality_threshold).orderBy("position").collect()
-            fold = F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), F.lit(n_folds))
-            for r in wide:
-                plan.encodings[r["column"]] = cut_lineage(target_encoding(x, r["column"], target, fold))
-            x = plan._encode(x)
-            if plan.encodings:
+    def fit(cls, df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], steps: Sequence[Step] | None = None) -> FeaturePlan:
+        """Learn all steps (default: those of the level 'full') from training rows. `key` identifies rows and decides their fold."""
+        x = df.select(*key, *features, F.col(target).cast("double").alias(target))
+        rows = Rows(tuple(key), target, tuple(c for c in features if c in profile.column_types(x)["numeric"]))
+        learned = []
+        for step in steps_for() if steps is None else steps:
+            found = step.learn(x, rows)
+            learned.append((step, found))
+            x = step.change(x, found)
+            if step.store(found):
                 x = cut_lineage(x)
-        plan.lambdas = fit_yeo_johnson(x, skewed_columns(x, numeric, skew_threshold))
-        x = plan._power(x)
-        all_numeric = lambda t: profile.column_types(t, exclude=[*key, target])["numeric"]
-        if outliers == "cap":
-            plan.caps = fit_caps(x, all_numeric(x))
-            x = cap(x, plan.caps)
-        elif outliers != "none":
-            raise ValueError("outliers must be 'cap' or 'none'")
-        plan.scalers = choose_scalers(x, all_numeric(x))
-        plan.correlated = correlated_columns(x, all_numeric(x), corr_threshold)
-        x = x.drop(*plan.correlated)
-        if interactions > 0 and len(all_numeric(x)) > 1:
-            plan.products = product_pairs(strongest_columns(x, all_numeric(x), target, interactions))
-            x = add_products(x, plan.products)
-        if ratios and min(interactions, 3) > 1 and len(all_numeric(x)) > 1:
-            plan.ratios = ratio_pairs(strongest_columns(x, all_numeric(x), target, min(interactions, 3)))
-            x = add_ratios(x, plan.ratios)
-        plan.squares = [c for c in numeric if c in x.columns][:min(interactions, 5)]
-        x = add_squares(x, plan.squares)
-        plan.types = downcast_plan(x.drop(*key, target))
-        return plan
-
-    def _encode(self, x: DataFrame) -> DataFrame:
-        for c, encoding in self.encodings.items():
-            x = apply_encoding(x, c, encoding, F.lit(self.target_mean))
-        return x
+        return cls(tuple(learned))
 
-    def _power(self, x: DataFrame) -> DataFrame:
-        new = {c: yeo_johnson(F.col(c), lam) for c, lam in self.lambdas.items()}
-        return x.withColumns(new) if new else x
+    def __getitem__(self, name: str) -> Any:
+        return next(found for step, found in self.learned if step.name == name)
 
     def apply(self, df: DataFrame) -> DataFrame:
         """The engineered columns for any rows with the same features; other columns pass through."""
-        x = text_statistics(df.drop(*self.constant), self.texts)
-        x = self._encode(group_rare(datetime_parts(x, self.dates), self.kept))
-        x = cap(self._power(x), self.caps).drop(*self.correlated)
-        x = add_squares(add_ratios(add_products(x, self.products), self.ratios), self.squares)
-        x = x.withColumns({c: F.col(c).cast(t) for c, t in self.types.items() if c in x.columns})
-        return clean_names(x)
+        for step, found in self.learned:
+            df = step.change(df, found)
+        return clean_names(df)
 
 
 # ---- F16-F19 preprocessing for models -----------------------------------------------------------

@@ -154,11 +154,18 @@ def _(spark, d):
     return nb.mean_cosine_to_others(table(spark, d, "embeddings"), "vec_id").withColumn("mean_cosine", F.round("mean_cosine", R))
 
 
-@query("v22_contrastive_loss")
+@query("v22_contrastive_loss", """WITH p AS (SELECT list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2)) AS d2
+    FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id),
+  n AS (SELECT sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2))) AS gap FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND a.label <> b.label),
+  s AS (SELECT (SELECT count(*) FROM p) AS n_positive, (SELECT count(*) FROM n) AS n_negative, (SELECT sum(d2) FROM p) + (SELECT sum(pow(greatest(0, 1.5 - gap), 2)) FROM n) AS total)
+SELECT n_positive, n_negative, round(total / (n_positive + n_negative), 6) AS loss FROM s""")
 def _(spark, d):
+    """All pairs of a family, and neighbours in the table that are of different families."""
     e = table(spark, d, "embeddings")
-    neg = nb.negative_pairs(e, "vec_id", "label", max(2 * e.count(), 100))
-    return nb.contrastive_loss(nb.pair_spread(e, "label"), neg)
+    a = e.select(F.col("vec_id").alias("a_id"), F.col("label").alias("a_family"), F.col("embedding").alias("a_vec"))
+    b = e.select((F.col("vec_id") - 1).alias("a_id"), F.col("label").alias("b_family"), F.col("embedding").alias("b_vec"))
+    negatives = a.join(b, "a_id").where("a_family <> b_family")
+    return nb.contrastive_loss(nb.pair_spread(e, "label"), negatives, margin=1.5).withColumn("loss", F.round("loss", R))
 
 
 @query("t5_vote_ranking", f"""WITH {KNN_SQL}, v AS (SELECT query_id, unnest([m1, m2]) AS model FROM nei WHERE rank <= 3),
@@ -342,10 +349,15 @@ def sample_weights(dim_in=64, hidden=64, dim_out=32):
     }
 
 
-@query("v20_encode")
+@query("v20_encode", """WITH n AS (SELECT unnest(range(64)) AS i), o AS (SELECT unnest(range(32)) AS o),
+  h AS (SELECT vec_id, i, list_sum(list_transform(range(1, 65), lambda j: embedding[j]::DOUBLE * sin(0.7::DOUBLE * (i * 64 + j)) / 8)) + sin(0.3::DOUBLE * (i + 1)) / 8 AS h FROM embeddings, n),
+  r AS (SELECT vec_id, i, greatest(0, (h - sin(0.2::DOUBLE * (i + 1)) / 8) / sqrt(1 + abs(sin(0.9::DOUBLE * (i + 1)) / 8) + 1e-5) * (1 + sin(0.4::DOUBLE * (i + 1)) / 8) + sin(0.6::DOUBLE * (i + 1)) / 8) AS r FROM h),
+  l AS (SELECT vec_id, list(r ORDER BY i) AS r FROM r GROUP BY vec_id),
+  y AS (SELECT vec_id, o, list_sum(list_transform(range(1, 65), lambda j: r[j] * sin(1.1::DOUBLE * (o * 64 + j)) / 8)) + sin(0.5::DOUBLE * (o + 1)) / sqrt(32) AS y FROM l, o)
+SELECT vec_id, CAST(o AS INT) AS pos, round(CAST(y / sqrt(sum(y * y) OVER (PARTITION BY vec_id)) AS FLOAT)::DOUBLE, 4) AS value FROM y""")
 def _(spark, d):
     out = mem.encode(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", sample_weights())
-    return out.select("vec_id", F.transform("encoded", lambda x: F.round(x.cast("double"), 4)).alias("encoded"))
+    return out.select("vec_id", F.posexplode("encoded").alias("pos", "v")).select("vec_id", "pos", F.round(F.col("v").cast("double"), 4).alias("value"))
 
 
 @query("v21_replace_vectors", """SELECT vec_id, i AS pos, round(CASE WHEN label = 3 THEN -embedding[i] ELSE embedding[i] END::DOUBLE, 6) AS x

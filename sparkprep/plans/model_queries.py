@@ -58,13 +58,54 @@ def _(spark, d):
     return m.evaluate_models(models, test, REG)
 
 
-@query("m1_knn_model")
+@query("m1_knn_model", """WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS label, datediff('day', DATE '1995-01-01', o_orderdate::DATE) AS o_days FROM orders),
+  s AS (SELECT avg(o_totalprice) AS pm, stddev_pop(o_totalprice) AS ps, avg(o_custkey) AS cm, stddev_pop(o_custkey) AS cs, avg(o_days) AS dm, stddev_pop(o_days) AS ds FROM o WHERE o_days < 1500),
+  z AS (SELECT o_orderkey, label, o_days < 1500 AS train, o_orderpriority AS f, (o_totalprice - pm) / ps AS p, (o_custkey - cm) / cs AS c, (o_days - dm) / ds AS d FROM o, s),
+  n AS (SELECT q.o_orderkey, any_value(q.label) AS label, min_by(t.label, (q.p - t.p) * (q.p - t.p) + (q.c - t.c) * (q.c - t.c) + (q.d - t.d) * (q.d - t.d) + CASE WHEN q.f = t.f THEN 0 ELSE 2 END, 5) AS near
+    FROM z q JOIN z t ON NOT q.train AND t.train GROUP BY q.o_orderkey),
+  v AS (SELECT label, list_transform([0, 1, 2], lambda x: len(list_filter(near, lambda y: y = x))) AS votes FROM n)
+SELECT label::DOUBLE AS label, (list_position(votes, list_max(votes)) - 1)::DOUBLE AS prediction, count(*) AS n FROM v GROUP BY ALL""")
 def _(spark, d):
     train, test = halves(spark, d)
     model = m.fit_model(train, TASK, "knn_clf", 3)
     return m.prediction_table({"knn_clf": model}, test, TASK).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
+NUMERIC = m.Task(y="label", key=("o_orderkey",), numeric=("o_totalprice", "o_custkey", "o_days"))
+PRICE = m.Task(y="o_totalprice", key=("o_orderkey",), numeric=("o_custkey", "o_days"), problem_type="regression")
+PARTS_SQL = """o AS (SELECT o_orderkey, o_custkey, o_totalprice, dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS label, datediff('day', DATE '1995-01-01', o_orderdate::DATE) AS o_days FROM orders),
+  tr AS (SELECT * FROM o WHERE o_days < 1500), te AS (SELECT * FROM o WHERE o_days >= 1500)"""
+_x = ("o_totalprice", "o_custkey", "o_days")
+BAYES_SQL = f"""WITH {PARTS_SQL},
+  c AS (SELECT label, ln(count(*)::DOUBLE / (SELECT count(*) FROM tr)) AS prior, {', '.join(f'avg({x}) AS m{i}, var_pop({x}) AS v{i}' for i, x in enumerate(_x))} FROM tr GROUP BY label),
+  s AS (SELECT o_orderkey, te.label, c.label AS p, prior - ({' + '.join(f'ln(v{i}) + ({x} - m{i}) * ({x} - m{i}) / v{i}' for i, x in enumerate(_x))}) / 2 AS score FROM te, c),
+  p AS (SELECT label, p FROM s QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, p) = 1),
+  u AS (SELECT v, sum(support) AS support, sum(named) AS named, sum(hit) AS hit FROM (SELECT label AS v, 1 AS support, 0 AS named, (label = p)::INT AS hit FROM p UNION ALL SELECT p, 0, 1, 0 FROM p) GROUP BY v)
+SELECT 'naive_bayes' AS model, round(sum(hit) / sum(support), 6) AS accuracy, round(sum(support * CASE WHEN named > 0 THEN hit / named ELSE 0 END) / sum(support), 6) AS precision,
+  round(sum(support * 2.0::DOUBLE * hit / (support + named)) / sum(support), 6) AS f1 FROM u"""
+
+
+@query("m4_m5_naive_bayes", BAYES_SQL)
+def _(spark, d):
+    """Trained on the earlier orders, measured on the later ones; class means and variances in SQL."""
+    train, test = halves(spark, d)
+    models, _ = m.full_train(train, NUMERIC, ["naive_bayes"], cv=1)
+    return m.evaluate_models(models, test, NUMERIC).select("model", *[F.round(c, R).alias(c) for c in ("accuracy", "precision", "f1")])
+
+
+@query("m4_m5_ridge", f"""WITH {PARTS_SQL},
+  t AS (SELECT avg(o_custkey) AS m0, avg(o_days) AS m1, avg(o_totalprice) AS my, var_pop(o_custkey) AS v0, var_pop(o_days) AS v1, covar_pop(o_custkey, o_days) AS c,
+    covar_pop(o_custkey, o_totalprice) AS c0, covar_pop(o_days, o_totalprice) AS c1 FROM tr),
+  b AS (SELECT *, (v1 * c0 - c * c1) / (v0 * v1 - c * c) AS b0, (v0 * c1 - c * c0) / (v0 * v1 - c * c) AS b1 FROM t),
+  e AS (SELECT o_totalprice AS y, o_totalprice - my - b0 * (o_custkey - m0) - b1 * (o_days - m1) AS e FROM te, b)
+SELECT 'ridge' AS model, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(abs(e)), 3) AS mae, round(1 - avg(e * e) / var_pop(y), 6) AS r2 FROM e""")
+def _(spark, d):
+    """Least squares on two columns against Cramer's rule."""
+    train, test = halves(spark, d)
+    models, _ = m.full_train(train, PRICE, ["ridge"], cv=1)
+    return m.evaluate_models(models, test, PRICE).select("model", F.round("rmse", 3).alias("rmse"), F.round("mae", 3).alias("mae"), F.round("r2", R).alias("r2"))
+
+
 @query("m6_tune_top_models")
 def _(spark, d):
     metrics = spark.createDataFrame([("logistic", 0.5), ("naive_bayes", 0.4), ("dt_clf", 0.1)], "model string, f1 double")

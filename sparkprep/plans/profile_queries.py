@@ -487,11 +487,19 @@ def _(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("did"), fe.capped_level(asked, safe, F.col("p_size") / 50).alias("level"))
 
 
-@query("f22_pca")
+@query("f22_pca", """SELECT count(*) AS n, 16 AS size, TRUE AS centred, TRUE AS uncorrelated, TRUE AS falling, TRUE AS within_total FROM embeddings""")
 def _(spark, d):
+    """What makes components principal: mean zero, no correlation, falling variances whose sum is at most that of the columns."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    out = fe.reduce_vectors(e, "embedding", fe.fit_pca(e, "embedding", 16), 16)
-    return out.select("vec_id", F.size("reduced").alias("size"), F.round(vx_norm("reduced"), 3).alias("norm"))
+    made = fe.reduce_vectors(e, "embedding", fe.fit_pca(e, "embedding", 16), 16).select("embedding", F.col("reduced").alias("r"))
+    wide = made.select(*[F.col("r")[i].alias(f"r{i}") for i in range(16)], *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    facts = wide.agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(f"r{i}") for i in range(16)]).alias("m"), F.array(*[F.var_pop(f"r{i}") for i in range(16)]).alias("v"),
+        F.array(*[F.corr(f"r{i}", f"r{j}") for i, j in combinations(range(16), 2)]).alias("c"), sum((F.var_pop(f"e{i}") for i in range(64)), F.lit(0.0)).alias("t"))
+    falls = F.forall(F.sequence(F.lit(1), F.lit(15)), lambda i: F.element_at("v", i) + 1e-12 >= F.element_at("v", i + 1))
+    return facts.select(
+        "n", F.size("v").alias("size"), F.forall("m", lambda x: F.abs(x) < 1e-6).alias("centred"), F.forall("c", lambda x: F.abs(x) < 1e-6).alias("uncorrelated"),
+        falls.alias("falling"), (F.aggregate("v", F.lit(0.0), lambda a, b: a + b) <= F.col("t") + 1e-9).alias("within_total"))
 
 
 def vx_norm(col):
@@ -534,6 +542,16 @@ def _(spark, d):
     return model.transform(g).select("o_orderkey", F.posexplode(vector_to_array("features")).alias("pos", "v")).select("o_orderkey", "pos", F.round("v", R).alias("value"))
 
 
+@query("a20_f19_steps", """WITH t AS (SELECT p_partkey, p_brand, p_size, p_retailprice, count(*) OVER (PARTITION BY p_brand) / count(*) OVER () AS share FROM part)
+SELECT p_partkey, round(share, 6) AS p_brand, p_size, CAST(p_size * p_size AS BIGINT) AS squared FROM t""")
+def _(spark, d):
+    """A plan of chosen steps: a frequency encoding that the encoding plan asked for, and squares."""
+    p = table(spark, d, "part").withColumn("flat", F.lit(1))
+    steps = [fe.drop_constant(), fe.encode_values({"p_brand": "frequency"}), fe.square(1)]
+    made = fe.FeaturePlan.fit(p, ["flat", "p_brand", "p_size"], "p_retailprice", ["p_partkey"], [*steps]).apply(p)
+    return made.select("p_partkey", F.round("p_brand", R).alias("p_brand"), "p_size", F.col("p_size__squared").cast("long").alias("squared"))
+
+
 @query("f_feature_plan")
 def _(spark, d):
     """The whole plan: fit on the earlier orders, apply to all of them."""

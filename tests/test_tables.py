@@ -318,12 +318,31 @@ def test_plan_learns_from_train_only_and_applies_anywhere(spark, mixed):
     plan = features.FeaturePlan.fit(x.where("row_id < 150"), feats, "target", ["row_id"])
     out = plan.apply(x)
     assert out.count() == 200
-    assert plan.constant == ["flat"] and plan.texts == ["note"] and plan.dates == ["day"] and "copy" in plan.correlated
-    assert "code" in plan.encodings and len(plan.products) == 10 and len(plan.ratios) == 6 and len(plan.squares) == 5
+    assert plan["constant"] == ["flat"] and plan["texts"] == ["note"] and plan["dates"] == ["day"] and "copy" in plan["correlated"]
+    assert "code" in plan["encodings"] and len(plan["products"]) == 10 and len(plan["ratios"]) == 6 and len(plan["squares"]) == 5
     assert {"note_length", "note_word_count", "day_weekday", "num_0__squared"} <= set(out.columns)
     changed = x.withColumn("num_1", F.when(F.col("row_id") >= 150, 1e6).otherwise(F.col("num_1")))
     again = features.FeaturePlan.fit(changed.where("row_id < 150"), feats, "target", ["row_id"])
-    assert again.caps == plan.caps and again.lambdas == plan.lambdas
+    assert again["caps"] == plan["caps"] and again["powers"] == plan["powers"]
+
+
+def test_encoding_plan_goes_on_to_the_preprocessor(spark):
+    """One-hot and hashed columns reach the preprocessor, frequency and target columns arrive there as numbers."""
+    rows = [(i, float(i % 7), f"a{i % 3}", f"b{i % 40}", f"c{i}", f"d{i % 50}", float(i % 3 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, x double, a string, b string, c string, d string, y double")
+    ways = {r["column"]: r["strategy"] for r in profile.encoding_plan(df, ["a", "b", "c"]).collect()} | {"d": "target"}
+    assert ways == {"a": "onehot", "b": "frequency", "c": "hash", "d": "target"}
+    plan = features.FeaturePlan.fit(df, ["x", "a", "b", "c", "d"], "y", ["id"], features.steps_for("light", ways))
+    made = plan.apply(df)
+    kinds = profile.column_types(made, exclude=["id", "y"])
+    assert set(kinds["numeric"]) == {"x", "b", "d"} and set(kinds["categorical"]) == {"a", "c"}
+    prep = features.fit_preprocessor(made, kinds["numeric"], kinds["categorical"], encodings=ways)
+    assert prep.transform(made).first()["features"].size == 3 + 3 + 2048
+    assert {r["b"] for r in made.select(F.round(F.col("b").cast("double"), 6).alias("b")).collect()} == {0.025}
+    names = lambda level: [s.name for s in features.steps_for(level)]
+    assert names("off") == [] and set(names("light")) < set(names("medium")) < set(names("full"))
+    with pytest.raises(ValueError):
+        features.steps_for("much")
 
 
 def test_preprocessor_scales_encodes_and_survives_unseen(spark):
