@@ -48,13 +48,16 @@ def shard_rows(
     `size` is the text's UTF-8 bytes plus 8 (NULL: 8), `text_crc32` its unsigned CRC-32 (NULL: NULL), `n_tokens` its
     words. Law `bytes`: bytes, words and rows are balanced together. Rows of one text share a shard as long as the
     group is at most a 1/`bundles` part of a shard; larger groups are cut so that a hot text can't fill a shard.
-    `slot` numbers a shard's rows from 0 without gaps; `grown_shard` is NULL under this law. Repeated rows each get
-    their own slot; NULL ids are rows like others; an empty table gives an empty one.
+    `slot` numbers a shard's rows from 0 without gaps; `grown_shard` is NULL under this law. Large groups are dealt by
+    a number that each row gets once, so rows repeated with their ids are spread like others and get their own slots;
+    which rows of a large group share a piece follows the order of the input. NULL ids are rows like others; an empty
+    table gives an empty one.
     """
     body = F.col(text).cast("string")
     base = cut_lineage(df.select(
         id_col, (F.coalesce(F.octet_length(body), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
         F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64(body).alias("__group"),
+        F.monotonically_increasing_id().alias("__row"),
     ))
     total = base.agg(F.count(F.lit(1)).alias("r"), F.sum("size").alias("b"), F.sum("n_tokens").alias("t")).first()
     most = shards * bundles
@@ -64,7 +67,7 @@ def shard_rows(
     # At most 3 x shards x bundles groups exceed a piece, so this table has a bounded size whatever the input's.
     large = groups.select("__group", F.least(pieces, F.col("r").cast("int")).alias("__pieces")).where("__pieces > 1")
     item = F.when(F.col("__pieces").isNull(), F.struct(F.lit(0).cast("long").alias("g"), F.pmod("__group", F.lit(most)).cast("int").alias("k"))).otherwise(
-        F.struct(F.col("__group").alias("g"), (1 + F.pmod(F.xxhash64(id_col, "size"), F.col("__pieces"))).cast("int").alias("k"))
+        F.struct(F.col("__group").alias("g"), (1 + F.pmod(F.xxhash64("__row"), F.col("__pieces"))).cast("int").alias("k"))
     )
     rows = base.join(F.broadcast(large), "__group", "left").withColumn("__item", F.struct(F.col("__pieces").isNotNull().alias("cut"), item.alias("at")))
     rows = rows.select(id_col, "size", "text_crc32", "n_tokens", "__group", F.col("__item.cut").alias("__c"), F.col("__item.at.g").alias("__g"), F.col("__item.at.k").alias("__k"))

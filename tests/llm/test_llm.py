@@ -97,6 +97,18 @@ def test_shards_balance_and_number_rows(spark):
     assert all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in by.values())
 
 
+def test_shards_of_one_row_repeated(spark):
+    """Thousands of copies of a row, id included, are spread like different rows."""
+    data = [(None, "hot " * 75)] * 4000 + [(k, prose(k, 1)) for k in range(2000)]
+    got = shards.shard_rows(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()
+    sizes, counts = Counter(), Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        counts[r["shard"]] += 1
+    assert len({(r["shard"], r["slot"]) for r in got}) == 6000 and len(sizes) == 24
+    assert max(sizes.values()) < 1.06 * sum(sizes.values()) / 24 and min(sizes.values()) > 0.94 * sum(sizes.values()) / 24
+
+
 def test_shards_on_odd_rows(spark, odd):
     import zlib
 
@@ -236,6 +248,16 @@ def test_decision_list_learns_planted_rules():
     assert quality.learn(np.zeros((0, 3)), np.zeros(0, bool), ["a", "b", "c"]).rules == []
 
 
+def test_decision_list_as_a_column(spark):
+    """The conditional expression gives row by row what the list gives."""
+    rng = np.random.default_rng(12)
+    x = rng.random((600, 3)).round(1)
+    rules = quality.DecisionList([[("a", ">=", 0.5), ("b", "<", 0.3)], [("b", ">=", 0.9)], [("a", "<", 0.2), ("c", ">=", 0.4), ("b", "<", 0.8)]])
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "k int, a double, b double, c double")
+    got = dict(rows(df.select("k", rules.column({c: F.col(c) for c in "abc"}))))
+    assert [got[k] for k in range(600)] == rules.match(x, list("abc")).tolist() and set(got.values()) == {0, 1, 2, 3}
+
+
 def test_quality_verdicts_on_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, None, 0), (None, 1, 0), (6, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int")
     got = quality.quality_verdicts(odd, labels).collect()
