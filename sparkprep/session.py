@@ -5,12 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders this process has written under the shared folder; released at its end.
 _OWNED: list[str] = []
+#: Lists that also get the folders handed out, the innermost `scratch_scope` last.
+_SCOPES: list[list[str]] = []
 
 
 def get_session(app: str = "sparkprep", **conf: str) -> SparkSession:
@@ -60,9 +64,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not _OWNED:
         atexit.register(release)
     _OWNED.append(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return path
 
 
+@contextmanager
+def scratch_scope(paths: list[str]) -> Iterator[list[str]]:
+    """Folders handed out meanwhile are added to `paths`, for `release(paths)` once the results that read them are written."""
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES.pop()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back, so later stages survive lost executors."""
     path = scratch_path(df.sparkSession, "stage")
@@ -70,13 +86,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release() -> int:
-    """Delete the folders handed out by `scratch_path`, when no result that reads them is needed; gives their number."""
+def release(paths: list[str] | None = None) -> int:
+    """Delete the folders handed out by `scratch_path`, all or the listed ones, when no result that reads them is needed; gives their number."""
+    paths = _OWNED if paths is None else paths
     sc = SparkContext._active_spark_context
     if sc is None or sc._jsc is None:
         return 0
     done = 0
-    while _OWNED:
-        path = sc._jvm.org.apache.hadoop.fs.Path(_OWNED.pop())
+    while paths:
+        name = paths.pop()
+        if name in _OWNED:
+            _OWNED.remove(name)
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)
         done += bool(path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True))
     return done

@@ -27,3 +27,14 @@ def test_stored_stages_are_deleted(spark):
     path = session._OWNED[-1].removeprefix("file:")
     assert os.path.isdir(path)
     assert session.release() == 1 and not os.path.isdir(path)
+
+
+def test_a_scope_releases_its_own_folders(spark):
+    session.release()
+    kept = session.cut_lineage(spark.range(3))
+    with session.scratch_scope([]) as paths:
+        session.cut_lineage(spark.range(5))
+        with session.scratch_scope([]) as inner:
+            session.cut_lineage(spark.range(7))
+    assert len(paths) == len(inner) == 1 and session.release(paths) == 1 and paths == []
+    assert kept.count() == 3 and len(session._OWNED) == 2 and session.release() == 2
