@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import null_safe_join, range_of, running_sums
+from .ordering import null_safe_join, running_sums
 
 # Columns with at most this many values are aggregated directly.
 EXACT_ROWS = 20_000
@@ -40,6 +42,7 @@ def exact_quantiles(
 def _quantiles(df: DataFrame, cols: list[str], probs: list[float], exact_rows: int, bracket_rows: int) -> dict:
     around = sorted({min(1.0, max(0.0, p + m)) for p in probs for m in (-_MARGIN, _MARGIN)})
     x = lambda c: F.col(c).cast("double")
+    df = df.select(*[F.when(~F.isnan(x(c)), x(c)).alias(c) for c in cols])
     first = df.agg(
         *[F.count(c).alias(f"{c}__n") for c in cols], *[F.percentile_approx(x(c), around, _ACCURACY).alias(f"{c}__a") for c in cols]
     ).first()
@@ -96,29 +99,51 @@ def isolated(values: Sequence[float]) -> list[float]:
     return sorted({e for v in values for e in (math.nextafter(v, -math.inf), v)})
 
 
-def _in_regions(df: DataFrame, ends: dict[str, list[float]], only: Iterable[tuple[str, int]] | None = None) -> DataFrame:
-    """(column, region, x): region r holds the values above end r - 1, up to and with end r.
+def _in_regions(df: DataFrame, ends: dict[str, list[float]], only: Iterable[tuple[str, int]]) -> DataFrame:
+    """(column, region, x) of the values in the listed (column, region) pairs, in one pass of Arrow batches.
 
-    With `only`, rows of other (column, region) pairs are left out.
+    Region r holds the values above end r - 1, up to and with end r.
     """
     kept: dict[str, list[int]] = {}
-    for c, r in only or ():
+    for c, r in only:
         kept.setdefault(c, []).append(r)
-    entries = []
-    for c, cut in ends.items():
-        if only is not None and c not in kept:
-            continue
-        x = F.col(c).cast("double")
-        region = range_of(x, cut)
-        if only is not None:
-            region = F.when(region.isin(sorted(kept[c])), region)
-        entries.append(F.struct(F.lit(c).alias("column"), F.when(x.isNotNull(), region).alias("region"), x.alias("x")))
-    return df.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e.region").isNotNull()).select("e.*")
+    cuts = {c: np.array(ends[c]) for c in kept}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (c, cut) in enumerate(cuts.items()):
+                x = batch.column(i).to_numpy(zero_copy_only=False)
+                region = np.searchsorted(cut, x)
+                hit = np.isin(region, kept[c]) & ~np.isnan(x)
+                if hit.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([c] * int(hit.sum())), pa.array(region[hit].astype(np.int32)), pa.array(x[hit])], names=["column", "region", "x"])
+
+    return df.select(*[F.col(c).cast("double").alias(f"__{i}") for i, c in enumerate(cuts)]).mapInArrow(work, "column string, region int, x double")
 
 
 def _count_regions(df: DataFrame, ends: dict[str, list[float]]) -> dict[str, list[tuple]]:
-    rows = _in_regions(df, ends).groupBy("column", "region").agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+    """Per column (region, rows, smallest, largest), counted in the tasks: no row leaves them."""
+    cuts = {c: np.array(cut) for c, cut in ends.items()}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [np.zeros(len(cut) + 1, np.int64) for cut in cuts.values()]
+        lo = [np.full(len(cut) + 1, np.inf) for cut in cuts.values()]
+        hi = [np.full(len(cut) + 1, -np.inf) for cut in cuts.values()]
+        for batch in batches:
+            for i, cut in enumerate(cuts.values()):
+                x = batch.column(i).to_numpy(zero_copy_only=False)
+                x = x[~np.isnan(x)]
+                region = np.searchsorted(cut, x)
+                n[i] += np.bincount(region, minlength=len(cut) + 1)
+                np.minimum.at(lo[i], region, x)
+                np.maximum.at(hi[i], region, x)
+        for i, c in enumerate(cuts):
+            at = np.nonzero(n[i])[0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[i][at]), pa.array(lo[i][at]), pa.array(hi[i][at])], names=["column", "region", "n", "lo", "hi"])
+
+    counted = df.select(*[F.col(c).cast("double").alias(f"__{i}") for i, c in enumerate(cuts)]).mapInArrow(work, "column string, region int, n long, lo double, hi double")
+    rows = counted.groupBy("column", "region").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
     out: dict[str, list[tuple]] = {c: [] for c in ends}
     for r in rows:
         out[r["column"]].append((r["region"], r["n"], r["lo"], r["hi"]))
