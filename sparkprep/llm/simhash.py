@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +32,12 @@ SEED = 42
 SET_SHINGLE = 5
 SIMILARITY = 0.8
 SET_RADIUS = 16
-#: Candidates of a text in a tile that the first round verifies; the second round lists all that are still apart.
+#: Radius over two fingerprints of a set, 128 bits: about 9,996 of 10,000 pairs at the least similarity are within, and 2 of 100 million others.
+WIDE_RADIUS = 33
+#: Tiles of a table at most, about, so that a row is copied to so many tile pairs at any size.
+TILES = 32
+LEAST_TILE = 256
+#: Nearest candidates of a text that the first round verifies; the second round lists all that are still apart.
 FIRST = 3
 
 
@@ -204,55 +209,73 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius:
     return alone.unionByName(first).select(*[F.col(f"`{c}`") for c in names])
 
 
+def remixed(hashes: np.ndarray) -> np.ndarray:
+    """Other 64 bits of each hash, for a second fingerprint of the same set."""
+    x = hashes * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 def shingle_sets(df: DataFrame, text: str, shingle: int, keep: list[str]) -> DataFrame:
-    """All columns `keep` and __fp, __node, __size: SimHash, key and size of each whole text's set of shingles; equal sets have equal keys."""
-    new = ["__fp", "__node", "__size"]
+    """All columns `keep` and __fp, __fp2, __node, __size: two SimHashes, key and size of each whole text's set of shingles; equal sets have equal keys."""
+    new = ["__fp", "__fp2", "__node", "__size"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(fingerprint(u), xxhash.xxh64_intdigest(u.tobytes(), SEED), len(u)) for u in (np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(len(keep)))]
-            fp, node, size = zip(*out) if out else ((), (), ())
+            sets = (np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(len(keep)))
+            out = [(fingerprint(u), fingerprint(remixed(u)), xxhash.xxh64_intdigest(u.tobytes(), SEED), len(u)) for u in sets]
+            fp, fp2, node, size = zip(*out) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(fp, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64())], names=[*keep, *new])
+                [*batch.columns[:-1], pa.array(fp, pa.int64()), pa.array(fp2, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64())], names=[*keep, *new])
 
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in new])
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(work, schema)
 
 
-def candidates(nodes: DataFrame, radius: int, similarity: float, tile: int, first: int | None) -> DataFrame:
-    """(a, b): nodes with different roots, at most `radius` bits apart, whose sizes allow the similarity.
+def candidates(nodes: DataFrame, radius: int, wide: int, similarity: float, tile: int, first: int | None) -> DataFrame:
+    """(a, b): nodes with different roots, at most `radius` bits apart in one fingerprint and `wide` in both, whose sizes allow the similarity.
 
-    `nodes` has fp, size, root and node. With `first`, a node is listed with so many others of a tile at most, chosen by a hash of both.
+    `nodes` has fp, fp2, size, root and node. With `first`, a node is listed with its `first` nearest others at most, ties by a hash of both.
     """
-    pairs = tiled(nodes, radius, tile, ["fp", "size", "root", "node"])
+    columns = ["fp", "fp2", "size", "root", "node"]
+    pairs = tiled(nodes, radius, tile, columns)
     if pairs is None:
         return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 
     def compare(table: pa.Table) -> pa.Table:
         sides, out = {}, []
         for k, right in enumerate(table.column("right").to_pylist()):
-            sides[right] = [table.column(c).combine_chunks()[k].values.to_numpy() for c in ("fp", "size", "root", "node")]
+            sides[right] = [table.column(c).combine_chunks()[k].values.to_numpy() for c in columns]
         one_tile = table.column("x")[0].as_py() == table.column("y")[0].as_py()
         if one_tile or len(sides) == 2:
-            (fp, size, root, node), (fp2, size2, root2, node2) = sides[False], sides[not one_tile]
+            (fp, other, size, root, node), (fp2, other2, size2, root2, node2) = sides[False], sides[not one_tile]
             step = max(1, (1 << 21) // max(len(fp2), 1))
             for i in range(0, len(fp), step):
                 u, v = np.nonzero(bits_apart(fp[i:i + step].view(np.uint64), fp2.view(np.uint64)) <= radius)
                 u = u + i
-                fits = (root[u] != root2[v]) & (np.minimum(size[u], size2[v]) >= similarity * np.maximum(size[u], size2[v]))
+                apart = np.bitwise_count((fp[u] ^ fp2[v]).view(np.uint64)).astype(np.int16) + np.bitwise_count((other[u] ^ other2[v]).view(np.uint64))
+                fits = (apart <= wide) & (root[u] != root2[v]) & (np.minimum(size[u], size2[v]) >= similarity * np.maximum(size[u], size2[v]))
                 if one_tile:
                     fits &= u < v
-                u, v = u[fits], v[fits]
+                u, v, apart = u[fits], v[fits], apart[fits]
+                mix = ((node[u] ^ node2[v]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                 if first is not None and len(u):
-                    mix = (node[u] ^ node2[v]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                    order = np.lexsort((mix, u))
-                    place = np.arange(len(u)) - np.searchsorted(u[order], u[order], "left")
-                    u, v = u[order][place < first], v[order][place < first]
-                out.append((node[u], node2[v]))
-        a, b = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
-        return pa.table({"a": a, "b": b})
-
-    return pairs.groupBy("x", "y").applyInArrow(compare, "a long, b long")
+                    near = np.zeros(len(u), bool)
+                    for side in (u, v):
+                        order = np.lexsort((mix, apart, side))
+                        place = np.arange(len(side)) - np.searchsorted(side[order], side[order], "left")
+                        near[order[place < first]] = True
+                    u, v, apart, mix = u[near], v[near], apart[near], mix[near]
+                out.append((node[u], node2[v], apart.astype(np.int32), mix))
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+        return pa.table(dict(zip(("a", "b", "apart", "mix"), (np.concatenate(c) for c in zip(*out, none)))))
+
+    found = pairs.groupBy("x", "y").applyInArrow(compare, "a long, b long, apart int, mix long")
+    if first is None:
+        return found.select("a", "b")
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart", "mix"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy("apart", "mix"))  # at most 2 * first rows a node and tile pair
+    return both.withColumn("place", place).where(F.col("place") <= first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, base: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
@@ -275,25 +298,29 @@ def verified(pairs: DataFrame, base: DataFrame, text: str, shingle: int, similar
 
 
 def keep_one_similar(
-    df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = SET_RADIUS, shingle: int = SET_SHINGLE, similarity: float = SIMILARITY, tile: int = TILE,
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = SET_RADIUS, wide: int = WIDE_RADIUS, shingle: int = SET_SHINGLE,
+    similarity: float = SIMILARITY, tile: int | None = None,
 ) -> DataFrame:
     """`keep_one` over texts whose sets of `shingle`-word runs have at least that Jaccard similarity.
 
-    SimHashes of the sets at most `radius` bits apart are candidates, and every link is verified on the whole sets. The
-    first round verifies a few candidates of each text; the second all candidates that verified links have not joined
-    yet, so that a crowd of near copies gives no table of all its pairs. Texts with equal sets need no link.
+    SimHashes of the sets at most `radius` bits apart, and `wide` with a second one, are candidates, and every link is
+    verified on the whole sets. The first round verifies the nearest candidates of each text; the second all candidates that
+    verified links have not joined yet, so that a crowd of near copies gives no table of all its pairs. Texts with
+    equal sets need no link. Tiles grow with the table (`tile` rows if given), so a row meets a fixed number of them.
     """
     names = df.columns
     base = cut_lineage(shingle_sets(df, text, shingle, names))
     nodes = cut_lineage(base.groupBy("__node").agg(
-        F.first("__fp").alias("fp"), F.first("__size").alias("size"), F.min(id_col).alias("__low"), F.count(F.lit(1)).alias("__n")).withColumnRenamed("__node", "node"))
+        F.first("__fp").alias("fp"), F.first("__fp2").alias("fp2"), F.first("__size").alias("size"), F.min(id_col).alias("__low"), F.count(F.lit(1)).alias("__n"),
+    ).withColumnRenamed("__node", "node"))
+    tile = tile or max(LEAST_TILE, -(-nodes.count() // TILES))
     edges = None
     for first in (FIRST, None):
         if edges is None:
             rooted = nodes.withColumn("root", F.col("node"))
         else:
             rooted = nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = verified(candidates(rooted.where("size > 0"), radius, similarity, tile, first), base, text, shingle, similarity)
+        found = verified(candidates(rooted.where("size > 0"), radius, wide, similarity, tile, first), base, text, shingle, similarity)
         edges = found if edges is None else edges.unionByName(found)
     named = nodes.join(components(edges), "node", "left").select(F.col("node").alias("__node"), F.coalesce("root", "node").alias("__root"), "__low", "__n")
     whole = named.groupBy("__root").agg(F.min("__low").alias("__least"), F.sum("__n").alias("__all")).where("__all > 1")
