@@ -102,10 +102,13 @@ def build(items: list[list[bytes]], repeats: int = REPEATS) -> list[Sketch]:
         chosen = [i for i, w in enumerate(items) if len(w) >= least and (most is None or len(w) < most)]
         if not chosen:
             continue
-        for r in range(repeats if least > 1 else 1):
+        for r in range(repeats if least > 1 else 2):
             steps = STEPS[least][r % len(STEPS[least])]
             span = max(steps) // 2 + 3 if len(steps) > 1 else 1
-            start = np.array([anchors(items[i], min(span, len(items[i])), r, repeats) for i in chosen])
+            if least > 1:
+                start = np.array([anchors(items[i], min(span, len(items[i])), r, repeats) for i in chosen])
+            else:  # single words as keys: the two longest, so that an edit of one leaves the other
+                start = np.array([sorted(range(len(w)), key=lambda k: (-len(w[k]), k))[min(r, len(w) - 1)] for w in (items[i] for i in chosen)])
             partial = [np.concatenate(x) for x in zip(*(list(walk_keys(symbols[i], start[j:j + 1], steps, r)) for j, i in enumerate(chosen)))]
             order = np.argsort(partial[-1], kind="stable")
             out.append(Sketch(

@@ -394,6 +394,23 @@ def test_leaks_recall_and_precision(spark):
     assert all(got[k] == truth[k] for k in truth if k < 300 and k % 3 == 0)
 
 
+@pytest.mark.parametrize("words", [3, 5, 6, 8, 14, 30])
+def test_leaks_of_every_length_with_edited_words(words):
+    """Recall with as many replaced words as are allowed, short items included."""
+    rng = random.Random(words)
+    items = [prose(f"short{words}-{k}", words).encode().split() for k in range(150)]
+    sketches = decontaminate.build(items)
+    texts = []
+    for item in items:
+        body = [w.decode() for w in item]
+        for at in rng.sample(range(words), decontaminate.allowed(words, 0.2)):
+            body[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join([prose(f"a{len(texts)}", 20), *body, prose(f"b{len(texts)}", 20)]))
+    found = decontaminate.search(texts, items, sketches, 0.2)
+    hits = sum(any(hit[0] == k for hit in hits) for k, hits in enumerate(found))
+    assert hits >= 0.9 * len(items) and (hits == len(items) or words > 5)
+
+
 def test_leaks_on_odd_rows(spark, odd):
     items = spark.createDataFrame([(1, prose(6, 80)), (2, "one"), (3, None)], "item_id long, text string")
     got = decontaminate.with_leaks(odd, items)
