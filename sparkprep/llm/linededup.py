@@ -7,7 +7,7 @@ the constant tokens are the line's template. Templates that recur in enough diff
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -21,6 +21,12 @@ MAX_SHARE = 0.5
 FIELD = "<*>"
 
 
+def line_words(line: Column) -> Column:
+    """`word_list` of a line without a line feed; lines that have no white space but spaces are split without a regular expression."""
+    other = line.contains("\t") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\r")
+    return F.when(other, word_list(line)).otherwise(F.array_remove(F.split(line, " "), ""))
+
+
 def recurring_lines(
     df: DataFrame, text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT,
 ) -> DataFrame:
@@ -31,7 +37,7 @@ def recurring_lines(
     """
     body = F.col(text).cast("string")
     lines = df.select(text_key(body).alias("key"), F.xxhash64(body).alias("doc"), F.posexplode(F.split(body, "\n")).alias("line", "s")).select(
-        "key", "doc", "line", word_list(F.col("s")).alias("tokens")
+        "key", "doc", "line", F.explode(F.array(line_words(F.col("s")))).alias("tokens")  # exploded, so that a filter below doesn't split again
     ).where(F.size("tokens") >= min_tokens)
     lead = F.transform(F.slice("tokens", 1, depth), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
     lines = lines.withColumn("leaf", F.xxhash64(F.size("tokens"), lead))
@@ -85,7 +91,7 @@ def template_lines(
     """
     body = F.col(text).cast("string")
     lines = df.select(text_key(body).alias("key"), F.xxhash64(body).alias("doc"), F.posexplode(F.split(body, "\n")).alias("line", "s")).select(
-        "key", "doc", "line", word_list(F.col("s")).alias("tokens")
+        "key", "doc", "line", F.explode(F.array(line_words(F.col("s")))).alias("tokens")  # exploded, so that a filter below doesn't split again
     ).where(F.size("tokens") > 0)
     lead = F.transform(F.slice("tokens", 1, depth), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
     lead = F.when(F.size("tokens") >= min_tokens, lead).otherwise(F.col("tokens"))
