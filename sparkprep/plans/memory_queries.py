@@ -14,7 +14,7 @@ from ..functions import catalog as cat
 from ..functions import vectors as vx
 from ..operators import memory as mem
 from ..operators import neighbors as nb
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import tables
 from .registry import query, table
 
@@ -69,7 +69,7 @@ def knn(spark, d, k=K, metric="l2"):
 
 def neighbors(spark, d, k=K):
     rec = records(spark, d)
-    return nb.with_records(knn(spark, d, k), rec, "vec_id")
+    return nb.with_records(cut_lineage(knn(spark, d, k)), rec, "vec_id")  # read by several branches of a query
 
 
 @query("j4_knn_join", f"WITH {KNN_SQL} SELECT query_id, memory_id, round(distance, 6) AS distance, rank FROM knn")

@@ -243,3 +243,44 @@ def test_kernels_run_without_the_package(tmp_path):
     )
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert out.stdout.strip() == "[0, 1, 2] False", out.stderr
+
+
+@pytest.mark.parametrize("dim", [3, 32])
+def test_kernel_with_leaves_is_exact(monkeypatch, dim):
+    rng = np.random.default_rng(dim)
+    monkeypatch.setattr(nb, "LEAF", 16)
+    monkeypatch.setattr(nb, "GROUP", 8)
+    m = np.round(rng.normal(size=(900, dim)), 1)
+    m[::9] = m[0]
+    m[5] = np.nan
+    ids = rng.permutation(900)
+    for metric in nb.METRICS:
+        pos, found, score, _ = nb._block_top_k(ids[:90], m[:90], ids, m, 7, metric, True)
+        for i in range(90):
+            s = nb._score(np.repeat(m[i:i + 1], 900, axis=0), m, metric)
+            want = sorted((float(v), int(j)) for v, j in zip(s, ids) if np.isfinite(v) and j != ids[i])[:7]
+            assert sorted(zip(score[pos == i].tolist(), found[pos == i].tolist())) == want
+
+
+def test_low_dimensions_meet_few_rows(monkeypatch):
+    """Rows of the memory are left out by leaf: of 8,000 x 8,000 pairs in the plane less than a tenth are multiplied."""
+    x, ids = np.random.default_rng(0).random((8000, 2)), np.arange(8000)
+    memory = nb.Memory(ids, x, "l2", False)
+    met = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            met.append(len(at))
+            return np.asarray(self)[at]
+
+    memory.right = memory.right.view(Counted)
+    nb._block_top_k(ids, x, ids, x, 5, "l2", False, memory)
+    assert 0 < sum(met) * nb.GROUP < 0.1 * 8000 * 8000
+
+
+def test_queries_of_one_file_are_searched_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(nb, "TASK_PAIRS", 40_000)
+    df = vec_df(spark, np.random.default_rng(2).normal(size=(1000, 3))).coalesce(1)
+    q, m, n, _, _ = nb._sides(df, df, "id", "id", "embedding")
+    best = nb._against_memory(q, m, n, 3, "l2", True, nb._found_schema(q, m))
+    assert best.select(F.spark_partition_id()).distinct().count() > 4
