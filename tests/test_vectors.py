@@ -263,8 +263,8 @@ def test_kernel_with_leaves_is_exact(monkeypatch, dim):
 
 
 def test_low_dimensions_meet_few_rows(monkeypatch):
-    """Rows of the memory are left out by leaf: of 8,000 x 8,000 pairs in the plane less than a tenth are multiplied."""
-    x, ids = np.random.default_rng(0).random((8000, 2)), np.arange(8000)
+    """Rows of the memory are left out by leaf: of 40,000 x 40,000 pairs in the plane less than a tenth are multiplied."""
+    x, ids = np.random.default_rng(0).random((40_000, 2)), np.arange(40_000)
     memory = nb.Memory(ids, x, "l2", False)
     met = []
 
@@ -275,7 +275,7 @@ def test_low_dimensions_meet_few_rows(monkeypatch):
 
     memory.right = memory.right.view(Counted)
     nb._block_top_k(ids, x, ids, x, 5, "l2", False, memory)
-    assert 0 < sum(met) * nb.GROUP < 0.1 * 8000 * 8000
+    assert 0 < sum(met) * nb.GROUP < 0.1 * 40_000 * 40_000
 
 
 def test_queries_of_one_file_are_searched_by_many_tasks(spark, monkeypatch):
