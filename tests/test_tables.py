@@ -428,3 +428,14 @@ def test_ranges_follow_the_shuffle_width(spark, skewed):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     narrow = ordering.hash_rank(skewed, ["cls"], ["id"], 7).toPandas()
     assert seeded.sort_values("id")["rank"].tolist() == narrow.sort_values("id")["rank"].tolist()
+
+
+def test_narrow_types_hold_larger_values_of_other_rows(spark):
+    train = spark.createDataFrame([(1, 5, 0), (2, 90, 1), (3, 7, 1)], "id long, x long, y long")
+    plan = features.FeaturePlan.fit(train, ["x"], "y", ["id"], [features.narrow_types()])
+    assert plan["types"] == {"x": "tinyint"}
+    out = plan.apply(spark.createDataFrame([(4, 3_000_000_000, 0), (5, None, 1)], "id long, x long, y long"))
+    assert dict(out.dtypes)["x"] == "bigint" and [r["x"] for r in out.orderBy("id").collect()] == [3_000_000_000, None]
+    assert dict(plan.apply(train).dtypes)["x"] == "tinyint"
+    small = clean.downcast(spark.createDataFrame([(300,)], "x long"), {"x": "tinyint"})
+    assert small.dtypes == [("x", "smallint")] and small.first()["x"] == 300
