@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkprep.functions import vectors as vx
+from sparkprep.operators import cells
 from sparkprep.operators import memory as mem
 from sparkprep.operators import neighbors as nb
 from sparkprep.plans.memory_queries import sample_weights
@@ -284,3 +285,14 @@ def test_queries_of_one_file_are_searched_by_many_tasks(spark, monkeypatch):
     q, m, n, _, _ = nb._sides(df, df, "id", "id", "embedding")
     best = nb._against_memory(q, m, n, 3, "l2", True, nb._found_schema(q, m))
     assert best.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_a_vector_is_sent_once_to_the_cells_of_a_block(spark):
+    df = vec_df(spark, np.random.default_rng(5).normal(size=(300, 4))).select("id", F.col("embedding").cast("array<double>").alias("vec"))
+    index = cells.build(df, 12, 300, 4, 1000)
+    sent = cells.calls(df, index, 3, None, 0, 8)
+    assert sent.count() == 300 and {r[0] for r in sent.select(F.size("cells")).distinct().collect()} == {8}
+    index.per_block = 10
+    first, pieces = cells.blocks(index)
+    assert all(-(-n // p) <= 10 for n, p in zip(index.counts, pieces)) and first[0] == 0
+    assert sorted(np.concatenate([np.arange(f, f + p) for f, p in zip(first, pieces) if p > 1])) == sorted({b for f, p in zip(first, pieces) if p > 1 for b in range(f, f + p)})
