@@ -275,22 +275,31 @@ def binned(rows: DataFrame, bins: int = BINS) -> DataFrame:
     return joined.withColumn("bins", place).drop("__cuts")
 
 
-def descend(bins: Column, splits: Column, fold: Column | int, levels: int) -> Column:
-    """(node, value) that a row reaches in its dataset's tree without `fold`: 0 for a node that isn't split further.
+def descend(rows: DataFrame, found: DataFrame, level: int, cv: int) -> DataFrame:
+    """`rows` one level deeper in their dataset's trees: `nodes` by fold, 0 below a node that isn't split, and `value` in the tree without the row's own fold.
 
-    `splits` maps fold and node to feature, bin and the values of both sides.
+    `found` has the splits of this level's nodes. They are joined as arrays, so that a row looks its node up by position.
     """
-    base = (F.lit(fold) if isinstance(fold, int) else fold) * _NODE
-
-    def step(at: Column, _) -> Column:
-        split = F.try_element_at(splits, base + at["node"])
-        right = F.element_at(bins, split["feature"] + 1) > split["bin"]
-        return F.when((at["node"] > 0) & split.isNotNull() & (split["feature"] >= 0), F.struct(
-            (2 * at["node"] + right.cast("int")).alias("node"), F.when(right, split["right"]).otherwise(split["left"]).alias("value"),
-        )).otherwise(F.struct(F.lit(0).alias("node"), at["value"].alias("value")))
-
-    root = F.try_element_at(splits, base + 1)["value"]
-    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)) if levels else F.array().cast("array<int>"), F.struct(F.lit(1).alias("node"), root.alias("value")), step)
+    width = 1 << level
+    slot = F.floor(F.col("place") / _NODE).cast("int") * width + F.col("place") % _NODE - width
+    entries = found.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct(slot, F.struct("feature", "bin", "value", "left", "right")))).alias("m"))
+    names = {"feature": "__feature", "bin": "__bin", "left": "__left", "right": "__right"} | ({} if level else {"value": "__root"})
+    slots = F.transform(F.sequence(F.lit(0), F.lit(cv * width - 1)), lambda i: F.try_element_at("m", i))
+    tables = entries.select("dataset", slots.alias("slots")).select("dataset", *[F.col(f"slots.{c}").alias(n) for c, n in names.items()])
+    met = null_safe_join(rows, tables, ["dataset"], "inner")
+
+    def step(fold: Column | int, inner: bool) -> Column:
+        """Below the node of a row in a tree: the node's number (`inner`) or the value there, which stays where nothing is split."""
+        node = F.get("nodes", fold if isinstance(fold, Column) else F.lit(fold))
+        at = node + (fold - 1) * width
+        feature = F.get("__feature", at)
+        right = F.get("bins", feature) > F.get("__bin", at)
+        if inner:
+            return F.when((node > 0) & (feature >= 0), 2 * node + right.cast("int")).otherwise(0)
+        stays = F.col("value") if level else F.get("__root", at)
+        return F.when((node > 0) & (feature >= 0), F.when(right, F.get("__right", at)).otherwise(F.get("__left", at))).otherwise(stays)
+
+    return met.withColumn("value", step(F.col("fold"), False)).withColumn("nodes", F.array(*[step(F.lit(f), True) for f in range(cv)])).drop(*names.values())
 
 
 def best_split(sums: np.ndarray, classes: int) -> tuple[int, int, float, float, float]:
@@ -320,28 +329,31 @@ def best_split(sums: np.ndarray, classes: int) -> tuple[int, int, float, float,
 
 
 def grow_trees(rows: DataFrame, cv: int, depth: int = DEPTH, bins: int = BINS) -> DataFrame:
-    """(dataset, splits): the trees of every dataset without each fold in turn, as a map for `descend`."""
+    """`rows` with `value`: what the tree of their dataset without their own fold gives them, NULL where it has no rows.
+
+    The trees of every dataset without each fold in turn grow level by level; rows are stored with the nodes they are in.
+    """
     kind = rows.schema["dataset"].dataType.simpleString()
     shape = f"dataset {kind}, place int, feature int, bin int, value double, left double, right double"
-    done: DataFrame | None = None
-    trees: DataFrame | None = None
 
     def make(key: tuple, columns: list[np.ndarray]) -> dict:
         fold, label, places, nodes = columns
         places = places.astype(np.int64)
         p, kinds = places.shape[1], key[1] or 3
+        size = p * bins * kinds
         cell = (np.arange(p) * bins + places) * kinds
         out = {}
         for f in range(cv):
             inside = (fold != f) & (nodes[:, f] > 0)
-            for node in np.unique(nodes[inside, f]):
-                ours = inside & (nodes[:, f] == node)
-                if key[1]:
-                    hist = np.bincount((cell[ours] + label[ours, None].astype(np.int64)).ravel(), minlength=p * bins * kinds)
-                else:
-                    y = np.repeat(label[ours], p)
-                    hist = sum((np.bincount(cell[ours].ravel() + k, y**k, p * bins * kinds) for k in range(3)), np.zeros(p * bins * kinds))
-                out[(int(f * _NODE + node),)] = hist.astype(float)
+            met, which = np.unique(nodes[inside, f], return_inverse=True)
+            at = cell[inside] + which[:, None] * size
+            if key[1]:
+                hist = np.bincount((at + label[inside, None].astype(np.int64)).ravel(), minlength=len(met) * size)
+            else:
+                y = np.repeat(label[inside], p)
+                hist = sum((np.bincount(at.ravel() + k, y**k, len(met) * size) for k in range(3)), np.zeros(len(met) * size))
+            for node, own in zip(met, hist.astype(float).reshape(len(met), size)):
+                out[(int(f * _NODE + node),)] = own.copy()
         return out
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,18 +364,14 @@ def grow_trees(rows: DataFrame, cv: int, depth: int = DEPTH, bins: int = BINS) -
                 [batch.column(0), batch.column(2), *(pa.array(c, pa.int32()) for c in columns[:2]), *(pa.array(c, pa.float64()) for c in columns[2:])],
                 names=["dataset", "place", "feature", "bin", "value", "left", "right"])
 
+    now = rows.withColumns({"nodes": F.array(*[F.lit(1)] * cv), "value": F.lit(None).cast("double")})
     for level in range(depth):
-        if trees is None:
-            now = rows.withColumn("nodes", F.array(*[F.lit(1)] * cv))
-        else:
-            now = null_safe_join(rows, trees, ["dataset"], "inner").withColumn("nodes", F.array(*[descend(F.col("bins"), F.col("splits"), f, level)["node"] for f in range(cv)]))
         hist = merge_sums(task_sums(now, ["dataset", "classes"], ["fold", "label", "bins", "nodes"], make, [T.StructField("place", T.IntegerType())]), ["dataset", "classes", "place"])
         found = cut_lineage(hist.select("dataset", "classes", "place", "sums").mapInArrow(choose, shape))
-        done = found if done is None else done.unionByName(found)
-        trees = cut_lineage(done.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct("place", F.struct("feature", "bin", "value", "left", "right")))).alias("splits")))
+        now = cut_lineage(descend(now, found, level, cv))
         if not found.where("feature >= 0").limit(1).count():
             break
-    return trees
+    return now
 
 
 # ---- scores -------------------------------------------------------------------------------------
@@ -396,10 +404,8 @@ def grouped_scores(rows: DataFrame, names: Sequence[str] | None = None, cv: int
     trees = {"classification": "dt_clf", "regression": "dt_reg"}
     if wanted & set(trees.values()):
         ours = rows.where(F.col("problem").isin([k for k, n in trees.items() if n in wanted]))
-        placed = cut_lineage(binned(ours, bins))
-        met = null_safe_join(placed, grow_trees(placed, cv, depth, bins), ["dataset"], "inner")
-        value = descend(F.col("bins"), F.col("splits"), F.col("fold"), depth)["value"]
-        out.append(predicted_scores(met, {n: F.when(F.col("problem") == k, value) for k, n in trees.items() if n in wanted}))
+        grown = grow_trees(cut_lineage(binned(ours, bins).drop("x")), cv, depth, bins)
+        out.append(predicted_scores(grown, {n: F.when(F.col("problem") == k, F.col("value")) for k, n in trees.items() if n in wanted}))
     if not out:
         raise ValueError(f"none of {sorted(wanted)} is fitted from grouped statistics")
     every = out[0]

@@ -234,3 +234,29 @@ def test_correlations_of_wide_tables(spark):
                 assert corr == pytest.approx(np.corrcoef(x[both, a], x[both, b])[0, 1], abs=1e-7)
     few = {tuple(r[:2]): r["corr"] for r in profile.corr_pairs(df, [("c0", "c1"), ("c3", "c7")]).collect()}
     assert few["c0", "c1"] == pytest.approx({tuple(r[:2]): r["corr"] for r in profile.corr_products(df, names).collect()}["c0", "c1"], abs=1e-9) and few["c3", "c7"] is None
+
+
+def test_grown_trees_carry_their_rows_along(rows, monkeypatch):
+    """Every level reads the nodes that the level before stored, and joins that level's splits only; `value` is what a plain descent gives."""
+    levels = []
+    down = g.descend
+
+    def seen(now, found, level, cv):
+        levels.append((level, found.collect(), now.columns))
+        return down(now, found, level, cv)
+
+    monkeypatch.setattr(g, "descend", seen)
+    got = g.grow_trees(g.binned(rows, 8), 3, 3, 8).collect()
+    assert [x[0] for x in levels] == [0, 1, 2] and all("nodes" in x[2] for x in levels)
+    assert all(1 << k <= r["place"] % g._NODE < 2 << k for k, found, _ in levels for r in found)
+    splits = {(r["dataset"], *divmod(r["place"], g._NODE)): r for _, found, _ in levels for r in found}
+    assert len(got) == rows.count()
+    for r in got:
+        node, value = 1, None
+        while (s := splits.get((r["dataset"], r["fold"], node))) is not None:
+            value = s["value"] if node == 1 else value
+            if s["feature"] < 0:
+                break
+            right = r["bins"][s["feature"]] > s["bin"]
+            node, value = 2 * node + right, s["right" if right else "left"]
+        assert r["value"] == value
