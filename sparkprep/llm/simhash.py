@@ -37,6 +37,8 @@ WIDE_RADIUS = 33
 #: Tiles of a table at most, about, so that a row is copied to so many tile pairs at any size.
 TILES = 32
 LEAST_TILE = 256
+#: Elements of the sets of a block, about, and its sets at most, when candidates are verified.
+BLOCK, BLOCK_SETS = 1 << 20, 512
 #: Nearest candidates of a text that the first round verifies; the second round lists all that are still apart.
 FIRST = 3
 
@@ -292,9 +294,34 @@ def verified(pairs: DataFrame, base: DataFrame, text: str, shingle: int, similar
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     sets = cut_lineage(texts.mapInArrow(work, "node long, set array<long>"))
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
-    both = F.size(F.array_intersect("s", "t"))
-    return cut_lineage(met.where(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("a", "b"))
+    met = blocks(pairs, sets)
+    needed = met.select("x", "y", F.col("a").alias("node")).unionByName(met.select("x", "y", F.col("b").alias("node"))).distinct().join(sets, "node").toDF("node", "u", "v", "set")
+
+    def compare(links_: pa.Table, members: pa.Table) -> pa.Table:
+        own = {n: v.values.to_numpy() for n, v in zip(members.column("node").to_pylist(), members.column("set"))}
+        near = np.zeros(links_.num_rows, bool)
+        for i, (a, b) in enumerate(zip(links_.column("a").to_pylist(), links_.column("b").to_pylist())):
+            both = len(np.intersect1d(own[a], own[b], assume_unique=True))
+            near[i] = both >= similarity * (len(own[a]) + len(own[b]) - both)
+        return links_.select(["a", "b"]).filter(pa.array(near))
+
+    return cut_lineage(met.groupBy("x", "y").cogroup(needed.groupBy("u", "v")).applyInArrow(compare, "a long, b long"))
+
+
+def blocks(pairs: DataFrame, sets: DataFrame, elements: int = BLOCK, most: int = BLOCK_SETS) -> DataFrame:
+    """`pairs` with x and y, the blocks of both nodes; every pair is in one group (x, y).
+
+    Nodes whose neighbours lead to one smallest node share blocks, so a family of candidates sends each of its sets to a few
+    groups and not to each of its pairs. A block has about so many `elements`, and `most` sets, so large families have many.
+    """
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("b"), F.least("a", "low").alias("low"))
+    family = both.join(first, "b").groupBy(F.col("a").alias("node")).agg(F.min("low").alias("family"))
+    sized = family.join(sets.select("node", F.size("set").alias("n")), "node")
+    counts = sized.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / elements), F.ceil(F.count(F.lit(1)) / most)).alias("parts"))
+    places = cut_lineage(sized.join(counts, "family").select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")))
+    met = pairs.join(places.select(F.col("node").alias("a"), F.col("block").alias("p")), "a").join(places.select(F.col("node").alias("b"), F.col("block").alias("q")), "b")
+    return cut_lineage(met.select("a", "b", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")))
 
 
 def keep_one_similar(

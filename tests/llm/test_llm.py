@@ -545,3 +545,30 @@ def test_pipeline_stages(spark):
     assert all((a ^ b).bit_count() > 4 for k, a in enumerate(fps) for b in fps[:k])
     end = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
     assert {r["doc_id"] for r in end} == set(texts) and all(r["round_trip"] for r in end)
+
+
+def test_families_of_candidates_share_blocks(spark):
+    """A family of texts that are all candidates of each other sends each set to few groups, not to each of its pairs; no pair is lost."""
+    nodes = [7 * k - 100 for k in range(60)]
+    pairs = {(a, b) for i, a in enumerate(nodes) for b in nodes[:i]} | {(5000, 6000), (9000, 8000)}
+    sets = spark.createDataFrame([(n, list(range(n % 5, 40))) for n in {n for p in pairs for n in p}], "node long, set array<long>")
+    table = spark.createDataFrame(sorted(pairs), "a long, b long")
+    for how, most in (({}, 60), ({"elements": 800}, 60 * 8), ({"most": 10}, 60 * 14)):
+        got = simhash.blocks(table, sets, **how).collect()
+        assert len(got) == len(pairs) and {(r["a"], r["b"]) for r in got} == pairs
+        sent = {(n, r["x"], r["y"]) for r in got for n in (r["a"], r["b"])}
+        assert len([s for s in sent if s[0] in nodes]) <= most
+        assert len({r["x"] for r in got}) > 1
+
+
+def test_verified_pairs_against_brute_force(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    texts = [" ".join(base[:k] + [f"z{i}x{j}" for j in range(80 - k)]) for i, k in enumerate(list(range(40, 80, 3)) + [80, 79, 78])]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    want = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert 0 < len(want) < len(pairs)
+    rows = spark.createDataFrame(list(enumerate(texts)), "__node long, text string")
+    got = simhash.verified(spark.createDataFrame(pairs, "a long, b long"), rows, "text", 5, 0.8).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
