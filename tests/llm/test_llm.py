@@ -456,6 +456,34 @@ def test_repeated_passages(spark):
         assert any(passage in " ".join(texts[k].split()[p["from_word"]:p["to_word"]]) for p in got[k]["passages"])
 
 
+def test_every_text_of_a_shared_run_is_linked(spark):
+    """Texts with one passage are all linked, whichever key leads it, and where a text holds a min-hash twice."""
+    rng = random.Random(3)
+    passage, other = prose("p", 50), prose("o", 55)
+    data = [(k, f"{prose(f'x{k}', rng.randrange(20, 90))} {passage} {prose(f'y{k}', 60)}") for k in range(30)]
+    data += [(k, f"{prose(f'x{k}', 30)} {other} {prose(f'y{k}', 25)} {passage if k < 105 else ''}") for k in range(100, 110)]
+    broken = passage.split()
+    data += [(200, f"{' '.join(broken[:30])} {prose('z', 40)} {' '.join(broken[20:])} {prose('zz', 30)} {passage}")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substrings.repeated_passages(df).collect()}
+    assert set(got) == {*range(30), *range(100, 110), 200} and {r["class_id"] for r in got.values()} == {0}
+    want = {**{k: 35 for k in range(30)}, **{k: 40 for k in range(100, 105)}, **{k: 9 for k in range(105, 110)}, 200: 35}
+    assert {k: r["n_links"] for k, r in got.items()} == want
+    texts = dict(data)
+    for k, r in got.items():
+        words = texts[k].split()
+        assert any((passage if k < 105 or k == 200 else other) in " ".join(words[p["from_word"]:p["to_word"]]) for p in r["passages"])
+
+
+def test_link_counts_against_brute_force(spark):
+    rng = random.Random(4)
+    member = {(rng.randrange(12), rng.randrange(60)) for _ in range(150)} | {(50, k) for k in (70, 71)}
+    df = spark.createDataFrame(sorted(member), "class long, key long")
+    want = {k: len({b for c, a in member if a == k for d, b in member if d == c} - {k}) for k in {k for _, k in member}}
+    for block in (8, 1000):
+        assert {r["key"]: r["n_links"] for r in substrings.link_counts(df, block).collect()} == want
+
+
 def test_repeated_passages_on_odd_rows(spark, odd):
     got = {r["doc_id"]: r["class_id"] for r in substrings.repeated_passages(odd).collect()}
     assert got == {6: 6, 7: 6}
