@@ -484,6 +484,31 @@ def test_link_counts_against_brute_force(spark):
         assert {r["key"]: r["n_links"] for r in substrings.link_counts(df, block).collect()} == want
 
 
+def test_links_of_components_meet_once(spark):
+    """Class lists and members of a component that fits a block go to one place, however many components there are."""
+    member = [(10 * g + c, 100 * g + k) for g in range(40) for k in range(12) for c in range(4) if (k + c) % 3]
+    df = spark.createDataFrame(member, "class long, key long")
+    roots = spark.createDataFrame([(100 * g + k, 100 * g) for g in range(40) for k in range(12)], "node long, root long")
+    for block, times in ((64, 1), (8, 4)):
+        _, kinds, lists, members = substrings.link_blocks(df, roots, block)
+        several = kinds.where(F.size("classes") > 1).selectExpr("sum(size(classes))").first()[0]
+        assert several <= lists.count() <= times * several and members.count() <= times * len(member)
+    want = {k: len({b for c, a in member if a == k for d, b in member if d == c} - {k}) for k in {k for _, k in member}}
+    for given in (roots, None):
+        assert {r["key"]: r["n_links"] for r in substrings.link_counts(df, 64, given).collect()} == want
+
+
+def test_unions_of_classes_against_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        rows = np.unique(rng.integers(0, [12, 40], (120, 2)), axis=0)
+        lists = np.unique(rng.integers(0, [15, 14], (60, 2)), axis=0)
+        lists = lists[rng.permutation(len(lists))]
+        kind, n = substrings.class_unions(lists[:, 0], lists[:, 1], rows[:, 0], rows[:, 1])
+        want = {k: len(set(rows[np.isin(rows[:, 0], lists[lists[:, 0] == k, 1]), 1])) for k in lists[:, 0]}
+        assert dict(zip(kind, n)) == {k: v for k, v in want.items() if v}
+
+
 def test_repeated_passages_on_odd_rows(spark, odd):
     got = {r["doc_id"]: r["class_id"] for r in substrings.repeated_passages(odd).collect()}
     assert got == {6: 6, 7: 6}
