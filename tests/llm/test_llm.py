@@ -439,6 +439,16 @@ def test_compact_windows_against_brute_force():
         assert set(zip(*(x.tolist() for x in substrings.compact_windows(v, doc, 9)))) == want
 
 
+def test_verify_finds_every_passage():
+    """Several passages of a pair are found, changed ones and repeats included, and none where the parts are too different."""
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 2**62, 400).astype(np.uint64), rng.integers(0, 2**62, 300).astype(np.uint64)
+    assert substrings.verify(a, b, 0.8, 46) == [] == substrings.verify(a[:0], b, 0.8, 46)
+    b[10:70], b[100:150], b[200:245] = a[320:380], a[20:70], a[200:245]
+    b[40] = 1
+    assert substrings.verify(a, b, 0.8, 46) == [(20, 70, 100, 150), (320, 380, 10, 70)]
+
+
 def test_repeated_passages(spark):
     rng = random.Random(8)
     passage, near = prose("p", 60), prose("q", 120).split()
