@@ -485,6 +485,51 @@ def test_every_text_of_a_shared_run_is_linked(spark):
         assert any((passage if k < 105 or k == 200 else other) in " ".join(words[p["from_word"]:p["to_word"]]) for p in r["passages"])
 
 
+def test_all_pairs_of_an_edited_passage_are_verified(spark):
+    """Texts whose shared passage has no unbroken run of 50 words are linked to each other, not to the smallest and largest key only."""
+    rng, texts = random.Random(12), []
+    words = prose("q", 84).split()
+    for k in range(24):
+        edited = list(words)
+        edited[40 + k % 8] = f"changed{k}"
+        # A shingle of the passage stands alone in other texts, so the leaders of its min-hash need not hold the passage.
+        texts.append(f"{prose(f'x{k}', rng.randrange(50, 120))} {' '.join(edited)} {prose(f'y{k}', 60)}")
+        texts.append(f"{prose(f'z{k}', 60)} {' '.join(words[3 * k:3 * k + 6])} {prose(f'w{k}', 60)}")
+    texts.append(f"{prose('v', 70)} {texts[0]} {prose('u', 90)} {' '.join(texts[2].split()[30:])}")  # the passage at two places
+    found = {}
+    for text in texts:
+        tokens = substrings.shingles(text)
+        for f in range(substrings.FUNCTIONS):
+            v = substrings.mixed(tokens, 1000 + f)
+            for left, c, right in zip(*substrings.compact_windows(v, np.zeros(len(v), np.int64), 46)):
+                found.setdefault(text, []).append((f, int(v[c]), int(c), int(left), int(right)))
+    want = set()
+    for s, t in ((s, t) for s in texts for t in texts if s < t):
+        met = []
+        for f, v, c, left, right in found[s]:
+            for g, w, o, low, high in found[t]:
+                x, y = max(left, low + c - o), min(right, high + c - o)
+                if v == w and y - x + 1 >= 23:
+                    met.append((f, x, y, x - c + o, y - c + o))
+        runs = []
+        for f, x, y, low, high in sorted(met):
+            near = [r for r in runs if r[1] <= y and x <= r[2]]
+            runs = [r for r in runs if r not in near] + [tuple(g(c) for g, c in zip((lambda c: set().union(*c), min, max, min, max), zip(({f}, x, y, low, high), *near)))]
+        cut = lambda text, x, y: substrings.shingles(text)[max(x - 46, 0):y + 47]
+        if any(len(f) > 1 and substrings.verify(cut(s, ax, ay), cut(t, bx, by), 0.8, 46) for f, ax, ay, bx, by in runs):
+            want.add(frozenset((s, t)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {substrings.text_key(t): t for t in texts}
+    pairs = substrings.passage_pairs(df).collect()
+    assert {frozenset((keys[r["a"]], keys[r["b"]])) for r in pairs} == want and len(want) > 80
+    linked = {r["doc_id"]: r["n_links"] for r in substrings.repeated_passages(df).collect()}
+    runs = lambda t: {tuple(t.split()[i:i + 50]) for i in range(len(t.split()) - 49)}
+    unbroken = [runs(t) for t in texts]
+    for i, s in enumerate(texts):
+        others = {j for j, t in enumerate(texts) if j != i and (frozenset((s, t)) in want or unbroken[i] & unbroken[j])}
+        assert linked.get(i, 0) == len(others)
+
+
 def test_link_counts_against_brute_force(spark):
     rng = random.Random(4)
     member = {(rng.randrange(12), rng.randrange(60)) for _ in range(150)} | {(50, k) for k in (70, 71)}
