@@ -7,6 +7,7 @@ tile pairs further apart are never formed.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ WIDE_RADIUS = 33
 #: Tiles of a table at most, about, so that a row is copied to so many tile pairs at any size.
 TILES = 32
 LEAST_TILE = 256
+#: Sizes of sets are told apart by powers of this when they are dealt to tiles.
+SIZE_STEP = 1.03
 #: Elements of the sets of a block, about, and its sets at most, when candidates are verified.
 BLOCK, BLOCK_SETS = 1 << 20, 512
 #: Nearest candidates of a text that the first round verifies; the second round lists all that are still apart.
@@ -114,15 +117,19 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nda
     return nodes[moved], nodes[label[moved]]
 
 
-def tiled(nodes: DataFrame, radius: int, tile: int, columns: list[str]) -> DataFrame | None:
-    """(x, y, right, columns): the tile pairs to compare and, as arrays, the `columns` (`fp` first) of either side; None without rows."""
-    pop = F.bit_count("fp").cast("int")
-    counts = {r["p"]: r["count"] for r in nodes.groupBy(pop.alias("p")).count().collect()}  # at most 65 rows
+def tiled(nodes: DataFrame, reach: int, tile: int, columns: list[str], place: Column | None = None) -> DataFrame | None:
+    """(x, y, right, columns): the tile pairs to compare and, as arrays, the `columns` of either side; None without rows.
+
+    Rows meet those whose `place`, a number from 0 to a few hundred, is at most `reach` from theirs: the population count of `fp` if not given.
+    """
+    place = (F.bit_count("fp") if place is None else place).cast("int")
+    counts = {r["p"]: r["count"] for r in nodes.groupBy(place.alias("p")).count().collect()}  # a row for each place
     if not counts:
         return None
-    # Tiles in order of population count: a frequent count has several of its own, rare counts share one.
-    first, slices, n, room = [0] * 65, [1] * 65, 0, tile
-    for p in range(65):
+    # Tiles in order of place: a frequent one has several of its own, rare ones share one.
+    size = max(counts) + 1
+    first, slices, n, room = [0] * size, [1] * size, 0, tile
+    for p in range(size):
         c = counts.get(p, 0)
         if c > tile:
             first[p], slices[p] = n + 1, -(-c // tile)
@@ -130,15 +137,15 @@ def tiled(nodes: DataFrame, radius: int, tile: int, columns: list[str]) -> DataF
         else:
             n, room = (n, room - c) if c <= room else (n + 1, tile - c)
             first[p] = n
-    # A tile reaches those that hold a count at most `radius` from one of its own: a run of tiles.
+    # A tile reaches those that hold a place at most `reach` from one of its own: a run of tiles.
     lo, hi = {}, {}
-    for p in range(65):
-        q = min(64, p + radius)
-        lo[first[p]] = min(lo.get(first[p], n), first[max(0, p - radius)])
+    for p in range(size):
+        q = min(size - 1, p + reach)
+        lo[first[p]] = min(lo.get(first[p], n), first[max(0, p - reach)])
         hi[first[p]] = max(hi.get(first[p], 0), first[q] + slices[q] - 1)
 
     def at(values: list[int]) -> Column:
-        return F.element_at(F.array(*map(F.lit, values)), pop + 1)
+        return F.element_at(F.lit(np.array(values, np.int32)), place + 1)
 
     tiles = nodes.select(
         *columns, (at(first) + F.pmod(F.xxhash64(columns[-1]), at(slices))).cast("int").alias("tile"),
@@ -148,7 +155,7 @@ def tiled(nodes: DataFrame, radius: int, tile: int, columns: list[str]) -> DataF
         F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), (F.col("tile") > F.col("other")).alias("right"), *columns
     )
     # Comparing costs the square of a tile and little to move, so tasks are set by tile pairs and not by bytes.
-    n_pairs = sum(slices[p] * (hi[t] - lo[t] + 1) for t, p in {first[p]: p for p in range(65)}.items()) // 2 + 1
+    n_pairs = sum(slices[p] * (hi[t] - lo[t] + 1) for t, p in {first[p]: p for p in range(size)}.items()) // 2 + 1
     return pairs.repartition(max(1, min(n_pairs // 8, 10_000)), "x", "y")
 
 
@@ -234,27 +241,40 @@ def shingle_sets(df: DataFrame, text: str, shingle: int, keep: list[str]) -> Dat
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(work, schema)
 
 
+def sized_tiles(nodes: DataFrame, similarity: float, tile: int, columns: list[str]) -> DataFrame | None:
+    """`tiled` by `size`: a row meets those whose size allows the similarity, whatever their fingerprints."""
+    places = lambda ratio: math.log(ratio) / math.log(SIZE_STEP)
+    reach = math.floor(places(1 / similarity) + 1e-6) + 1
+    return tiled(nodes, reach, tile, columns, F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.lit(math.log(SIZE_STEP))))
+
+
 def candidates(nodes: DataFrame, radius: int, wide: int, similarity: float, tile: int, first: int | None) -> DataFrame:
     """(a, b): nodes with different roots, at most `radius` bits apart in one fingerprint and `wide` in both, whose sizes allow the similarity.
 
     `nodes` has fp, fp2, size, root and node. With `first`, a node is listed with its `first` nearest others at most, ties by a hash of both.
     """
     columns = ["fp", "fp2", "size", "root", "node"]
-    pairs = tiled(nodes, radius, tile, columns)
+    pairs = sized_tiles(nodes, similarity, tile, columns)
     if pairs is None:
         return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 
     def compare(table: pa.Table) -> pa.Table:
         sides, out = {}, []
         for k, right in enumerate(table.column("right").to_pylist()):
-            sides[right] = [table.column(c).combine_chunks()[k].values.to_numpy() for c in columns]
+            side = [table.column(c).combine_chunks()[k].values.to_numpy() for c in columns]
+            by_size = np.argsort(side[2], kind="stable")
+            sides[right] = [x[by_size] for x in side]
         one_tile = table.column("x")[0].as_py() == table.column("y")[0].as_py()
         if one_tile or len(sides) == 2:
             (fp, other, size, root, node), (fp2, other2, size2, root2, node2) = sides[False], sides[not one_tile]
-            step = max(1, (1 << 21) // max(len(fp2), 1))
-            for i in range(0, len(fp), step):
-                u, v = np.nonzero(bits_apart(fp[i:i + step].view(np.uint64), fp2.view(np.uint64)) <= radius)
-                u = u + i
+            # Both sides are in order of size, so the sizes that a row allows are one run.
+            from_, to = np.searchsorted(size2, size * (similarity * (1 - 1e-9)), "left"), np.searchsorted(size2, size * ((1 + 1e-9) / similarity), "right")
+            i = 0
+            while i < len(fp):
+                step = min(max(1, (1 << 21) // max(int(to[i] - from_[i]), 1)), 4096)
+                low, high = int(from_[i]), int(to[min(i + step, len(fp)) - 1])
+                u, v = np.nonzero(bits_apart(fp[i:i + step].view(np.uint64), fp2[low:high].view(np.uint64)) <= radius)
+                u, v, i = u + i, v + low, i + step
                 apart = np.bitwise_count((fp[u] ^ fp2[v]).view(np.uint64)).astype(np.int16) + np.bitwise_count((other[u] ^ other2[v]).view(np.uint64))
                 fits = (apart <= wide) & (root[u] != root2[v]) & (np.minimum(size[u], size2[v]) >= similarity * np.maximum(size[u], size2[v]))
                 if one_tile:

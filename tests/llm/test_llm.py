@@ -196,6 +196,24 @@ def test_near_copies_by_exact_similarity(spark, odd, tile):
     assert Counter(r["text"] for r in kept.collect()).keys() >= {LONG, "one", ODD[9][1]}
 
 
+@pytest.mark.parametrize("tile", [40, 8192])
+def test_sets_meet_those_of_similar_size(spark, tile):
+    """All pairs within the radii whose sizes allow the similarity are candidates, and tiles of other sizes do not meet."""
+    rng = np.random.default_rng(9)
+    fp, fp2 = (rng.integers(0, 2**63, 30)[rng.integers(0, 30, 900)] ^ (1 << rng.integers(0, 62, 900)) for _ in "ab")
+    size = np.floor(np.exp(rng.uniform(0, 9, 900))).astype(int)
+    rows = [(int(a), int(b), int(n), k, k) for k, (a, b, n) in enumerate(zip(fp, fp2, size))]
+    df = spark.createDataFrame(rows, "fp long, fp2 long, size long, root long, node long")
+    apart = lambda x, y: np.bitwise_count((x[:, None] ^ x[None]).view(np.uint64)).astype(int)
+    one = apart(fp, fp)
+    near = (one <= 16) & (one + apart(fp2, fp2) <= 60) & (np.minimum.outer(size, size) >= 0.8 * np.maximum.outer(size, size))
+    want = {(a, b) for a, b in zip(*np.nonzero(near)) if a < b}
+    got = [(min(r), max(r)) for r in simhash.candidates(df, 16, 60, 0.8, tile, None).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+    met = simhash.sized_tiles(df, 0.8, tile, ["fp", "size", "node"]).selectExpr("x", "y", "size(node) AS n").groupBy("x", "y").agg(F.max("n"), F.min("n")).collect()
+    assert tile > 900 or sum(a * b for _, _, a, b in met) < 0.3 * 900 * 900 / 2
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000, 1000 + k) for k in range(200)] + [(k, k + 1) for k in range(2000, 2060)] + [(7, 7), (None, 1)]
